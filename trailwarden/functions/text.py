@@ -69,7 +69,7 @@ def parse_instant(text: Column) -> Column:
     epoch = F.timestamp_micros(
         (text.try_cast("decimal(20,9)") * F.lit(1000000)).cast("decimal(38,9)").try_cast("bigint")
     )
-    return F.when(F.regexp_like(text, F.lit(r"^-?\d+(\.\d+)?$")), epoch).when(
+    return F.when(F.regexp_like(text, F.lit(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$")), epoch).when(
         F.regexp_like(text, F.lit(r"^-?\d{4,6}-\d\d-\d\dT\d\d:\d\d.*(?:Z|[+-]\d\d:?\d\d)$")),
         F.try_to_timestamp(text),
     )

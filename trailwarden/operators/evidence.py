@@ -53,6 +53,11 @@ def instant(value: str | datetime) -> Column:
     return F.to_timestamp(F.lit(value))
 
 
+def window_bounds(start, end) -> tuple[Column, Column]:
+    """Both ends of a closed window, cut to whole seconds."""
+    return F.date_trunc("second", instant(start)), F.date_trunc("second", instant(end))
+
+
 def evidence_window(evidence: DataFrame, customer_id: str, start, end) -> DataFrame:
     """One tenant's evidence with ``event_time`` in the closed window.
 
@@ -61,8 +66,7 @@ def evidence_window(evidence: DataFrame, customer_id: str, start, end) -> DataFr
     """
     if customer_id is None:
         raise ValueError("customerId is required")
-    low = F.date_trunc("second", instant(start))
-    high = F.date_trunc("second", instant(end))
+    low, high = window_bounds(start, end)
     scoped = evidence.where((F.col("customerId") == F.lit(customer_id)) & F.col("timestamp").between(low, high))
     return scoped.withColumn("event_time", F.col("timestamp"))
 

@@ -48,14 +48,12 @@ def active_rules(rules: DataFrame) -> DataFrame:
 
 
 def distinct_conditions(active: DataFrame) -> list[str]:
-    """The condition texts in use; over-long ones can never match and stay out."""
-    texts = (
-        active.where(F.length("ruleCondition") <= MAX_LENGTH)
-        .select("ruleCondition")
-        .distinct()
-        .orderBy("ruleCondition")
-    )
-    return [row[0] for row in texts.toLocalIterator()]
+    """The condition texts in use, which the driver compiles.
+
+    Over-long ones can never match and stay out.
+    """
+    texts = active.where(F.length("ruleCondition") <= MAX_LENGTH).select("ruleCondition").distinct()
+    return sorted(row[0] for row in texts.collect())
 
 
 def _keyed(active: DataFrame) -> DataFrame:

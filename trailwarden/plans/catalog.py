@@ -483,7 +483,7 @@ def stream_alerts(spark, sf_dir):
 @query
 def stream_log_collect(spark, sf_dir):
     """Stream the query log into evidence and metadata; read the metadata."""
-    stores = Stores(new_workdir(spark, "stream-log"))
+    stores = Stores(new_workdir(spark, "stream-log"), period="year")
     sinks = default_sinks(stores)[:2]
 
     def deliver(batch, batch_id):

@@ -24,7 +24,9 @@ def build_session(app: str = "trailwarden", master: str | None = None, **conf: s
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         UTC_CONF[0]: UTC_CONF[1],
     }
     settings.update(conf)

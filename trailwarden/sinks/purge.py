@@ -34,12 +34,12 @@ def purge_metadata(
 ) -> tuple[int, int]:
     """Remove expired rows; returns (rows deleted, statements).
 
-    Days wholly before the cutoff are dropped as folders.  Only the cutoff's own
-    day is read and rewritten.  Running it again after a failure is safe.
+    Folders wholly before the cutoff are dropped.  Only the folder the cutoff
+    falls in is read and rewritten.  Running it again after a failure is safe.
     """
     table = read_table(spark, stores, "metadata")
     counts = purge_summary(table, now, days, batch).first()
-    day = cutoff_for(now, days).date()
+    day = stores.first_day(cutoff_for(now, days).date())
     boundary = table.where(F.col("event_date") == F.lit(day))
     left = kept(boundary, now, days)
     # Folder names only: at most one per stored day, and per batch of one day.

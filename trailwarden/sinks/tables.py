@@ -4,22 +4,25 @@ Every writer takes a batch id and overwrites just that batch's partitions, so a
 batch that is replayed after a failure leaves the tables as if it ran once.
 
 Layouts
-  evidence   event_date / tenant_bucket / batch_id   all versions, sorted by tenant
-  metadata   event_date / batch_id                   first write per event id
-  enriched   batch_id                                keyed JSON records
-  alerts     batch_id                                outbox rows
-  quarantine batch_id                                records that did not decode
-  violations batch_id                                rows the metadata table refuses
-
-Tenants are spread over a fixed number of buckets rather than one folder each,
-so the folder count does not grow with them.  ``rebalance`` lets adaptive
-execution split what is large (a dominant tenant) and merge what is small.
+  evidence   event_date / batch_id   all versions, in (tenant, time) ranges
+  metadata   event_date / batch_id   first write per event id
+  enriched   batch_id                keyed JSON records
+  alerts     batch_id                outbox rows
+  quarantine batch_id                records that did not decode
+  violations batch_id                rows the metadata table refuses
+
+Evidence has no folder per tenant: their number would grow with the tenants and
+with every batch.  Its files hold disjoint ranges of (day, tenant, time) instead,
+so the Parquet statistics let a tenant's query skip the rest, and a dominant
+tenant is cut into as many ranges as it needs.  ``rebalance`` does the same for
+days in the metadata table: adaptive execution splits large and merges small.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import date, timedelta
 
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
@@ -28,33 +31,53 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trailwarden.functions.eventjson import event_json
-from trailwarden.operators.evidence import evidence_window, latest_evidence, to_metadata
+from trailwarden.operators.evidence import (
+    evidence_window,
+    instant,
+    latest_evidence,
+    to_metadata,
+    window_bounds,
+)
 from trailwarden.operators.keyed import insert_if_absent
 from trailwarden.operators.matching import build_alerts
 from trailwarden.operators.validation import split_metadata
 from trailwarden.schemas import ALERT, AUDIT_EVENT, EVENT_COLUMNS, METADATA
 from trailwarden.sources.events import RECORD
 
-TENANT_BUCKETS = 64
 TOPIC_PARTITIONS = 6
 
 
-def tenant_bucket(customer_id: Column) -> Column:
-    return F.pmod(F.hash(customer_id), F.lit(TENANT_BUCKETS))
-
-
 @dataclass(frozen=True)
 class Stores:
-    """Locations of the tables under one root."""
+    """Locations of the tables under one root.
+
+    ``period`` is the length of an ``event_date`` folder: day, week, month or
+    year.  Days suit terabytes a week; a small store over many years wants
+    longer ones.
+    """
 
     root: str
+    period: str = "day"
+
+    def event_date(self, ts: str) -> Column:
+        """First day of the period an instant falls in."""
+        return F.to_date(F.date_trunc(self.period, F.col(ts)))
+
+    def first_day(self, day: date) -> date:
+        starts = {
+            "day": day,
+            "week": day - timedelta(days=day.weekday()),
+            "month": day.replace(day=1),
+            "year": day.replace(month=1, day=1),
+        }
+        return starts[self.period]
 
     def path(self, table: str) -> str:
         return f"{self.root.rstrip('/')}/{table}"
 
 
 _PARTITIONS = {
-    "evidence": [("event_date", "date"), ("tenant_bucket", "int"), ("batch_id", "bigint")],
+    "evidence": [("event_date", "date"), ("batch_id", "bigint")],
     "metadata": [("event_date", "date"), ("batch_id", "bigint")],
     "enriched": [("batch_id", "bigint")],
     "alerts": [("batch_id", "bigint")],
@@ -90,56 +113,61 @@ def read_table(spark: SparkSession, stores: Stores, table: str) -> DataFrame:
         raise
 
 
-def _write(df: DataFrame, stores: Stores, table: str, batch_id: int, sort: tuple[str, ...] = (), spread=True) -> None:
-    keys = [name for name, _ in _PARTITIONS[table]]
-    df = df.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-    df = df.select(*_SCHEMAS[table].fieldNames(), *keys)
-    if spread and len(keys) > 1:
-        df = df.hint("rebalance", *keys[:-1]).sortWithinPartitions(*keys, *sort)
+def _write(df: DataFrame, stores: Stores, table: str, batch_id: int) -> None:
     (
-        df.write.mode("overwrite")
+        _columns(df, table, batch_id)
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*keys)
+        .partitionBy(*[name for name, _ in _PARTITIONS[table]])
         .parquet(stores.path(table))
     )
 
 
+def _columns(df: DataFrame, table: str, batch_id: int) -> DataFrame:
+    keys = [name for name, _ in _PARTITIONS[table]]
+    if "batch_id" not in df.columns:  # a sorted frame brings it along
+        df = df.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+    return df.select(*_SCHEMAS[table].fieldNames(), *keys)
+
+
 def _with_seq(df: DataFrame) -> DataFrame:
     return df if "seq" in df.columns else df.withColumn("seq", F.lit(0).cast("bigint"))
 
 
 def write_evidence(events: DataFrame, stores: Stores, batch_id: int) -> None:
     """Append every version of every event."""
-    placed = _with_seq(events).withColumns(
-        {
-            "event_date": F.to_date("timestamp"),
-            "tenant_bucket": tenant_bucket(F.col("customerId")),
-        }
+    dated = _with_seq(events).withColumns(
+        {"event_date": stores.event_date("timestamp"), "batch_id": F.lit(batch_id).cast("bigint")}
     )
-    _write(placed, stores, "evidence", batch_id, ("customerId", "timestamp"))
+    order = ("event_date", "batch_id", "customerId", "timestamp")
+    placed = dated.repartitionByRange(*order).sortWithinPartitions(*order)
+    _write(placed, stores, "evidence", batch_id)
 
 
 def read_evidence(spark: SparkSession, stores: Stores) -> DataFrame:
     """The latest version of each (tenant, event)."""
-    versions = read_table(spark, stores, "evidence").drop("event_date", "tenant_bucket")
-    latest = latest_evidence(versions, F.struct("batch_id", "seq"))
-    return latest.select(*EVENT_COLUMNS)
+    versions = read_table(spark, stores, "evidence").drop("event_date")
+    return latest_evidence(versions, F.struct("batch_id", "seq")).select(*EVENT_COLUMNS)
 
 
 def read_evidence_window(spark: SparkSession, stores: Stores, customer_id: str, start, end) -> DataFrame:
-    """Latest versions of one tenant in a window, reading only its bucket.
+    """Latest versions of one tenant's events in a window.
 
-    Versions of an event may differ in time, so the latest one is chosen over
-    the tenant's bucket before the window applies.
+    Whole documents are read for the window's days only.  Whether a version was
+    replaced by one outside the window is decided on ids and write order alone.
     """
-    if customer_id is None:
-        raise ValueError("customerId is required")
-    versions = read_table(spark, stores, "evidence").where(
-        (F.col("tenant_bucket") == tenant_bucket(F.lit(customer_id)))
-        & (F.col("customerId") == F.lit(customer_id))
-    )
-    latest = latest_evidence(versions.drop("event_date", "tenant_bucket"), F.struct("batch_id", "seq"))
-    return evidence_window(latest.select(*EVENT_COLUMNS), customer_id, start, end)
+    versions = read_table(spark, stores, "evidence").withColumn("_order", F.struct("batch_id", "seq"))
+    inside = evidence_window(versions, customer_id, start, end)
+    first, last = (F.to_date(F.date_trunc(stores.period, instant(t))) for t in (start, end))
+    days = F.col("event_date").between(first, last)
+    latest = latest_evidence(inside.where(days), F.col("_order"))
+    low, high = window_bounds(start, end)
+    outside = versions.where(
+        (F.col("customerId") == F.lit(customer_id)) & ~F.col("timestamp").between(low, high)
+    ).select(F.col("eventId").alias("_id"), F.col("_order").alias("_later"))
+    newer = outside.groupBy("_id").agg(F.max("_later").alias("_later"))
+    replaced = (F.col("eventId") == F.col("_id")) & (F.col("_later") > F.col("_order"))
+    return latest.join(newer, replaced, "left_anti").select(*EVENT_COLUMNS, "event_time")
 
 
 def write_metadata(events: DataFrame, stores: Stores, batch_id: int, batch_rows: int | None = None) -> None:
@@ -152,8 +180,11 @@ def write_metadata(events: DataFrame, stores: Stores, batch_id: int, batch_rows:
     stored = read_table(spark, stores, "metadata").where(F.col("batch_id") < batch_id)
     target = stored if batch_id > 0 else None
     fresh = insert_if_absent(rows, target, "event_id", F.col("seq"), batch_rows)
-    dated = fresh.withColumn("event_date", F.to_date("occurred_at"))
-    _write(dated, stores, "metadata", batch_id, ("occurred_at",))
+    order = ("event_date", "batch_id", "occurred_at")
+    dated = fresh.withColumns(
+        {"event_date": stores.event_date("occurred_at"), "batch_id": F.lit(batch_id).cast("bigint")}
+    )
+    _write(dated.hint("rebalance", "event_date").sortWithinPartitions(*order), stores, "metadata", batch_id)
     _write(refused, stores, "violations", batch_id)
 
 
