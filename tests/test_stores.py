@@ -48,6 +48,17 @@ def test_replays_and_collisions(spark, events_of, rules_of, tmp_path):
         assert len(contents(spark, stores, "alerts", "event_id")) == 5
 
 
+def test_lookback_limits_what_counts_as_stored(spark, events_of, tmp_path):
+    stores = tb.Stores(str(tmp_path), "month")
+    old = AT - timedelta(days=100)
+    tb.write_metadata(with_seq(events_of({"eventId": "a", "timestamp": old}, {"eventId": "b"})), stores, 0)
+    again = with_seq(events_of({"eventId": "a"}, {"eventId": "b"}))
+    tb.write_metadata(again, stores, 1)
+    assert contents(spark, stores, "metadata", "event_id") == [("a",), ("b",)]
+    tb.write_metadata(again, stores, 1, lookback_days=7)
+    assert contents(spark, stores, "metadata", "event_id") == [("a",), ("a",), ("b",)]
+
+
 def test_a_failing_sink_leaves_a_replayable_batch(spark, events_of, tmp_path):
     stores = tb.Stores(str(tmp_path))
     order, broken = [], [True]

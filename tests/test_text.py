@@ -97,6 +97,14 @@ def test_log_fields(spark):
     assert {r.v: r.o for r in frame.select("v", logtext.log_user(F.col("v")).alias("o")).collect()} == users
     frame = spark.createDataFrame([(u,) for u in noise], "v string")
     assert {r.v: r.o for r in frame.select("v", logtext.noise_reason(F.col("v")).alias("o")).collect()} == noise
+    rng = random.Random(5)
+    pieces = ["set", "SHOW", "use", " ", "  ", "\t", "\x00", "@@", "@", "general_log", "x", "Information_Schema", ""]
+    texts = ["".join(rng.choices(pieces, k=rng.randint(0, 5))) for _ in range(2000)]
+    frame = spark.createDataFrame([(t,) for t in [*texts, *noise, None]], "v string")
+    both = frame.where(
+        logtext.is_noise(F.col("v")) != logtext.noise_reason(logtext.statement_text(F.col("v"))).isNotNull()
+    )
+    assert both.collect() == []
     row = spark.range(1).select(
         logtext.log_user(F.lit(None).cast("string")).alias("user"),
         logtext.statement_keyword(F.lit("select\n* FROM t")).alias("word"),

@@ -10,6 +10,11 @@ from trailwarden.functions.text import is_missing, iso_instant, strip_blanks
 # --- Fixed values -----------------------------------------------------------
 NOISE_CONTAINS = ("general_log", "information_schema", "performance_schema", "@@")
 NOISE_PREFIXES = ("set ", "show ", "use ")
+# The same rules over the untrimmed text, as one pattern.
+NOISE_PATTERN = (
+    r"(?i)\A[\x00-\x20]*+(?:\z|(?:set|show|use) [\x00-\x20]*+[^\x00-\x20])"
+    r"|general_log|information_schema|performance_schema|@@"
+)
 LOG_COMMANDS = ("Query", "Execute")
 LOG_ID_PREFIX = "mysql-"
 UNKNOWN_USER = "unknown"
@@ -21,6 +26,11 @@ def statement_text(argument: Column) -> Column:
     return strip_blanks(F.coalesce(argument, F.lit("")))
 
 
+def is_noise(argument: Column) -> Column:
+    """Whether a log row is dropped; one scan of the text, true for null."""
+    return F.coalesce(F.regexp_like(argument, F.lit(NOISE_PATTERN)), F.lit(True))
+
+
 def noise_reason(statement: Column) -> Column:
     """Why a statement is not worth keeping, or null when it is."""
     lowered = F.lower(statement)

@@ -19,6 +19,7 @@ SQL_LITERAL = (
 )
 REDACTED_MAX = 500
 ELLIPSIS = "\u2026"
+OVERLONG = rf"(?s)\A(.{{{REDACTED_MAX}}}).+\z"
 # ----------------------------------------------------------------------------
 
 
@@ -41,22 +42,14 @@ def redact_sql(sql: Column) -> Column:
     """Keep the shape of a statement, replace every literal by ``?``."""
     masked = F.regexp_replace(sql, F.lit(SQL_LITERAL), F.lit("?"))
     spaced = F.regexp_replace(masked, F.lit(f"[{WHITESPACE}]+"), F.lit(" "))
-    short = strip_blanks(spaced)
-    return F.when(
-        F.length(short) > REDACTED_MAX,
-        F.concat(F.substring(short, 1, REDACTED_MAX), F.lit(ELLIPSIS)),
-    ).otherwise(short)
+    # Each step refers to the one before just once, so nothing is evaluated twice.
+    return F.regexp_replace(strip_blanks(spaced), F.lit(OVERLONG), F.lit("$1" + ELLIPSIS))
 
 
 def iso_instant(ts: Column) -> Column:
     """ISO-8601 in UTC with 0, 3 or 6 fraction digits, e.g. ``...:07.125Z``."""
     full = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    text = (
-        F.when(F.endswith(full, F.lit(".000000")), F.substring(full, 1, 19))
-        .when(F.endswith(full, F.lit("000")), F.substring(full, 1, 23))
-        .otherwise(full)
-    )
-    return F.concat(text, F.lit("Z"))
+    return F.concat(F.regexp_replace(full, r"(?:\.000000|000)$", ""), F.lit("Z"))
 
 
 def second_precision(ts: Column) -> Column:

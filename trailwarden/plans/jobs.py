@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trailwarden.operators.enrich import Step, enrich
 from trailwarden.operators.evidence import to_metadata
-from trailwarden.operators.keyed import collapse_replays, insert_if_absent
+from trailwarden.operators.keyed import insert_if_absent
 from trailwarden.operators.matching import build_alerts
 from trailwarden.operators.reports import ordered_report, report_document
 from trailwarden.sinks.tables import Stores, default_sinks, fan_out, read_evidence_window
@@ -36,8 +36,8 @@ def log_metadata(
     log: DataFrame, customer_id: str, resource: str, stored: DataFrame | None = None
 ) -> DataFrame:
     """A query log to the metadata rows it would add."""
-    events = collapse_replays(log_events(log, customer_id, resource), "eventId")
-    rows = to_metadata(enrich(events))
+    rows = to_metadata(enrich(log_events(log, customer_id, resource)))
+    # Rows that share an id are equal, so which of them stays does not matter.
     return insert_if_absent(rows, stored, "event_id", F.col("occurred_at"))
 
 

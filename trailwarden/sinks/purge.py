@@ -37,9 +37,9 @@ def purge_metadata(
     Folders wholly before the cutoff are dropped.  Only the folder the cutoff
     falls in is read and rewritten.  Running it again after a failure is safe.
     """
-    table = read_table(spark, stores, "metadata")
-    counts = purge_summary(table, now, days, batch).first()
     day = stores.first_day(cutoff_for(now, days).date())
+    table = read_table(spark, stores, "metadata").where(F.col("event_date") <= F.lit(day))
+    counts = purge_summary(table, now, days, batch).first()
     boundary = table.where(F.col("event_date") == F.lit(day))
     left = kept(boundary, now, days)
     # Folder names only: at most one per stored day, and per batch of one day.

@@ -170,15 +170,30 @@ def read_evidence_window(spark: SparkSession, stores: Stores, customer_id: str,
     return latest.join(newer, replaced, "left_anti").select(*EVENT_COLUMNS, "event_time")
 
 
-def write_metadata(events: DataFrame, stores: Stores, batch_id: int, batch_rows: int | None = None) -> None:
+def write_metadata(
+    events: DataFrame,
+    stores: Stores,
+    batch_id: int,
+    batch_rows: int | None = None,
+    lookback_days: int | None = None,
+) -> None:
     """Insert ids that are not stored yet; refuse rows that break a constraint.
 
     Only earlier batches count as stored, so a replay decides as it did before.
+    By default every stored id counts, which reads the id column of the whole
+    table.  Where copies are known to lie at most ``lookback_days`` apart, giving
+    that number limits the read to the recent folders.
     """
     spark = events.sparkSession
     rows, refused = split_metadata(to_metadata(_with_seq(events), "seq"))
-    stored = read_table(spark, stores, "metadata").where(F.col("batch_id") < batch_id)
-    target = stored if batch_id > 0 else None
+    target = None
+    if batch_id > 0:
+        target = read_table(spark, stores, "metadata").where(F.col("batch_id") < batch_id)
+        if lookback_days is not None:
+            oldest = rows.agg(F.min(F.to_date("occurred_at"))).first()[0]
+            if oldest:
+                first = stores.first_day(oldest - timedelta(days=lookback_days))
+                target = target.where(F.col("event_date") >= F.lit(first))
     fresh = insert_if_absent(rows, target, "event_id", F.col("seq"), batch_rows)
     order = ("event_date", "batch_id", "occurred_at")
     dated = fresh.withColumns(
@@ -234,11 +249,13 @@ class Sink:
     write: Callable[[DataFrame, int, int], None]
 
 
-def default_sinks(stores: Stores, rules: DataFrame | None = None) -> list[Sink]:
+def default_sinks(
+    stores: Stores, rules: DataFrame | None = None, lookback_days: int | None = None
+) -> list[Sink]:
     """Persist first, page last: evidence, metadata, enriched, then alerts."""
     sinks = [
         Sink("evidence", lambda df, b, n: write_evidence(df, stores, b)),
-        Sink("metadata", lambda df, b, n: write_metadata(df, stores, b, n)),
+        Sink("metadata", lambda df, b, n: write_metadata(df, stores, b, n, lookback_days)),
         Sink("enriched", lambda df, b, n: write_enriched(df, stores, b)),
     ]
     if rules is not None:

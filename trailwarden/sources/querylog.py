@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from trailwarden.functions.eventjson import empty_controls, empty_tags
 from trailwarden.functions.logtext import (
     LOG_COMMANDS,
+    is_noise,
     log_event_id,
     log_user,
     noise_reason,
@@ -112,7 +113,8 @@ def with_noise(log: DataFrame) -> DataFrame:
 
 def log_events(log: DataFrame, customer_id: str, resource: str) -> DataFrame:
     """Log rows as redacted events; noise is left out, raw text never kept."""
-    rows = with_noise(log.where(F.col("command_type").isin(*LOG_COMMANDS))).where(F.col("noise").isNull())
+    wanted = log.where(F.col("command_type").isin(*LOG_COMMANDS)).where(~is_noise(F.col("argument")))
+    rows = wanted.withColumn("statement", statement_text(F.col("argument")))
     none = F.lit(None).cast("string")
     columns = {
         "eventId": log_event_id(F.col("event_time"), F.col("thread_id"), F.col("statement")),

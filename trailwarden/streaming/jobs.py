@@ -125,14 +125,15 @@ def ingest_stream(
 
 
 def metadata_stream(
-    events: DataFrame, stores: Stores, checkpoint: str, every: str | None = None
+    events: DataFrame,
+    stores: Stores,
+    checkpoint: str,
+    every: str | None = None,
+    lookback_days: int | None = None,
 ) -> StreamingQuery:
-    """Exact insert-if-absent over all earlier batches."""
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        write_metadata(batch, stores, batch_id)
-
-    return run_batches(events, handle, checkpoint, every)
+    """Insert-if-absent over the earlier batches (see ``write_metadata``)."""
+    sink = Sink("metadata", lambda df, b, n: write_metadata(df, stores, b, n, lookback_days))
+    return run_batches(events, lambda df, b: fan_out(df, [sink], b), checkpoint, every)
 
 
 def recent_unique(events: DataFrame, keep: str = "7 days") -> DataFrame:
