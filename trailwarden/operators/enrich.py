@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trailwarden.functions.eventjson import empty_controls, empty_tags
-from trailwarden.schemas import CONTROL_MAP, EVENT_TYPES, USER_CONTEXT_TAG
+from trailwarden.schemas import CONTROL, CONTROL_MAP, EVENT_TYPES, USER_CONTEXT_TAG
 
 
 @dataclass(frozen=True)
@@ -34,11 +36,19 @@ def fill_defaults(events: DataFrame) -> DataFrame:
 
 
 def put_if_absent(tags: Column, key: str, value: Column) -> Column:
-    """Map with ``key`` set unless it already has a non-null value."""
+    """Map with ``key`` set unless it already has a non-null value.
+
+    Written over the entries without a lambda, so the projection stays in
+    whole-stage code generation.
+    """
     tags = F.coalesce(tags, empty_tags())
-    others = F.map_filter(tags, lambda k, _: k != F.lit(key))
+
+    def entry(v: Column) -> Column:
+        return F.struct(F.lit(key).alias("key"), v.cast("string").alias("value"))
+
+    others = F.array_remove(F.map_entries(tags), entry(F.lit(None)))
     return F.when(F.element_at(tags, key).isNotNull(), tags).otherwise(
-        F.map_concat(others, F.create_map(F.lit(key), value))
+        F.map_from_entries(F.array_append(others, entry(value)))
     )
 
 
@@ -79,10 +89,25 @@ def controls_by_type(controls: DataFrame) -> DataFrame:
     )
 
 
+def _builtin_controls() -> Column:
+    """The built-in map of event type to controls, folded into one constant."""
+    by_type: dict[str, list[dict]] = {}
+    for event_type, control_id, framework, name in CONTROL_MAP:
+        entry = {"controlId": control_id, "framework": framework, "name": name}
+        by_type.setdefault(event_type, []).append(entry | {"evidenceTypes": [], "queryPatterns": []})
+    kind = T.MapType(T.StringType(), T.ArrayType(CONTROL))
+    return F.from_json(F.lit(json.dumps(by_type)), kind)
+
+
 def classify_controls(events: DataFrame, controls: DataFrame | None = None) -> DataFrame:
-    """Replace ``controls`` by those the event's type is evidence for."""
+    """Replace ``controls`` by those the event's type is evidence for.
+
+    The built-in controls are a constant lookup; a table of controls is reduced
+    to one row per type and broadcast.
+    """
     if controls is None:
-        controls = default_controls(events.sparkSession)
+        found = F.try_element_at(_builtin_controls(), F.col("type"))
+        return events.withColumn("controls", F.coalesce(found, empty_controls()))
     lookup = F.broadcast(controls_by_type(controls))  # at most six rows
     joined = events.join(lookup, F.col("type") == F.col("_control_type"), "left")
     return joined.withColumn("controls", F.coalesce(F.col("_controls"), empty_controls())).drop(

@@ -167,14 +167,10 @@ def undeliverable(channel_rows: DataFrame, known: tuple[str, ...] = CHANNELS) ->
 
 def dispatch_counts(events: DataFrame, rules: DataFrame, known: tuple[str, ...] = CHANNELS) -> DataFrame:
     """Notifications attempted per event, 0 for events that match nothing."""
-    counted = match_rules(
-        events.select(*_needed(events)), rules, how="left"
-    ).withColumn("_n", F.coalesce(F.size(known_channels(F.col("ruleChannels"), known)), F.lit(0)))
-    return counted.groupBy("customerId", "eventId").agg(F.sum("_n").alias("fired"))
-
-
-def _needed(events: DataFrame) -> list[str]:
-    return [c for c in events.columns if c != "seq"]
+    deliverable_only = rules.withColumn("notificationChannels", known_channels(F.col("notificationChannels"), known))
+    joined = match_rules(events, deliverable_only, how="left")
+    attempts = F.coalesce(F.size("ruleChannels"), F.lit(0))
+    return joined.groupBy("customerId", "eventId").agg(F.sum(attempts).alias("fired"))
 
 
 def build_alerts(

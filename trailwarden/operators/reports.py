@@ -15,7 +15,7 @@ from trailwarden.schemas import REPORT_TITLES
 
 
 def _has_control(framework: str) -> Column:
-    return F.exists("controls", lambda c: c["framework"] == framework)
+    return F.coalesce(F.array_contains(F.col("controls.framework"), framework), F.lit(False))
 
 
 def relevant_events(events: DataFrame, framework: str) -> DataFrame:

@@ -135,7 +135,9 @@ def enrich_user_context(spark, sf_dir):
 
 @query
 def enrich_controls(spark, sf_dir):
-    return _flat(en.classify_controls(fx.audit_events(spark, sf_dir)), "eventId", "type", "controls")
+    """The lookup as a join with a control table."""
+    classified = en.classify_controls(fx.audit_events(spark, sf_dir), en.default_controls(spark))
+    return _flat(classified, "eventId", "type", "controls")
 
 
 @query
