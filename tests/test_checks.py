@@ -38,7 +38,7 @@ def test_requests_are_accepted_or_rejected(spark, tmp_path):
 
 def test_metadata_constraints(events_of):
     events = events_of({}, {"resource": "r" * 513}, {"userId": "u" * 65}, {"timestamp": None}, {"resource": "r" * 512})
-    good, bad = validation.split_metadata(ev.to_metadata(events))
+    good, bad = validation.split_rows(ev.to_metadata(events))
     assert {r.event_id for r in good.collect()} == {"evt-0", "evt-4"}
     assert sorted(r.violated for r in bad.collect()) == ["occurred_at", "resource", "user_id"]
 
@@ -124,11 +124,18 @@ def test_first_last_and_absent(spark):
         assert [(r.id, r.seq) for r in new.collect()] == [("b", 2)]
 
 
-def test_keys(spark):
-    users = spark.createDataFrame([("u1", "a"), ("u2", "b"), ("u2", "b")], "user_id string, customer_id string")
+def test_keys_and_limits_of_the_other_tables(spark):
+    users = spark.createDataFrame(
+        [("u1", "a", None), ("u2", "b", "e" * 256), ("u2", "b", "x"), ("u3", None, "x")],
+        "user_id string, customer_id string, email string",
+    ).withColumn("created_at", F.lit(AT))
     tenants = spark.createDataFrame([("a",)], "customer_id string")
-    assert {r.user_id for r in validation.orphans(users, tenants, "customer_id").collect()} == {"u2"}
-    assert [(r.user_id, r.copies) for r in validation.duplicate_keys(users, "user_id").collect()] == [("u2", 2)]
+    assert [r.user_id for r in validation.orphans(users, tenants, "users").collect()] == ["u2", "u2"]
+    assert [(r.user_id, r.copies) for r in validation.duplicate_keys(users, "users").collect()] == [("u2", 2)]
+    _, bad = validation.split_rows(users, "users")
+    assert sorted((r.user_id, r.violated) for r in bad.collect()) == [("u2", "email"), ("u3", "customer_id")]
+    controls = spark.createDataFrame([("AC-2", "SOC2"), ("AC-2", "GDPR"), ("AC-2", "SOC2")], "control_id string, framework string")
+    assert [tuple(r) for r in validation.duplicate_keys(controls, "compliance_controls").collect()] == [("AC-2", "SOC2", 2)]
 
 
 LOG_ROWS = [
@@ -211,3 +218,23 @@ def test_enriched_report_has_no_hipaa_events(events_of):
     events = enrich(events_of(*[{"type": t} for t in ("DATA_EXPORT", "AUTH_EVENT", "API_CALL")]))
     counts = {r.framework: r.events for r in reports.report_summary(events).collect()}
     assert counts == {"SOC2": 3, "GDPR": 1, "HIPAA": 0}
+
+
+def test_working_folder(spark):
+    from trailwarden import session
+
+    class Unset:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:
+            master, applicationId = "local[2]", "app-1"
+
+    class Cluster(Unset):
+        class sparkContext:
+            master, applicationId = "yarn", "app-2"
+
+    assert session.shared_root(Unset) == session.shared_root(Unset)
+    with pytest.raises(ValueError):
+        session.shared_root(Cluster)
+    assert session.new_workdir(spark, "x") != session.new_workdir(spark, "x")

@@ -145,6 +145,14 @@ def test_stream_equals_batch_over_restarts(spark, events_of, rules_of, tmp_path)
     assert contents(spark, again, "alerts", "alert_id") == contents(spark, stores, "alerts", "alert_id")
 
 
+def test_streams_take_a_table_of_many_files(spark, tmp_path):
+    from trailwarden.plans.catalog import all_queries
+
+    source = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    source.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    assert all_queries()["stream_dedupe"](spark, str(tmp_path)).count() == source.count()
+
+
 def test_ingest_stream(spark, tmp_path):
     from trailwarden.operators.evidence import instant
     from trailwarden.sources.events import decoded, request_files

@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailwarden.functions.eventjson import empty_controls, empty_tags
 from trailwarden.functions.text import is_missing
-from trailwarden.schemas import EVENT_COLUMNS, EVENT_TYPES, METADATA_LIMITS, REQUEST
+from trailwarden.schemas import (
+    EVENT_COLUMNS,
+    EVENT_TYPES,
+    FOREIGN_KEYS,
+    PRIMARY_KEYS,
+    REQUEST,
+    TABLES,
+)
 
 
 def reject_reason(with_timestamp: bool = True) -> Column:
@@ -53,31 +62,32 @@ def rejected(checked: DataFrame) -> DataFrame:
     return checked.where(F.col("reject_reason").isNotNull())
 
 
-def violated_column() -> Column:
-    """First metadata column whose constraint the row breaks, or null."""
-    broken = None
-    for name, (nullable, limit) in METADATA_LIMITS.items():
-        bad = F.lit(False) if nullable else F.col(name).isNull()
+def violated_column(table: str = "audit_events") -> Column:
+    """First column of the table whose constraint the row breaks, or null."""
+    broken = []
+    for name, (nullable, limit) in TABLES[table].items():
+        tests = [] if nullable else [F.col(name).isNull()]
         if limit is not None:
-            bad = bad | F.coalesce(F.length(name) > limit, F.lit(False))
-        elif nullable:
-            continue
-        broken = F.when(bad, F.lit(name)) if broken is None else broken.when(bad, F.lit(name))
-    return broken
+            tests.append(F.coalesce(F.length(name) > limit, F.lit(False)))
+        if tests:
+            broken.append(F.when(reduce(Column.__or__, tests), F.lit(name)))
+    return F.coalesce(*broken)
 
 
-def split_metadata(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def split_rows(rows: DataFrame, table: str = "audit_events") -> tuple[DataFrame, DataFrame]:
     """(insertable rows, rows with the ``violated`` column name)."""
-    checked = rows.withColumn("violated", violated_column())
+    checked = rows.withColumn("violated", violated_column(table))
     good = checked.where(F.col("violated").isNull()).drop("violated")
     return good, checked.where(F.col("violated").isNotNull())
 
 
-def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
-    """Child rows whose foreign key has no parent row."""
-    return child.join(parent.select(key).distinct(), key, "left_anti")
+def orphans(child: DataFrame, parent: DataFrame, child_table: str) -> DataFrame:
+    """Child rows whose foreign key is set and has no parent row."""
+    key, _ = FOREIGN_KEYS[child_table]
+    present = child.where(F.col(key).isNotNull())
+    return present.join(parent.select(key).distinct(), key, "left_anti")
 
 
-def duplicate_keys(rows: DataFrame, *keys: str) -> DataFrame:
+def duplicate_keys(rows: DataFrame, table: str) -> DataFrame:
     """Primary-key values that occur more than once."""
-    return rows.groupBy(*keys).agg(F.count("*").alias("copies")).where(F.col("copies") > 1)
+    return rows.groupBy(*PRIMARY_KEYS[table]).agg(F.count("*").alias("copies")).where(F.col("copies") > 1)

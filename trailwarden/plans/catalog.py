@@ -237,20 +237,20 @@ def metadata_insert(spark, sf_dir):
 @query
 def metadata_violations(spark, sf_dir):
     events = validation.normalize_requests(fx.requests(spark, sf_dir), ev.instant(fx.INGEST_TS))
-    _, refused = validation.split_metadata(ev.to_metadata(validation.accepted(events), "seq"))
+    _, refused = validation.split_rows(ev.to_metadata(validation.accepted(events), "seq"))
     return refused.select("seq", "event_id", "violated")
 
 
 @query
 def pk_duplicates(spark, sf_dir):
     rows = fx.replayed_events(spark, sf_dir).select(F.col("eventId").alias("event_id"))
-    return validation.duplicate_keys(rows, "event_id")
+    return validation.duplicate_keys(rows, "audit_events")
 
 
 @query
 def fk_orphans(spark, sf_dir):
     child = fx.users(spark, sf_dir)
-    return validation.orphans(child, fx.customers(spark, sf_dir), "customer_id").select("user_id", "customer_id")
+    return validation.orphans(child, fx.customers(spark, sf_dir), "users").select("user_id", "customer_id")
 
 
 @query
@@ -390,7 +390,10 @@ def _collectors(spark: SparkSession, sf_dir: str) -> list[collectors.Collector]:
 @query
 def collect_all(spark, sf_dir):
     gathered = collectors.collect_all(_collectors(spark, sf_dir))
-    return gathered.groupBy("source").agg(F.count("*").alias("collected"))
+    arrived = validation.normalize_requests(gathered, ev.instant(fx.INGEST_TS))
+    return arrived.groupBy("source").agg(
+        F.count("*").alias("collected"), F.count_if(F.col("reject_reason").isNull()).alias("delivered")
+    )
 
 
 @query

@@ -425,8 +425,8 @@ FROM (SELECT seq, trim(coalesce(argument, '')) AS statement FROM general_log)"""
     )
     sql["collect_all"] = (
         _with(_LOG, _log_events())
-        + """SELECT 'mysql-general-log:acme-mysql' AS source, count(*) AS collected FROM log_events
-UNION ALL SELECT 'mysql-general-log:acme-crm', count(*) FROM customer WHERE c_mktsegment <> 'MACHINERY'"""
+        + """SELECT 'mysql-general-log:acme-mysql' AS source, count(*) AS collected, count(*) AS delivered FROM log_events
+UNION ALL SELECT 'mysql-general-log:acme-crm', count(*), count(*) FROM customer WHERE c_mktsegment <> 'MACHINERY'"""
     )
     sql["log_replay_dedupe"] = (
         _with(_LOG, _log_events()) + f"SELECT DISTINCT event_id, user_id, {iso('event_time')} AS ts, action, query FROM log_events"

@@ -44,18 +44,67 @@ REPORT_TITLES = {
 
 CHANNELS = ("slack", "email")
 
-# Column -> (nullable, maximum length) of the relational metadata table.
-METADATA_LIMITS = {
-    "event_id": (False, 64),
-    "customer_id": (False, 64),
-    "user_id": (True, 64),
-    "session_id": (True, 64),
-    "occurred_at": (False, None),
-    "event_type": (False, 32),
-    "resource": (True, 512),
-    "action": (True, 128),
-    "risk_level": (True, 16),
-    "anomalous": (False, None),
+# Relational tables: column -> (nullable, maximum length or None)
+TABLES = {
+    "customers": {
+        "customer_id": (False, 64),
+        "name": (False, 255),
+        "created_at": (False, None),
+    },
+    "users": {
+        "user_id": (False, 64),
+        "customer_id": (False, 64),
+        "email": (True, 255),
+        "created_at": (False, None),
+    },
+    "audit_events": {
+        "event_id": (False, 64),
+        "customer_id": (False, 64),
+        "user_id": (True, 64),
+        "session_id": (True, 64),
+        "occurred_at": (False, None),
+        "event_type": (False, 32),
+        "resource": (True, 512),
+        "action": (True, 128),
+        "risk_level": (True, 16),
+        "anomalous": (False, None),
+    },
+    "compliance_controls": {
+        "control_id": (False, 32),
+        "framework": (False, 32),
+        "name": (False, 255),
+        "description": (True, None),
+    },
+    "alert_rules": {
+        "rule_id": (False, 64),
+        "customer_id": (False, 64),
+        "name": (False, 255),
+        "event_type": (True, 32),
+        "risk_threshold": (True, 16),
+        "condition_expression": (True, None),
+        "enabled": (False, None),
+    },
+    "alert_history": {
+        "alert_id": (False, 64),
+        "rule_id": (False, 64),
+        "event_id": (False, 64),
+        "customer_id": (False, 64),
+        "triggered_at": (False, None),
+        "notified_channels": (True, 255),
+    },
+}
+PRIMARY_KEYS = {
+    "customers": ("customer_id",),
+    "users": ("user_id",),
+    "audit_events": ("event_id",),
+    "compliance_controls": ("control_id", "framework"),
+    "alert_rules": ("rule_id",),
+    "alert_history": ("alert_id",),
+}
+# child table -> (column, parent table)
+FOREIGN_KEYS = {
+    "users": ("customer_id", "customers"),
+    "alert_history": ("rule_id", "alert_rules"),
 }
 # ----------------------------------------------------------------------------
 

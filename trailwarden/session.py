@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -41,19 +42,23 @@ def use_utc(spark: SparkSession) -> None:
         spark.conf.set(*UTC_CONF)
 
 
+@functools.cache
+def _own_root(application: str) -> str:
+    return tempfile.mkdtemp(prefix="trailwarden-")
+
+
 def shared_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, a single machine) a temporary
-    folder is made, and the same one is used for the rest of the session.
+    Only on a single machine (tests) may the setting be absent: one temporary
+    folder then serves the session.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="trailwarden-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
-    return root
+    if root:
+        return root
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a shared folder")
+    return _own_root(spark.sparkContext.applicationId)
 
 
 def new_workdir(spark: SparkSession, name: str) -> str:

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trailwarden.functions.eventjson import event_json
+from trailwarden.operators.enrich import Step, enrich
 from trailwarden.operators.evidence import (
     evidence_window,
     instant,
@@ -40,7 +41,7 @@ from trailwarden.operators.evidence import (
 )
 from trailwarden.operators.keyed import insert_if_absent
 from trailwarden.operators.matching import build_alerts
-from trailwarden.operators.validation import split_metadata
+from trailwarden.operators.validation import split_rows
 from trailwarden.schemas import ALERT, AUDIT_EVENT, EVENT_COLUMNS, METADATA
 from trailwarden.sources.events import RECORD
 
@@ -185,7 +186,7 @@ def write_metadata(
     that number limits the read to the recent folders.
     """
     spark = events.sparkSession
-    rows, refused = split_metadata(to_metadata(_with_seq(events), "seq"))
+    rows, refused = split_rows(to_metadata(_with_seq(events), "seq"))
     target = None
     if batch_id > 0:
         target = read_table(spark, stores, "metadata").where(F.col("batch_id") < batch_id)
@@ -266,8 +267,8 @@ def default_sinks(
 def fan_out(events: DataFrame, sinks: list[Sink], batch_id: int) -> None:
     """Give one batch to every sink in turn.
 
-    The batch is kept so it is computed once; a failing sink fails the batch,
-    and the replay overwrites what the earlier sinks wrote.
+    A failing sink fails the batch, and the replay overwrites what the earlier
+    sinks wrote.  The batch is kept meanwhile, so it is computed once.
     """
     events = events.persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -278,8 +279,31 @@ def fan_out(events: DataFrame, sinks: list[Sink], batch_id: int) -> None:
         events.unpersist()
 
 
+def fan_out_decoded(
+    decoded: DataFrame,
+    stores: Stores,
+    sinks: list[Sink],
+    batch_id: int,
+    steps: list[Step] | None = None,
+) -> None:
+    """Enrich decoded records and fan them out; set the undecodable ones aside.
+
+    Good and bad rows come from one kept frame, so a record is parsed once.
+    """
+    kept = enrich(decoded, steps).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        failed = F.col("decode_error").isNotNull()
+        write_quarantine(kept.where(failed).select("key", "value", "seq", "decode_error"), stores, batch_id)
+        good = kept.where(~failed).drop("decode_error", "key", "value")
+        rows = good.count()
+        for sink in sinks:
+            sink.write(good, batch_id, rows)
+    finally:
+        kept.unpersist()
+
+
 __all__ = [
-    "Sink", "Stores", "default_sinks", "fan_out", "in_tenant_order", "read_evidence",
+    "Sink", "Stores", "default_sinks", "fan_out", "fan_out_decoded", "in_tenant_order", "read_evidence",
     "read_evidence_window", "read_table", "topic_records", "write_alerts", "write_enriched",
     "write_evidence", "write_kafka", "write_metadata", "write_quarantine",
 ]

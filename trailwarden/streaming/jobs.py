@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from trailwarden.functions.eventjson import decode_events
-from trailwarden.operators.enrich import Step, enrich
+from trailwarden.operators.enrich import Step
 from trailwarden.operators.evidence import to_metadata
 from trailwarden.operators.validation import accepted, normalize_requests, rejected
 from trailwarden.sinks.tables import (
@@ -22,11 +22,11 @@ from trailwarden.sinks.tables import (
     Stores,
     default_sinks,
     fan_out,
+    fan_out_decoded,
     in_tenant_order,
     topic_records,
     write_alerts,
     write_metadata,
-    write_quarantine,
 )
 from trailwarden.sources.querylog import log_events
 
@@ -63,11 +63,7 @@ def enrichment_stream(
     targets = default_sinks(stores, rules) if sinks is None else sinks
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        decoded = decode_events(batch)
-        good = decoded.where(F.col("decode_error").isNull()).drop("decode_error", "key", "value")
-        bad = decoded.where(F.col("decode_error").isNotNull())
-        write_quarantine(bad.select("key", "value", "seq", "decode_error"), stores, batch_id)
-        fan_out(enrich(good, steps), targets, batch_id)
+        fan_out_decoded(decode_events(batch), stores, targets, batch_id, steps)
 
     return run_batches(records, handle, checkpoint, every)
 
