@@ -107,7 +107,7 @@ def test_purge_drops_folders_and_rewrites_the_boundary(spark, events_of, tmp_pat
 
 def test_topic_files_keep_each_tenants_order(spark, events_of, tmp_path):
     events = with_seq(events_of(*[{"customerId": "big" if i % 3 else "small"} for i in range(300)]).repartition(5))
-    placed = tb.in_tenant_order(tb.topic_records(events), 4)
+    placed = tb.topic_records(tb.in_tenant_order(events, 4))
     rows = placed.withColumn("part", F.spark_partition_id()).collect()
     for tenant in ("big", "small"):
         mine = [r.seq for r in rows if r.key == tenant]

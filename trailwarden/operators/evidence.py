@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from datetime import datetime
+from datetime import date, datetime, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,6 +53,12 @@ def instant(value: str | datetime) -> Column:
     return F.to_timestamp(F.lit(value))
 
 
+def utc_day(value: str | datetime) -> date:
+    """The UTC day of ISO text or a datetime (a naive one is UTC)."""
+    moment = datetime.fromisoformat(value) if isinstance(value, str) else value
+    return (moment.astimezone(timezone.utc) if moment.tzinfo else moment).date()
+
+
 def window_bounds(start, end) -> tuple[Column, Column]:
     """Both ends of a closed window, cut to whole seconds."""
     return F.date_trunc("second", instant(start)), F.date_trunc("second", instant(end))

@@ -124,7 +124,7 @@ def corrupt_records(spark, sf_dir):
 
 @query
 def topic_records(spark, sf_dir):
-    return in_tenant_order(fx.raw_records(spark, sf_dir)).select("seq", "key", "value")
+    return to_records(in_tenant_order(fx.audit_events(spark, sf_dir))).select("seq", "key", "value")
 
 
 # -- enrichment --------------------------------------------------------------

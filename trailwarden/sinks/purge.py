@@ -14,7 +14,7 @@ from trailwarden.operators.retention import (
     kept,
     purge_summary,
 )
-from trailwarden.sinks.tables import Stores, read_table
+from trailwarden.sinks.tables import Stores, day_folders, read_table
 
 
 def _drop_folders(spark: SparkSession, root: str, names: list[str]) -> None:
@@ -38,17 +38,16 @@ def purge_metadata(
     falls in is read and rewritten.  Running it again after a failure is safe.
     """
     day = stores.first_day(cutoff_for(now, days).date())
-    table = read_table(spark, stores, "metadata").where(F.col("event_date") <= F.lit(day))
+    table = read_table(spark, stores, "metadata", last=day)
     counts = purge_summary(table, now, days, batch).first()
     boundary = table.where(F.col("event_date") == F.lit(day))
     left = kept(boundary, now, days)
-    # Folder names only: at most one per stored day, and per batch of one day.
-    old_days = table.where(F.col("event_date") < F.lit(day)).select("event_date").distinct()
     emptied = boundary.select("batch_id").distinct().join(
         left.select("batch_id").distinct(), "batch_id", "left_anti"
     )
-    folders = [f"event_date={r[0]}" for r in old_days.toLocalIterator()]
-    folders += [f"event_date={day}/batch_id={r[0]}" for r in emptied.toLocalIterator()]
+    # Folder names only: one per stored day, and at most one per batch of one day.
+    folders = [n for n in day_folders(spark, stores, "metadata", last=day) if n != f"event_date={day}"]
+    folders += [f"event_date={day}/batch_id={r[0]}" for r in emptied.collect()]
     (
         left.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

@@ -34,9 +34,9 @@ from trailwarden.functions.eventjson import event_json
 from trailwarden.operators.enrich import Step, enrich
 from trailwarden.operators.evidence import (
     evidence_window,
-    instant,
     latest_evidence,
     to_metadata,
+    utc_day,
     window_bounds,
 )
 from trailwarden.operators.keyed import insert_if_absent
@@ -103,11 +103,35 @@ def table_schema(table: str) -> T.StructType:
     return T.StructType(_SCHEMAS[table].fields + keys)
 
 
-def read_table(spark: SparkSession, stores: Stores, table: str) -> DataFrame:
-    """A table with its declared schema; empty before the first write."""
+def day_folders(
+    spark: SparkSession, stores: Stores, table: str, first: date | None = None, last: date | None = None
+) -> list[str]:
+    """Names of a dated table's top folders in a range: one short listing."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(stores.path(table))
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    names = [status.getPath().getName() for status in fs.listStatus(path)]
+    low, high = f"event_date={first or date.min}", f"event_date={last or date.max}"
+    return sorted(n for n in names if n.startswith("event_date=") and low <= n <= high)
+
+
+def read_table(
+    spark: SparkSession, stores: Stores, table: str, first: date | None = None, last: date | None = None
+) -> DataFrame:
+    """A table with its declared schema; empty before the first write.
+
+    With ``first`` / ``last`` only the folders in that range are even listed,
+    which keeps a short read short on a table with years of batches.
+    """
     schema = table_schema(table)
+    root = stores.path(table)
+    reader = spark.read.schema(schema)
+    if first or last:
+        paths = [f"{root}/{n}" for n in day_folders(spark, stores, table, first, last)]
+        return reader.option("basePath", root).parquet(*paths) if paths else spark.createDataFrame([], schema)
     try:
-        return spark.read.schema(schema).parquet(stores.path(table))
+        return reader.parquet(root)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in (e.getCondition() or ""):
             return spark.createDataFrame([], schema)
@@ -157,16 +181,15 @@ def read_evidence_window(spark: SparkSession, stores: Stores, customer_id: str,
     Whole documents are read for the window's days only.  Whether a version was
     replaced by one outside the window is decided on ids and write order alone.
     """
-    versions = read_table(spark, stores, "evidence").withColumn("_order", F.struct("batch_id", "seq"))
-    inside = evidence_window(versions, customer_id, start, end)
-    first, last = (F.to_date(F.date_trunc(stores.period, instant(t))) for t in (start, end))
-    days = F.col("event_date").between(first, last)
-    latest = latest_evidence(inside.where(days), F.col("_order"))
+    first, last = (stores.first_day(utc_day(t)) for t in (start, end))
+    order = F.struct("batch_id", "seq")
+    recent = read_table(spark, stores, "evidence", first, last).withColumn("_order", order)
+    latest = latest_evidence(evidence_window(recent, customer_id, start, end), F.col("_order"))
     low, high = window_bounds(start, end)
-    outside = versions.where(
+    outside = read_table(spark, stores, "evidence").where(
         (F.col("customerId") == F.lit(customer_id)) & ~F.col("timestamp").between(low, high)
-    ).select(F.col("eventId").alias("_id"), F.col("_order").alias("_later"))
-    newer = outside.groupBy("_id").agg(F.max("_later").alias("_later"))
+    )
+    newer = outside.groupBy(F.col("eventId").alias("_id")).agg(F.max(order).alias("_later"))
     replaced = (F.col("eventId") == F.col("_id")) & (F.col("_later") > F.col("_order"))
     return latest.join(newer, replaced, "left_anti").select(*EVENT_COLUMNS, "event_time")
 
@@ -189,12 +212,11 @@ def write_metadata(
     rows, refused = split_rows(to_metadata(_with_seq(events), "seq"))
     target = None
     if batch_id > 0:
-        target = read_table(spark, stores, "metadata").where(F.col("batch_id") < batch_id)
+        first = None
         if lookback_days is not None:
             oldest = rows.agg(F.min(F.to_date("occurred_at"))).first()[0]
-            if oldest:
-                first = stores.first_day(oldest - timedelta(days=lookback_days))
-                target = target.where(F.col("event_date") >= F.lit(first))
+            first = stores.first_day(oldest - timedelta(days=lookback_days)) if oldest else None
+        target = read_table(spark, stores, "metadata", first).where(F.col("batch_id") < batch_id)
     fresh = insert_if_absent(rows, target, "event_id", F.col("seq"), batch_rows)
     order = ("event_date", "batch_id", "occurred_at")
     dated = fresh.withColumns(
@@ -210,18 +232,22 @@ def topic_records(events: DataFrame) -> DataFrame:
     return events.select(F.col("customerId").alias("key"), event_json().alias("value"), *extra)
 
 
-def in_tenant_order(records: DataFrame, partitions: int = TOPIC_PARTITIONS) -> DataFrame:
-    """Place records so that reading the files in order keeps each tenant's order.
+def in_tenant_order(events: DataFrame, partitions: int = TOPIC_PARTITIONS) -> DataFrame:
+    """Place events so that reading the files in order keeps each tenant's order.
 
     Ranges over (tenant, seq) instead of a hash of the tenant: a dominant tenant
     is cut into consecutive ranges and never forced into one task.
     """
-    return records.repartitionByRange(partitions, "key", "seq").sortWithinPartitions("key", "seq")
+    order = ("customerId", "seq")
+    return events.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
 
 
 def write_enriched(events: DataFrame, stores: Stores, batch_id: int) -> None:
-    """Publish enriched events for alerting; replays publish again."""
-    _write(in_tenant_order(topic_records(_with_seq(events))), stores, "enriched", batch_id)
+    """Publish enriched events for alerting; replays publish again.
+
+    The JSON is made after the placing, which samples its input first.
+    """
+    _write(topic_records(in_tenant_order(_with_seq(events))), stores, "enriched", batch_id)
 
 
 def write_kafka(records: DataFrame, servers: str, topic: str, **options: str) -> None:

@@ -109,8 +109,8 @@ def ingest_stream(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         checked = normalize_requests(batch, ingest_ts())
-        good = topic_records(accepted(checked).withColumn("seq", F.monotonically_increasing_id()))
-        in_tenant_order(good).write.mode("overwrite").parquet(
+        good = in_tenant_order(accepted(checked).withColumn("seq", F.monotonically_increasing_id()))
+        topic_records(good).write.mode("overwrite").parquet(
             f"{stores.path('raw')}/batch_id={batch_id}"
         )
         rejected(checked).drop("controls", "tags").write.mode("overwrite").parquet(
