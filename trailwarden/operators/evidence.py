@@ -8,6 +8,7 @@ from datetime import date, datetime, timezone
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trailwarden.functions.eventjson import event_json
 from trailwarden.operators.keyed import last_per_key
 
 _TABLE_NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
@@ -18,6 +19,11 @@ def evidence_key() -> Column:
     return F.format_string("%s/%s.json", F.col("customerId"), F.col("eventId"))
 
 
+def evidence_documents(events: DataFrame, *extra: str) -> DataFrame:
+    """(evidence_key, document): the address and the full JSON of each event."""
+    return events.select(*extra, evidence_key().alias("evidence_key"), event_json().alias("document"))
+
+
 def latest_evidence(versions: DataFrame, order: Column) -> DataFrame:
     """The version that a read of each document returns: the last one written."""
     return last_per_key(versions, ["customerId", "eventId"], order)

@@ -222,8 +222,7 @@ def alerts_end_to_end(spark, sf_dir):
 @query
 def evidence_latest(spark, sf_dir):
     latest = ev.latest_evidence(en.enrich(fx.replayed_events(spark, sf_dir)), F.col("seq"))
-    flat = latest.withColumn("evidence_key", ev.evidence_key())
-    return flat.select("evidence_key", "seq", F.col("riskLevel").alias("risk_level"), "anomalous")
+    return ev.evidence_documents(latest, "seq")
 
 
 @query
@@ -499,6 +498,29 @@ def stream_log_collect(spark, sf_dir):
     return _flat_metadata(read_table(spark, stores, "metadata"))
 
 
+@query
+def stream_ingest(spark, sf_dir):
+    """Stream landed requests into the raw topic; decode what arrived there."""
+    stores = Stores(new_workdir(spark, "stream-ingest"))
+    requests = fx.requests(spark, sf_dir, streaming=True)
+    _finish(streams.ingest_stream(requests, lambda: ev.instant(fx.INGEST_TS), stores, _checkpoint(stores)))
+    arrived = event_source.decoded(spark.read.parquet(stores.path("raw")))
+    return _flat(arrived, "eventId", "customerId", "type", "resource", "timestamp", "riskLevel", "anomalous")
+
+
+@query
+def stream_dedupe_recent(spark, sf_dir):
+    """Stream replayed deliveries through the bounded-state duplicate filter."""
+    stores = Stores(new_workdir(spark, "stream-recent"))
+    unique = streams.recent_unique(fx.replayed_events(spark, sf_dir, streaming=True), "30 days")
+
+    def keep(batch, batch_id):
+        batch.select("event_id").write.mode("overwrite").parquet(f"{stores.path('recent')}/batch_id={batch_id}")
+
+    _finish(streams.run_batches(unique, keep, _checkpoint(stores)))
+    return spark.read.parquet(stores.path("recent")).select("event_id")
+
+
 @query
 def stream_dedupe(spark, sf_dir):
     """Stream replayed deliveries into the insert-if-absent store."""

@@ -190,10 +190,10 @@ def poisoned_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_records(spark, sf_dir).withColumn("value", value)
 
 
-def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def requests(spark: SparkSession, sf_dir: str, streaming: bool = False) -> DataFrame:
     """Wire requests, some of them invalid."""
     which = F.col("event_id") % 50
-    base = table(spark, sf_dir, "events")
+    base = table(spark, sf_dir, "events", streaming)
     return base.select(
         F.col("event_id").alias("seq"),
         F.when(which == 1, F.lit("  ")).otherwise(F.concat(F.lit("evt-"), _text("event_id"))).alias("eventId"),

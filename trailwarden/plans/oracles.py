@@ -165,6 +165,8 @@ def _json_event(time: str = "ts", controls: str = "'[]'", risk: str = "risk_leve
     return f"'{{' || {joined} || '}}'"
 
 
+_ENRICHED_JSON = _json_event(controls="controls_json", anomalous="CAST(anomalous AS VARCHAR)", tags="tags")
+
 _RULES = """
 rules(rule_id, tenant, name, event_type, min_rank, channels) AS (VALUES
   ('r01', 'cust-0', 'Failed login', 'AUTH_EVENT', -1, ['slack']),
@@ -305,9 +307,7 @@ def all_oracles() -> dict[str, str]:
     sql["enrich_controls"] = _with(*_ENRICHED) + "SELECT event_id, type, controls FROM enriched"
     sql["enrich_anomaly"] = _with(*_ENRICHED) + "SELECT event_id, type, risk_level, anomalous FROM enriched"
     sql["enrich_all"] = _with(*_ENRICHED) + f"SELECT {_FLAT} FROM enriched"
-    sql["enriched_records"] = _with(*_ENRICHED) + "SELECT seq, customer_id AS key, {} AS value FROM enriched".format(
-        _json_event(controls="controls_json", anomalous="CAST(anomalous AS VARCHAR)", tags="tags")
-    )
+    sql["enriched_records"] = _with(*_ENRICHED) + "SELECT seq, customer_id AS key, {} AS value FROM enriched".format(_ENRICHED_JSON)
 
     sql["rules_load"] = """
 SELECT concat('nation-', CAST(c_nationkey AS VARCHAR)) AS customer_id, count(*) AS rule_count,
@@ -339,8 +339,11 @@ UNION ALL SELECT 'r08', event_id FROM enriched WHERE customer_id = 'cust-4' AND
 
     sql["evidence_latest"] = (
         _with(_AUDIT_RAW, _REPLAYED, _CONTROLS, _enriched("replayed"))
-        + """SELECT customer_id || '/' || event_id || '.json' AS evidence_key, seq, risk_level, anomalous
-FROM (SELECT *, row_number() OVER (PARTITION BY customer_id, event_id ORDER BY seq DESC) AS rn FROM enriched) WHERE rn = 1"""
+        + "SELECT seq, customer_id || '/' || event_id || '.json' AS evidence_key, {} AS document FROM ({})".format(
+            _ENRICHED_JSON,
+            "SELECT *, row_number() OVER (PARTITION BY customer_id, event_id ORDER BY seq DESC) AS rn FROM enriched",
+        )
+        + " WHERE rn = 1"
     )
     sql["metadata_insert"] = _with(*_STORED) + _metadata_rows("WHERE event_type <> 'AUTH_EVENT'")
     sql["metadata_violations"] = (
@@ -460,5 +463,11 @@ UNION ALL SELECT 'mysql-general-log:acme-crm', count(*), count(*) FROM customer
     sql["stream_enrich"] = sql["enrich_all"]
     sql["stream_alerts"] = sql["alert_messages"]
     sql["stream_log_collect"] = sql["log_to_metadata"]
+    sql["stream_ingest"] = (
+        _with(_REQUESTS)
+        + "SELECT event_id, customer_id, type, resource, '2026-01-01T00:00:00Z' AS ts, 'LOW' AS risk_level, "
+        "false AS anomalous FROM checked WHERE reject_reason IS NULL"
+    )
+    sql["stream_dedupe_recent"] = _with(_AUDIT_RAW) + "SELECT DISTINCT event_id FROM audit_raw"
     sql["stream_dedupe"] = _with(*_STORED) + _metadata_rows()
     return sql
