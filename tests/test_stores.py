@@ -92,6 +92,38 @@ def test_window_uses_the_latest_version_wherever_it_is(spark, events_of, tmp_pat
     assert "PushedFilters" in plan and "EqualTo(customerId,cust-1)" in plan
 
 
+def test_records_to_stores_to_report(spark, events_of, rules_of, tmp_path):
+    from trailwarden.plans.jobs import alerts_for, framework_report, store_records, write_report
+
+    stores = tb.Stores(str(tmp_path / "stores"), "month")
+    events = events_of(
+        {"type": "DATA_EXPORT"}, {"type": "AUTH_EVENT", "riskLevel": None}, {"type": "API_CALL", "customerId": "x"},
+        {"type": "AUTH_EVENT", "timestamp": AT + timedelta(days=60)},
+    )
+    records = tb.topic_records(with_seq(events))
+    rules = rules_of({"customerId": "cust-1", "conditionExpression": "anomalous"})
+    store_records(records, stores, rules)
+    assert contents(spark, stores, "alerts", "event_id") == [("evt-0",)]
+    assert [r.event_id for r in alerts_for(records, rules).collect()] == ["evt-0"]
+    reports = {
+        framework: [r.value for r in framework_report(spark, stores, framework, "cust-1", AT, AT + timedelta(days=1)).collect()]
+        for framework in ("SOC2", "GDPR", "HIPAA")
+    }
+    assert reports["SOC2"][3:] == [
+        "Events: 2",
+        "evt-0 | DATA_EXPORT | controls=AU-2 | risk=HIGH",
+        "evt-1 | AUTH_EVENT | controls=AC-2,IA-2 | risk=null",
+    ]
+    assert reports["GDPR"][4:] == ["evt-0 | DATA_EXPORT | controls=Art-30 | risk=HIGH"]
+    assert reports["HIPAA"] == [
+        "HIPAA Audit Controls Report", "Customer: cust-1",
+        "Period: 2026-01-01T00:00:00Z - 2026-01-02T00:00:00Z", "Events: 0",
+    ]
+    out = str(tmp_path / "report")
+    write_report(framework_report(spark, stores, "GDPR", "cust-1", AT, AT + timedelta(days=1)), out)
+    assert spark.read.text(out).count() == 5
+
+
 @pytest.mark.parametrize("period", ["day", "month"])
 def test_purge_drops_folders_and_rewrites_the_boundary(spark, events_of, tmp_path, period):
     stores = tb.Stores(str(tmp_path), period)

@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trailwarden.functions.eventjson import decode_events
 from trailwarden.operators.enrich import Step, enrich
 from trailwarden.operators.evidence import to_metadata
 from trailwarden.operators.keyed import insert_if_absent
 from trailwarden.operators.matching import build_alerts
-from trailwarden.operators.reports import ordered_report, report_document
-from trailwarden.sinks.tables import Stores, default_sinks, fan_out, read_evidence_window
+from trailwarden.operators.reports import ordered_report, relevant_events, report_document
+from trailwarden.session import new_workdir
+from trailwarden.sinks.tables import (
+    Stores,
+    default_sinks,
+    fan_out_decoded,
+    read_evidence_window,
+)
 from trailwarden.sources.events import decoded
 from trailwarden.sources.querylog import log_events
 
@@ -28,8 +35,11 @@ def alerts_for(records: DataFrame, rules: DataFrame, **build) -> DataFrame:
 def store_records(
     records: DataFrame, stores: Stores, rules: DataFrame | None = None, batch_id: int = 0
 ) -> None:
-    """One batch of raw records through enrichment into every store."""
-    fan_out(enrich_records(records), default_sinks(stores, rules), batch_id)
+    """One batch of raw records through enrichment into every store.
+
+    Records that do not decode end up in the quarantine table.
+    """
+    fan_out_decoded(decode_events(records), stores, default_sinks(stores, rules), batch_id)
 
 
 def log_metadata(
@@ -44,9 +54,15 @@ def log_metadata(
 def framework_report(
     spark: SparkSession, stores: Stores, framework: str, customer_id: str, start, end
 ) -> DataFrame:
-    """A tenant's report for a period, as ordered lines."""
-    events = read_evidence_window(spark, stores, customer_id, start, end)
-    return ordered_report(report_document(events, framework, customer_id, start, end))
+    """A tenant's report for a period, as ordered lines.
+
+    The report needs its events twice, for the count and for the lines, so what
+    a line is made of is written once instead of reading the evidence again.
+    """
+    events = relevant_events(read_evidence_window(spark, stores, customer_id, start, end), framework)
+    path = new_workdir(spark, "report")
+    events.select("eventId", "timestamp", "type", "controls", "riskLevel").write.parquet(path)
+    return ordered_report(report_document(spark.read.parquet(path), framework, customer_id, start, end))
 
 
 def write_report(report: DataFrame, path: str) -> None:

@@ -45,8 +45,6 @@ from trailwarden.operators.validation import split_rows
 from trailwarden.schemas import ALERT, AUDIT_EVENT, EVENT_COLUMNS, METADATA
 from trailwarden.sources.events import RECORD
 
-TOPIC_PARTITIONS = 6
-
 
 @dataclass(frozen=True)
 class Stores:
@@ -223,7 +221,7 @@ def write_metadata(
         {"event_date": stores.event_date("occurred_at"), "batch_id": F.lit(batch_id).cast("bigint")}
     )
     _write(dated.hint("rebalance", "event_date").sortWithinPartitions(*order), stores, "metadata", batch_id)
-    _write(refused, stores, "violations", batch_id)
+    _write(refused.hint("rebalance"), stores, "violations", batch_id)
 
 
 def topic_records(events: DataFrame) -> DataFrame:
@@ -232,14 +230,16 @@ def topic_records(events: DataFrame) -> DataFrame:
     return events.select(F.col("customerId").alias("key"), event_json().alias("value"), *extra)
 
 
-def in_tenant_order(events: DataFrame, partitions: int = TOPIC_PARTITIONS) -> DataFrame:
+def in_tenant_order(events: DataFrame, partitions: int | None = None) -> DataFrame:
     """Place events so that reading the files in order keeps each tenant's order.
 
     Ranges over (tenant, seq) instead of a hash of the tenant: a dominant tenant
-    is cut into consecutive ranges and never forced into one task.
+    is cut into consecutive ranges and never forced into one task.  Without a
+    number the shuffle setting decides, and adaptive execution merges ranges.
     """
     order = ("customerId", "seq")
-    return events.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
+    ranges = (partitions, *order) if partitions else order
+    return events.repartitionByRange(*ranges).sortWithinPartitions(*order)
 
 
 def write_enriched(events: DataFrame, stores: Stores, batch_id: int) -> None:
@@ -261,11 +261,12 @@ def write_kafka(records: DataFrame, servers: str, topic: str, **options: str) ->
 
 def write_alerts(events: DataFrame, rules: DataFrame, stores: Stores, batch_id: int, **build) -> None:
     """Fill the outbox.  Two deliveries of an event alert twice, a replay does not."""
-    _write(build_alerts(events, rules, **build), stores, "alerts", batch_id)
+    # few alerts per task: merged into full files, split where one is large
+    _write(build_alerts(events, rules, **build).hint("rebalance"), stores, "alerts", batch_id)
 
 
 def write_quarantine(records: DataFrame, stores: Stores, batch_id: int) -> None:
-    _write(_with_seq(records), stores, "quarantine", batch_id)
+    _write(_with_seq(records).hint("rebalance"), stores, "quarantine", batch_id)
 
 
 @dataclass(frozen=True)
