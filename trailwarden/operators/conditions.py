@@ -353,13 +353,14 @@ def compile_condition(text: str) -> Compiled:
     return Compiled(F.coalesce(result.column, F.lit(False)), compiler.warnings, compiler.patterns)
 
 
-def check_patterns(spark: SparkSession, compiled: Compiled) -> None:
-    """A malformed pattern must disable its rule, not stop the job."""
-    for pattern in compiled.patterns:
-        try:
-            spark.range(1).select(F.regexp_like(F.lit(""), F.lit(pattern)).alias("ok")).collect()
-        except Exception as e:
-            raise ConditionError(f"malformed pattern {pattern!r}") from e
+def patterns_work(spark: SparkSession, patterns: list[str]) -> bool:
+    """Whether the engine accepts all the patterns (one tiny job)."""
+    tests = [F.regexp_like(F.lit(""), F.lit(p)).alias(f"p{i}") for i, p in enumerate(patterns)]
+    try:
+        spark.range(1).select(*tests).collect()
+    except Exception:
+        return False
+    return True
 
 
 @dataclass
@@ -379,15 +380,21 @@ class ConditionSet:
 
 
 def compile_all(spark: SparkSession, texts: list[str]) -> ConditionSet:
-    result = ConditionSet({}, {}, {})
-    for number, text in enumerate(texts, start=1):
-        result.ids[text] = number
+    """Compile every condition; what is rejected only disables its own rules."""
+    result = ConditionSet({}, {text: n for n, text in enumerate(texts, start=1)}, {})
+    for text, number in result.ids.items():
         try:
-            compiled = compile_condition(text)
-            check_patterns(spark, compiled)
-            result.compiled[number] = compiled
+            result.compiled[number] = compile_condition(text)
         except ConditionError as e:
             result.errors[text] = str(e)
+    patterns = [p for c in result.compiled.values() for p in c.patterns]
+    if patterns and not patterns_work(spark, patterns):
+        # A malformed pattern must not stop the job: find the conditions to drop.
+        for text, number in result.ids.items():
+            found = result.compiled.get(number)
+            if found and found.patterns and not patterns_work(spark, found.patterns):
+                del result.compiled[number]
+                result.errors[text] = f"malformed pattern {found.patterns[0]!r}"
     return result
 
 
