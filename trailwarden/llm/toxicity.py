@@ -29,10 +29,11 @@ from trailwarden.llm.common import saved, table
 #: Rows of labelled text that lexicon and classifier are fitted on, lowest hashes first.
 SAMPLE_ROWS = 20_000
 #: Words the learnt lexicon may hold, and what a word must show to be in it.
-LEXICON_WORDS = 128
-MIN_SHARE = 0.04
+LEXICON_WORDS = 512
+MIN_SHARE = 0.01
 MIN_TOXIC = 5
-MIN_RATIO = 20.0
+MIN_RATIO = 8.0
+PREFIXES = (3, 4, 5, 6, 7, 8)
 LEXICON_VOTERS = 6
 ROUNDS = 60
 THRESHOLD = 0.7
@@ -53,7 +54,7 @@ MASKED = re.compile(r"\b[^\W\d_]+\*{2,}[^\W\d_]*\b")
 DISGUISED = re.compile(r"(?=\w*[0-9@$!])(?=[0-9@$!]*[^\W\d_])[\w@$!]{4,}")
 ADDRESS = re.compile(r"\b(?:you|your|du|dein|tu|ton|eres|sois)\b\s+(?:are\s+|re\s+|bist\s+|es\s+)?(?:an?\s+|ein\s+|une?\s+)?([^\W\d_]+)", re.I)
 STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
-PATTERN_VOTERS = ("insults", "disguised", "addressed", "stretched", "masked", "repeated")
+PATTERN_VOTERS = ("insults", "disguised", "addressed", "stretched", "masked", "repeated", "often")
 VOTERS = LEXICON_VOTERS + len(PATTERN_VOTERS)
 KNOWN = frozenset(w for words in INSULTS.values() for w in words.split())
 
@@ -62,13 +63,18 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
+def marks_of(words: set[str]) -> set[str]:
+    """Words and, for inflected and compounded forms, their beginnings with a hyphen."""
+    return words.union(*({w[:n] + "-" for w in words if len(w) > n} for n in PREFIXES))
+
+
 def words_of(text: str) -> set[str]:
-    return set(LETTERS.findall(text.lower()))
+    return marks_of(set(LETTERS.findall(text.lower())))
 
 
 @dataclass
 class Lexicon:
-    """Learnt words, strongest first; every voter has each sixth of them."""
+    """Learnt words and beginnings of words, strongest first; every voter has a sixth of them."""
 
     words: list[str]
 
@@ -80,11 +86,11 @@ class Lexicon:
         """Bits of the voters that fire, and the learnt words that occur."""
         lower = text.lower()
         words = set(LETTERS.findall(lower))
-        found = sorted(self.index[w] for w in words & self.index.keys())
+        found = sorted(self.index[w] for w in marks_of(words) & self.index.keys())
         bits = 0
         for i in found:
-            bits |= 1 << i % LEXICON_VOTERS
-        hits = words & self.marks
+            bits |= 1 << i * LEXICON_VOTERS // len(self.words)
+        hits = {w for w in words if marks_of({w}) & self.marks} if found else words & KNOWN
         disguised = {m.translate(DISGUISES) for m in DISGUISED.findall(lower)} if re.search(r"[0-9@$!]", lower) else set()
         fired = (
             bool(words & KNOWN),
@@ -93,6 +99,7 @@ class Lexicon:
             any(STRETCHED.sub(r"\1", w) in self.marks for w in words - hits if STRETCHED.search(w)),
             bool(MASKED.search(text)),
             len(hits) > 1,
+            len(hits) > 3,
         )
         for k, fires in enumerate(fired):
             bits |= fires << LEXICON_VOTERS + k
@@ -119,7 +126,7 @@ def learn_lexicon(training: DataFrame) -> Lexicon:
 
     def spread(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            sets = [words_of(t or "") for t in frame["text"]]
+            sets = [words_of(t or "") for t in frame["text"]]  # with beginnings
             yield pd.DataFrame({"sketch": [_sketch(s) for s in sets], "toxic": frame["toxic"].astype("int32"), "words": [sorted(s) for s in sets]})
 
     once = training.mapInPandas(spread, "sketch long, toxic int, words array<string>")
@@ -131,8 +138,9 @@ def learn_lexicon(training: DataFrame) -> Lexicon:
     counts = once.groupBy("word").agg(
         F.sum(F.col("toxic")).alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
     ratio = (F.col("bad") / toxic) / ((F.col("good") + 0.5) / (clean + 1))
-    best = counts.where((F.col("bad") >= max(MIN_TOXIC, MIN_SHARE * toxic)) & (ratio >= MIN_RATIO))
-    return Lexicon([r["word"] for r in best.orderBy(F.desc("bad"), "word").limit(LEXICON_WORDS).collect()])
+    best = counts.withColumn("ratio", ratio).where((F.col("bad") >= max(MIN_TOXIC, MIN_SHARE * toxic)) & (F.col("ratio") >= MIN_RATIO))
+    chosen = best.orderBy(F.desc("bad"), F.desc("ratio"), "word").limit(LEXICON_WORDS)
+    return Lexicon([r["word"] for r in chosen.orderBy(F.desc("ratio"), F.desc("bad"), "word").collect()])
 
 
 def cast_votes(docs: DataFrame, lexicon: Lexicon, *keep: str) -> DataFrame:
