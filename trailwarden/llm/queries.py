@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trailwarden.llm import line_dedup, mixing, packing, toxicity
+from trailwarden.llm import line_dedup, mixing, near_dup, packing, toxicity
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_near_dup": near_dup.op3_near_dup,
         "op4_mixing": mixing.op4_mixing,
         "op6_toxicity": toxicity.op6_toxicity,
         "op8_packing": packing.op8_packing,
@@ -19,4 +20,4 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def all_oracles() -> dict[str, str]:
-    return {"op4_mixing": mixing.SQL, "op10_line_dedup": line_dedup.SQL}
+    return {"op3_near_dup": near_dup.SQL, "op4_mixing": mixing.SQL, "op10_line_dedup": line_dedup.SQL}
