@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trailwarden.llm import line_dedup, mixing, packing, toxicity
+from trailwarden.llm import line_dedup, mixing, near_dup, packing, toxicity
 from trailwarden.llm.common import saved, table
 
 
@@ -22,6 +22,10 @@ def drop_seen_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return line_dedup.dedup_lines(docs).select(*docs.columns)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dup.one_of_each(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
@@ -33,6 +37,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 STAGES = [
     ("toxicity", drop_toxic),
     ("line_dedup", drop_seen_lines),
+    ("near_dup", drop_near_copies),
     ("mixing", mix_sources),
     ("packing", pack_sequences),
 ]
