@@ -6,18 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trailwarden.llm import line_dedup, mixing, near_dup, packing, toxicity
+from trailwarden.llm import licences, line_dedup, mixing, near_dup, packing, quality, topk, toxicity
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_top_k": topk.op1_top_k,
         "op3_near_dup": near_dup.op3_near_dup,
         "op4_mixing": mixing.op4_mixing,
+        "op5_quality": quality.op5_quality,
         "op6_toxicity": toxicity.op6_toxicity,
         "op8_packing": packing.op8_packing,
+        "op9_licences": licences.op9_licences,
         "op10_line_dedup": line_dedup.op10_line_dedup,
     }
 
 
 def all_oracles() -> dict[str, str]:
-    return {"op3_near_dup": near_dup.SQL, "op4_mixing": mixing.SQL, "op10_line_dedup": line_dedup.SQL}
+    return {"op1_top_k": topk.SQL, "op3_near_dup": near_dup.SQL, "op4_mixing": mixing.SQL, "op10_line_dedup": line_dedup.SQL}
