@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
-from string import ascii_uppercase
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,9 +30,15 @@ def saved(df: DataFrame, name: str, partition_by: Iterable[str] = ()) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ascii_lower(text: Column) -> Column:
-    """A-Z in lower case, every other character as it is."""
-    return reduce(lambda c, letter: F.replace(c, F.lit(letter), F.lit(letter.lower())), ascii_uppercase, text)
+def folded(text: Column) -> Column:
+    """A text that two texts share exactly if they differ in the case of A-Z only.
+
+    For comparing and hashing, not for reading: the UTF-8 bytes are taken for
+    Latin-1 and put in lower case. That moves A-Z and the first bytes of longer
+    characters (C0-DE to E0-FE); since those are told apart by the number of
+    bytes that follow, no two texts fall together that should not.
+    """
+    return F.lower(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"))
 
 
 def lacks(df: DataFrame) -> bool:

@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailwarden.llm.common import BLANKS, ascii_lower, saved, table
+from trailwarden.llm.common import BLANKS, folded, saved, table
 from trailwarden.session import new_workdir
 
 MIN_LENGTH = 10
@@ -30,15 +30,12 @@ FANOUT = 3
 LAST_ID = (1 << 63) - 1
 
 
-def line_key(line: Column) -> Column:
-    return ascii_lower(F.btrim(line, F.lit(BLANKS)))
-
-
-def key_hashes(line: Column) -> Column:
-    """128 bits of a line's key; null for keys too short to be judged."""
-    key = line_key(line)
-    pair = F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2"))
-    return F.when(F.char_length(key) >= MIN_LENGTH, pair)
+def key_hashes(lines: Column) -> Column:
+    """128 bits of each line's key; null for keys too short to be judged. Every step sees a line once."""
+    bare = F.transform(lines, lambda x: F.btrim(x, F.lit(BLANKS)))
+    keys = F.transform(bare, lambda x: F.when(F.char_length(x) >= MIN_LENGTH, folded(x)))
+    pair = lambda k: F.struct(F.xxhash64(k).alias("h1"), F.xxhash64(F.lit(1), k).alias("h2"))
+    return F.transform(keys, lambda k: F.when(k.isNotNull(), pair(k)))
 
 
 def _lines(docs: DataFrame) -> Column:
@@ -106,7 +103,7 @@ def dropped_lines(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     spark = docs.sparkSession
     doc = F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST_ID))
     pairs = (
-        docs.select(doc.alias("doc"), F.explode(F.transform(_lines(docs), key_hashes)).alias("k"))
+        docs.select(doc.alias("doc"), F.explode(key_hashes(_lines(docs))).alias("k"))
         .where("k IS NOT NULL").select("doc", "k.h1", "k.h2").distinct()
     )
     pairs = saved(pairs, "line-pairs")
@@ -143,7 +140,7 @@ def dedup_lines(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     empty table gives an empty table.
     """
     drops = dropped_lines(docs, batches).select(F.col("doc").alias("_doc"), F.col("drop").alias("_drop"))
-    lines = F.transform(_lines(docs), lambda x: F.struct(x.alias("line"), key_hashes(x).alias("k")))
+    lines = F.arrays_zip(_lines(docs).alias("line"), key_hashes(_lines(docs)).alias("k"))
     keeps = F.filter("_lines", lambda x: x["k"].isNull() | ~F.array_contains("_drop", x["k"]))
     joined = docs.withColumn("_doc", F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST_ID))).join(drops, "_doc", "left")
     hit = F.col("_drop").isNotNull()

@@ -23,8 +23,8 @@ SYMBOLS = "#*$%&|<>"
 MAX_CHARACTER_DISTANCE = 0.25
 MAX_WORD_DISTANCE = 0.40
 #: Beyond both of these together it is not, either.
-BOTH_CHARACTER_DISTANCE = 0.14
-BOTH_WORD_DISTANCE = 0.24
+BOTH_CHARACTER_DISTANCE = 0.145
+BOTH_WORD_DISTANCE = 0.25
 MIN_CHARACTERS = 200
 MIN_HISTOGRAM_WORDS = 40
 #: A language needs so many documents for a reference.

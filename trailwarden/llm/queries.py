@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trailwarden.llm import licences, line_dedup, mixing, near_dup, packing, quality, topk, toxicity
+from trailwarden.llm import licences, line_dedup, mixing, near_dup, packing, pagetext, quality, topk, toxicity
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_mixing": mixing.op4_mixing,
         "op5_quality": quality.op5_quality,
         "op6_toxicity": toxicity.op6_toxicity,
+        "op7_page_text": pagetext.op7_page_text,
         "op8_packing": packing.op8_packing,
         "op9_licences": licences.op9_licences,
         "op10_line_dedup": line_dedup.op10_line_dedup,
