@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trailwarden.llm import licences, line_dedup, mixing, near_dup, packing, pagetext, quality, topk, toxicity
+from trailwarden.llm import licences, line_dedup, mixing, near_dup, packing, pagetext, quality, secrets, topk, toxicity
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_top_k": topk.op1_top_k,
+        "op2_secrets": secrets.op2_secrets,
         "op3_near_dup": near_dup.op3_near_dup,
         "op4_mixing": mixing.op4_mixing,
         "op5_quality": quality.op5_quality,
