@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from trailwarden.llm.common import lacks, saved, table
 from trailwarden.llm.components import components
-from trailwarden.llm.packing import chunks
+from trailwarden.llm.words import chunks, split_words
 
 WIDTH = 5
 SIMILARITY = 80  # per cent
@@ -57,7 +57,7 @@ class ShingleHasher:
 
     def __init__(self, width: int) -> None:
         self.width = width
-        self.known: dict[bytes, int] = {}
+        self.known: dict[str, int] = {}
 
     def _fold(self, columns: list[np.ndarray]) -> np.ndarray:
         out = np.full(len(columns[0]), np.uint64(len(columns)))
@@ -65,24 +65,24 @@ class ShingleHasher:
             out = out * _ODD[k % len(_ODD)] + column
         return _finish(out)
 
-    def sets(self, texts: list[bytes]) -> list[np.ndarray]:
+    def sets(self, texts: pa.Array) -> list[np.ndarray]:
         """Sorted different shingle hashes per text; no words, empty set."""
-        split = [t.lower().split() for t in texts]  # of bytes: A-Z and the six blanks only
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
+        index, words, counts = split_words(texts)
         known = self.known
-        words = [w for part in split for w in part]
-        for word in set(words).difference(known):
-            known[word] = xxhash.xxh3_64_intdigest(word)
-        hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        for word in words:
+            if word not in known:
+                known[word] = xxhash.xxh3_64_intdigest(word)
+        hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))[index]
         n = len(hashes) - self.width + 1
         rolled = self._fold([hashes[k : k + n] for k in range(self.width)]) if n > 0 else hashes[:0]
         out, at = [], 0
-        for part in split:
-            end = at + len(part)
-            if len(part) >= self.width:
+        for count in counts.tolist():
+            end = at + count
+            if count >= self.width:
                 out.append(np.unique(rolled[at : end - self.width + 1]))
-            elif part:
+            elif count:
                 out.append(self._fold([hashes[k : k + 1] for k in range(at, end)]))
             else:
                 out.append(hashes[:0])
@@ -122,9 +122,9 @@ def _sketched(width: int) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = ShingleHasher(width)
         for batch in batches:
-            texts = [t or b"" for t in batch.column("text").to_pylist()]
+            texts = batch.column("text")
             for low, high in chunks(texts):
-                sets = hasher.sets(texts[low:high])
+                sets = hasher.sets(texts.slice(low, high - low))
                 digests = [_digest(s) for s in sets]
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": batch.column("doc_id").slice(low, high - low),
@@ -140,10 +140,10 @@ def _whole_sets(width: int) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = ShingleHasher(width)
         for batch in batches:
-            texts = [t or b"" for t in batch.column("text").to_pylist()]
+            texts = batch.column("text")
             for low, high in chunks(texts):
                 part = batch.slice(low, high - low)
-                sets = hasher.sets(texts[low:high])
+                sets = hasher.sets(texts.slice(low, high - low))
                 # a repeated doc_id may bring another class's text
                 own = [_digest(s) == d for s, d in zip(sets, zip(part.column("d1").to_pylist(), part.column("d2").to_pylist()))]
                 mask = pa.array(own, pa.bool_())
@@ -194,7 +194,7 @@ def _near_links(docs: DataFrame, classes: DataFrame, sketched: DataFrame, width:
     if lacks(shared):
         return None
     wanted = shared.select("doc", "c").distinct().join(classes.select(F.col("doc_id").alias("doc"), F.col("d1").alias("c"), "d2"), ["doc", "c"])
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("binary").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
     sets = saved(
         texts.join(wanted, "doc").select("doc", F.col("c").alias("d1"), "d2", "text").mapInArrow(_whole_sets(width), "doc long, c long, set binary"),
         "near-sets",
@@ -241,7 +241,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: int = SIMIL
     without doc_id links with nothing, has no component_id and is kept. An
     empty table gives an empty table.
     """
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketched = saved(source.mapInArrow(_sketched(width), "doc_id long, n long, d1 long, d2 long, bands array<long>"), "near-sketched")
     known = sketched.where("n > 0 AND doc_id IS NOT NULL")
     classes = saved(known.groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id")), "near-classes")
