@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import functools
 import math
+import random
 import re
+import string
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -53,6 +55,9 @@ MIN_TAGGED = 12
 
 #: Words that stand beside secrets, alphabetical.
 CUES = frozenset("access api auth authorization aws basic bearer client credential credentials key login passphrase passwd password private pwd secret session sk token".split())
+LETTERS_DIGITS = string.ascii_letters + string.digits
+BASE64 = LETTERS_DIGITS + "+/"
+UPPER_DIGITS = string.ascii_uppercase + string.digits
 PUNCTUATION = ".,;:!?\"'()[]{}<>|"
 
 
@@ -348,22 +353,46 @@ def find_secrets(text: str, tagger: Tagger) -> tuple[list, list]:
     return base, [s for s in more if not any(a < s[1] and s[0] < b for a, b, _ in base)]
 
 
-def _training_windows(texts: Iterable[str]) -> list[tuple[list[list[str]], list[int]]]:
-    """Windows around base spans, around odd-looking tokens, and at the start."""
-    out = []
+def _invented(rng: random.Random) -> str:
+    """A value of a kind the sample may lack."""
+    alphabet, low, high = rng.choice(((BASE64, 24, 64), (LETTERS_DIGITS, 20, 48), (LETTERS_DIGITS + "-_", 24, 40), (UPPER_DIGITS, 16, 24)))
+    value = "".join(rng.choice(alphabet) for _ in range(rng.randint(low, high)))
+    return "AKIA" + value[:16] if alphabet is UPPER_DIGITS else value
+
+
+def _training_windows(texts: Iterable[str], seed: int = 0) -> list[tuple[list[list[str]], list[int]]]:
+    """Windows around base spans, around odd-looking tokens, and at the start.
+
+    Every window around a base span comes a second time with an invented value
+    in its place and another cue before it, so that the field learns what a
+    secret is like and not just the kinds that the sample happens to hold.
+    """
+    out, rng = [], random.Random(seed)
+
+    def add(words: list[str], tags: list[int], i: int, text: str) -> None:
+        low, high = max(0, i - WINDOW), min(len(words), i + WINDOW + 1)
+        rows = features(words[max(0, low - 1) : high + 1], text)[low - max(0, low - 1) :][: high - low]
+        if rows:
+            out.append((rows, tags[low:high]))
+
+    cues = sorted(CUES)
     for text in texts:
         places = [m.span() for m in TOKEN.finditer(text)]
         if not places:
             continue
         words, tags = [text[a:b] for a, b in places], silver_tags(text, places)
-        hits = [i for i, t in enumerate(tags) if t]
+        hits = [i for i, t in enumerate(tags) if t == 1]
         odd = [i for i, w in enumerate(words) if not tags[i] and (len(w) > 14 or any(map(str.isdigit, w)))]
         for i in [*hits[:WINDOWS], *odd[:WINDOWS], WINDOW]:
-            low, high = max(0, i - WINDOW), min(len(words), i + WINDOW + 1)
-            rows = features(words[max(0, low - 1) : high + 1], text)
-            rows = rows[low - max(0, low - 1) :][: high - low]
-            if rows:
-                out.append((rows, tags[low:high]))
+            add(words, tags, i, text)
+        for i in hits[:WINDOWS]:
+            other = list(words)
+            quote = rng.choice(("", '"', "'"))
+            other[i] = quote + _invented(rng) + quote
+            for k in range(max(0, i - 2), i):
+                if KEYWORD.search(other[k]):
+                    other[k] = rng.choice(cues) + rng.choice(("", "", ":", "="))
+            add(other, tags, i, text)
     return out
 
 
