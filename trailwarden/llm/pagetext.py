@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
 
@@ -241,7 +241,7 @@ def extract(pages: DataFrame) -> DataFrame:
     empty table gives an empty table.
     """
 
-    def run(series: Iterable[pd.Series]) -> Iterator[pd.Series]:
+    def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for pages in series:
             yield pages.map(main_text, na_action=None).astype(str)
 

@@ -293,7 +293,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model, _ = fit(docs, labels)
     lexicon = model.lexicon
 
-    def verdicts(frames: Iterable[pd.Series]) -> Iterator[pd.Series]:
+    def verdicts(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in frames:
             votes = [lexicon.votes(t) if t else (0, []) for t in texts]
             yield pd.Series(model.score(np.array([v for v, _ in votes], np.int64), [f for _, f in votes]).astype(float))
