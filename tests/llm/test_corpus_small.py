@@ -236,7 +236,7 @@ def test_quality_measures(spark, docs):
 
 def test_quality_distance(spark):
     """Prose of a language stays, shouting and lists of its rare words go, short texts are left alone."""
-    prose = [(i, " ".join(f"The house of n{chr(97 + (i * 7 + k) % 26)}me{chr(97 + k % 26)} is in the valley and it was for that." for k in range(12)), "en") for i in range(60)]
+    prose = [(i, " ".join(f"The h{chr(97 + k)}use of n{chr(97 + (i * 7 + k) % 26)}me is in v{chr(97 + k)}lley and it was for that." for k in range(12)), "en") for i in range(60)]
     bad = [(100, prose[0][1].upper().replace(" ", "!! "), "en"), (101, " | ".join(f"rare{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(120)), "en")]
     short = [(102, "RARE!! " * 1 + "SHOUT " + " ".join(f"Z{k}" for k in range(22)), "en")]
     got = {r.doc_id: r for r in quality.judge_documents(spark.createDataFrame(prose + bad + short, "doc_id long, text string, lang string")).collect()}

@@ -228,6 +228,9 @@ def main_text(html: str | None) -> str:
     """The content's blocks, one a line."""
     if not html:
         return ""
+    last = html.rfind("<")
+    if last > html.rfind(">") and re.match(r"</?[a-zA-Z]|<!", html[last : last + 3]):
+        html = html[:last]  # a page cut off within a tag
     parser = LineParser()
     parser.feed(html)
     return "\n".join(main_lines(parser.finish()))
