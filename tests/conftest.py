@@ -44,7 +44,7 @@ def events_of(spark):
 @pytest.fixture(scope="session")
 def rules_of(spark):
     def build(*rows: dict):
-        base = {name: None for name in ALERT_RULE.fieldNames()} | {"customerId": "acme", "notificationChannels": ["slack"]}
+        base = {name: None for name in ALERT_RULE.fieldNames()} | {"customerId": "harbor", "notificationChannels": ["slack"]}
         full = [base | {"ruleId": f"r{i}"} | row for i, row in enumerate(rows)]
         frame = spark.createDataFrame([tuple(r[n] for n in ALERT_RULE.fieldNames()) for r in full], ALERT_RULE)
         return fill_rule_defaults(frame)

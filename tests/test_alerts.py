@@ -12,7 +12,7 @@ from conftest import one
 from trailwarden.operators import matching
 from trailwarden.sources.rules import load_rules
 
-LOGIN = {"customerId": "acme", "type": "AUTH_EVENT", "action": "LOGIN_FAILURE", "riskLevel": "MEDIUM"}
+ROTATION = {"customerId": "harbor", "type": "AUTH_EVENT", "action": "KEY_ROTATED", "riskLevel": "MEDIUM"}
 
 
 def matched(events, rules, **options):
@@ -29,8 +29,8 @@ def test_rule_file(spark, tmp_path):
     path.write_text(
         json.dumps(
             [
-                {"ruleId": "a", "customerId": "acme", "notificationChannels": ["slack"], "unknownField": 1},
-                {"ruleId": "b", "customerId": "acme", "enabled": False},
+                {"ruleId": "a", "customerId": "harbor", "notificationChannels": ["slack"], "unknownField": 1},
+                {"ruleId": "b", "customerId": "harbor", "enabled": False},
                 {"ruleId": "c", "customerId": "other"},
             ]
         )
@@ -40,7 +40,7 @@ def test_rule_file(spark, tmp_path):
         "a": (True, ["slack"]), "b": (False, []), "c": (True, []),
     }
     counts = {r.customerId: (r.rule_count, r.enabled_count) for r in matching.rules_by_customer(rules).collect()}
-    assert counts == {"acme": (2, 1), "other": (1, 1)}
+    assert counts == {"harbor": (2, 1), "other": (1, 1)}
     for nothing in (None, "  ", str(tmp_path / "missing.json")):
         assert load_rules(spark, nothing).count() == 0
     path.write_text('[{"ruleId": "a", ')
@@ -50,14 +50,14 @@ def test_rule_file(spark, tmp_path):
 
 def test_criteria_all_apply(events_of, rules_of):
     events = events_of(
-        LOGIN, LOGIN | {"riskLevel": "HIGH"}, LOGIN | {"riskLevel": None}, LOGIN | {"customerId": "other"},
-        LOGIN | {"type": "API_CALL", "riskLevel": "CRITICAL"},
+        ROTATION, ROTATION | {"riskLevel": "HIGH"}, ROTATION | {"riskLevel": None}, ROTATION | {"customerId": "other"},
+        ROTATION | {"type": "API_CALL", "riskLevel": "CRITICAL"},
     )
     rules = rules_of(
         {"eventType": "AUTH_EVENT"},
         {"riskThreshold": "HIGH"},
         {"riskThreshold": "LOW", "enabled": False},
-        {"conditionExpression": "action == 'LOGIN_FAILURE' && type.name() == 'API_CALL'"},
+        {"conditionExpression": "action == 'KEY_ROTATED' && type.name() == 'API_CALL'"},
         {"conditionExpression": "broken ((", "eventType": "AUTH_EVENT"},
     )
     expected = [
@@ -68,31 +68,64 @@ def test_criteria_all_apply(events_of, rules_of):
     assert matched(events, rules, broadcast_rules=False) == expected
 
 
-def test_many_conditions_are_split_over_plans(events_of, rules_of, monkeypatch):
-    monkeypatch.setattr(matching, "CONDITIONS_PER_PLAN", 2)
-    events = events_of(LOGIN, LOGIN | {"action": "A3"}, LOGIN | {"action": "none"})
-    rules = rules_of(*[{"conditionExpression": f"action == 'A{i}'"} for i in range(5)], {})
-    assert matched(events, rules) == [("r3", "evt-1"), ("r5", "evt-0"), ("r5", "evt-1"), ("r5", "evt-2")]
+def test_many_conditions_need_one_reading_of_the_events(spark, events_of, rules_of, tmp_path):
+    path = str(tmp_path / "events")
+    events_of(ROTATION, ROTATION | {"action": "A3"}, ROTATION | {"action": "none"}).write.parquet(path)
+    events = spark.read.parquet(path)
+    rules = rules_of(*[{"conditionExpression": f"action == 'A{i}'", "customerId": "harbor"} for i in range(230)], {"customerId": "harbor"})
+    assert matched(events, rules) == [("r230", "evt-0"), ("r230", "evt-1"), ("r230", "evt-2"), ("r3", "evt-1")]
     assert fired(events, rules) == {"evt-0": 1, "evt-1": 2, "evt-2": 1}
+    left = matching.match_rules(events, rules, how="left")
+    assert left.count() == 4
+    assert left._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
+
+
+def test_an_unknown_level_never_fires(events_of, rules_of):
+    assert matched(events_of(ROTATION | {"riskLevel": "CRITICAL"}), rules_of({"customerId": "harbor", "riskThreshold": "SEVERE"})) == []
+
+
+@pytest.mark.parametrize(
+    ("document", "said"),
+    [
+        ('[{"ruleId": "a", "customerId": "t", "riskThreshold": "SEVERE"}]', "SEVERE"),
+        ('[{"ruleId": "a", "customerId": "t", "eventType": "LOGIN"}]', "LOGIN"),
+        ('[{"ruleId": "a"}]', "customerId"),
+        ('[{"customerId": "t"}]', "ruleId"),
+        ('{"ruleId": "a", "customerId": "t"}', "array"),
+    ],
+)
+def test_a_faulty_rule_file_is_refused(spark, tmp_path, document, said):
+    path = tmp_path / "rules.json"
+    path.write_text(document)
+    with pytest.raises(ValueError, match=said):
+        load_rules(spark, str(path))
+
+
+def test_rejected_rules_are_listed(rules_of):
+    rules = rules_of(
+        {"conditionExpression": "anomalous"}, {"conditionExpression": "x" * 10_001}, {"conditionExpression": "action =="},
+        {"conditionExpression": "action ==", "enabled": False}, {"conditionExpression": None},
+    )
+    assert sorted(r.ruleId for r in matching.rejected_rules(rules).collect()) == ["r1", "r2"]
 
 
 @pytest.mark.parametrize(
     ("rule", "count"),
     [
-        ({"conditionExpression": "action == 'LOGIN_FAILURE'", "notificationChannels": ["slack", "email"]}, 2),
-        ({"conditionExpression": "action == 'LOGIN_SUCCESS'"}, 0),
+        ({"conditionExpression": "action == 'KEY_ROTATED'", "notificationChannels": ["slack", "email"]}, 2),
+        ({"conditionExpression": "action == 'KEY_CREATED'"}, 0),
         ({"notificationChannels": ["pager", "slack"]}, 1),
         ({"notificationChannels": ["email", "email"]}, 2),
         ({"customerId": "other"}, 0),
     ],
 )
 def test_dispatch_counts(events_of, rules_of, rule, count):
-    assert fired(events_of(LOGIN), rules_of(rule)) == {"evt-0": count}
+    assert fired(events_of(ROTATION), rules_of(rule)) == {"evt-0": count}
 
 
 def test_unknown_channels_are_listed(events_of, rules_of):
     rows = matching.explode_channels(
-        matching.match_rules(events_of(LOGIN), rules_of({"notificationChannels": ["pager", "slack", None]}))
+        matching.match_rules(events_of(ROTATION), rules_of({"notificationChannels": ["pager", "slack", None]}))
     )
     assert [r.channel for r in matching.undeliverable(rows).orderBy("channelPos").collect()] == ["pager", None]
     assert [r.channel for r in matching.deliverable(rows).collect()] == ["slack"]
@@ -100,16 +133,16 @@ def test_unknown_channels_are_listed(events_of, rules_of):
 
 def test_wording(events_of, rules_of):
     event = {
-        "customerId": "acme", "type": "AUTH_EVENT", "action": "LOGIN_FAILURE", "userId": "boris",
-        "ipAddress": "203.0.113.7", "riskLevel": "HIGH", "anomalous": True,
-        "timestamp": datetime(2026, 9, 2, 10, tzinfo=timezone.utc),
+        "customerId": "harbor", "type": "AUTH_EVENT", "action": "KEY_ROTATED", "userId": "mira",
+        "ipAddress": "198.51.100.23", "riskLevel": "HIGH", "anomalous": True,
+        "timestamp": datetime(2025, 3, 14, 23, tzinfo=timezone.utc),
     }
-    rules = rules_of({"name": "Failed login", "notificationChannels": ["slack", "email"]})
+    rules = rules_of({"name": "Key rotated at night", "notificationChannels": ["slack", "email"]})
     slack, email = matching.build_alerts(events_of(event), rules, tag="Tag").orderBy("channel_pos").collect()
-    assert slack.subject == "[Tag] Failed login - HIGH risk for acme"
+    assert slack.subject == "[Tag] Key rotated at night - HIGH risk for harbor"
     assert slack.body == (
-        "Rule: Failed login (r0)\nCustomer: acme\nEvent: AUTH_EVENT LOGIN_FAILURE on -\n"
-        "User: boris from 203.0.113.7\nRisk: HIGH (anomalous)\nEvent id: evt-0 at 2026-09-02T10:00:00Z"
+        "Rule: Key rotated at night (r0)\nCustomer: harbor\nEvent: AUTH_EVENT KEY_ROTATED on -\n"
+        "User: mira from 198.51.100.23\nRisk: HIGH (anomalous)\nEvent id: evt-0 at 2025-03-14T23:00:00Z"
     )
     assert json.loads(slack.payload) == {"text": f"*{slack.subject}*\n```{slack.body}```"}
     assert json.loads(email.payload) == {"subject": slack.subject, "body": slack.body}
@@ -117,12 +150,12 @@ def test_wording(events_of, rules_of):
 
 
 def test_unnamed_and_unrated(events_of, rules_of):
-    row = one(matching.build_alerts(events_of({"customerId": "acme", "riskLevel": None, "type": None}), rules_of({}), tag="T"))
-    assert row.subject == "[T] r0 - unrated risk for acme"
+    row = one(matching.build_alerts(events_of({"customerId": "harbor", "riskLevel": None, "type": None}), rules_of({}), tag="T"))
+    assert row.subject == "[T] r0 - unrated risk for harbor"
     assert "Event: null - on -" in row.body and row.body.splitlines()[4] == "Risk: unrated"
 
 
 def test_a_channel_can_be_added(events_of, rules_of):
     renderers = {"pager": lambda subject, body: F.upper(subject)}
-    rows = matching.build_alerts(events_of(LOGIN), rules_of({"notificationChannels": ["pager", "slack"]}), "T", renderers)
-    assert one(rows).payload == "[T] R0 - MEDIUM RISK FOR ACME"
+    rows = matching.build_alerts(events_of(ROTATION), rules_of({"notificationChannels": ["pager", "slack"]}), "T", renderers)
+    assert one(rows).payload == "[T] R0 - MEDIUM RISK FOR HARBOR"

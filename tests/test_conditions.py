@@ -13,31 +13,31 @@ from trailwarden.operators.conditions import (
 )
 
 FULL = {
-    "type": "DATA_EXPORT", "resource": "customers_table", "ipAddress": "203.0.113.7", "riskLevel": "HIGH",
+    "type": "DATA_EXPORT", "resource": "billing_ledgers", "ipAddress": "198.51.100.23", "riskLevel": "HIGH",
     "anomalous": True, "tags": {"k": "v"}, "action": "yes", "userAgent": "",
 }
-BARE = {"type": "AUTH_EVENT", "resource": None, "ipAddress": "10.1.1.1", "riskLevel": None, "anomalous": True}
+BARE = {"type": "AUTH_EVENT", "resource": None, "ipAddress": "172.16.4.9", "riskLevel": None, "anomalous": True}
 
 # condition, matches FULL, matches BARE
 CASES = [
-    ("anomalous && resource == 'customers_table'", True, False),
-    ("resource == 'orders_table'", False, False),
-    ("resource.contains('customers')", True, False),
-    ("!ipAddress.startsWith('10.')", True, False),
-    ("ipAddress != null && !ipAddress.startsWith('10.')", True, False),
+    ("anomalous && resource == 'billing_ledgers'", True, False),
+    ("resource == 'archive_ledgers'", False, False),
+    ("resource.contains('billing')", True, False),
+    ("!ipAddress.startsWith('172.')", True, False),
+    ("ipAddress != null && !ipAddress.startsWith('172.')", True, False),
     # a failed operand fails the whole unless an earlier one decided
-    ("resource.contains('customers') || anomalous", True, False),
-    ("anomalous || resource.contains('customers')", True, True),
+    ("resource.contains('billing') || anomalous", True, False),
+    ("anomalous || resource.contains('billing')", True, True),
     ("!anomalous && resource.contains('x')", False, False),
     ("!(resource.contains('zzz'))", True, False),
     ("(resource.contains('zzz') || false) || anomalous", True, False),
-    ("resource == null || resource.contains('customers')", True, True),
+    ("resource == null || resource.contains('billing')", True, True),
     ("resource.toLowerCase() == null", False, False),
     ("resource == null", False, True),
-    ("resource.length() == 15 and resource.endsWith(\"table\")", True, False),
-    ("resource.equals('customers_table') and not resource.isEmpty()", True, False),
-    ("resource.equalsIgnoreCase('CUSTOMERS_TABLE')", True, False),
-    ("resource.toUpperCase().trim() eq 'CUSTOMERS_TABLE'", True, False),
+    ("resource.length() == 15 and resource.endsWith(\"gers\")", True, False),
+    ("resource.equals('billing_ledgers') and not resource.isEmpty()", True, False),
+    ("resource.equalsIgnoreCase('BILLING_LEDGERS')", True, False),
+    ("resource.toUpperCase().trim() eq 'BILLING_LEDGERS'", True, False),
     ("resource.contains(action)", False, False),
     ("action.contains(resource)", False, False),
     ("userAgent.isBlank()", True, False),
@@ -58,11 +58,11 @@ CASES = [
     ("tags['none'] == null && tags.get('none') == null", True, True),
     ("tags.containsKey('k')", True, False),
     ("controls.isEmpty() and tags.size() lt 2", True, True),
-    ("resource matches 'cust.*'", True, False),
-    ("resource matches 'cust'", False, False),
+    ("resource matches 'bill.*'", True, False),
+    ("resource matches 'bill'", False, False),
     ("type matches 'DATA_.*'", True, False),
-    ("getResource() == 'customers_table' && isAnomalous()", True, False),
-    ("resource?.contains('customers')", True, False),
+    ("getResource() == 'billing_ledgers' && isAnomalous()", True, False),
+    ("resource?.contains('billing')", True, False),
     ("resource?.toLowerCase() == null", False, True),
     ("anomalous || resource?.contains('x')", True, True),
     # words that read as booleans
@@ -77,17 +77,17 @@ CASES = [
 ]
 
 REJECTED = [
-    "T(java.lang.Runtime).getRuntime() != null",
-    "new java.lang.ProcessBuilder('id').start() != null",
-    "resource ===== oops((",
-    "@bean.method()",
+    "T(java.io.File).listRoots() != null",
+    "new java.util.Random().nextInt() > 0",
+    "resource <<>> 'x' ((",
+    "@settings.reload()",
     "resource = 'x'",
     "unknownProperty == 1",
     "riskLevel",
     "5",
     "resource.getClass()",
     "resource.matches('x')",
-    "controls.?[framework == 'SOC2'].size() > 0",
+    "controls.![title].size() > 3",
     "type == riskLevel",
     "riskLevel >= 'HIGH'",
     "a < b < c",
@@ -95,10 +95,10 @@ REJECTED = [
     "__import__('os')",
     "[1, 2]",
     "resource if anomalous else action",
-    "java_method('java.lang.System', 'exit')",
+    "reflect('java.util.UUID', 'randomUUID')",
     "tags[resource.trim()] == 'x'",
     "x" * 10_001,
-    "!" * 100 + "anomalous",
+    "(" * 300 + "anomalous" + ")" * 300,
 ]
 
 
@@ -124,6 +124,15 @@ def test_long_chains_stay_shallow(spark, events_of):
     assert [r[0] for r in got] == [True, False]
 
 
+def test_runs_of_negations_and_deep_nesting(spark, events_of):
+    even, odd = "!" * 400 + "anomalous", "!" * 401 + "anomalous"
+    deep = "anomalous"
+    for _ in range(90):
+        deep = f"(anomalous && (false || {deep}))"
+    got = events_of(FULL).select(*(compile_condition(t).matches for t in (even, odd, deep))).first()
+    assert tuple(got) == (True, False, True)
+
+
 def test_enum_text_comparison_warns():
     assert compile_condition("type == 'AUTH_EVENT'").warnings
 

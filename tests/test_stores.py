@@ -48,15 +48,13 @@ def test_replays_and_collisions(spark, events_of, rules_of, tmp_path):
         assert len(contents(spark, stores, "alerts", "event_id")) == 5
 
 
-def test_lookback_limits_what_counts_as_stored(spark, events_of, tmp_path):
-    stores = tb.Stores(str(tmp_path), "month")
-    old = AT - timedelta(days=100)
-    tb.write_metadata(with_seq(events_of({"eventId": "a", "timestamp": old}, {"eventId": "b"})), stores, 0)
-    again = with_seq(events_of({"eventId": "a"}, {"eventId": "b"}))
-    tb.write_metadata(again, stores, 1)
-    assert contents(spark, stores, "metadata", "event_id") == [("a",), ("b",)]
-    tb.write_metadata(again, stores, 1, lookback_days=7)
-    assert contents(spark, stores, "metadata", "event_id") == [("a",), ("a",), ("b",)]
+def test_writers_of_one_store_do_not_meet(spark, events_of, tmp_path):
+    stores = tb.Stores(str(tmp_path))
+    assert [stores.number(spark, w, b) for w, b in (("a", 0), ("b", 0), ("a", 1), ("a", 0), ("b/c", 0))] == [1, 2, 3, 1, 4]
+    for writer, event in (("a", "e1"), ("b", "e2"), ("a", "e1")):
+        tb.fan_out(with_seq(enrich(events_of({"eventId": event}))), tb.default_sinks(stores), stores.number(spark, writer, 7))
+    assert contents(spark, stores, "metadata", "event_id") == [("e1",), ("e2",)]
+    assert {r.eventId for r in tb.read_evidence(spark, stores).collect()} == {"e1", "e2"}
 
 
 def test_a_failing_sink_leaves_a_replayable_batch(spark, events_of, tmp_path):

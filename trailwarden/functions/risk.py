@@ -10,7 +10,7 @@ from trailwarden.schemas import EVENT_TYPES, RISK_LEVELS
 
 def _ordinal(value: Column, domain: tuple[str, ...]) -> Column:
     levels = F.array(*[F.lit(v) for v in domain])
-    return (F.array_position(levels, value) - 1).cast("int")
+    return F.when(value.isin(*domain), F.array_position(levels, value) - 1).cast("int")
 
 
 def risk_rank(level: Column) -> Column:

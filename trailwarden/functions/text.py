@@ -20,6 +20,9 @@ SQL_LITERAL = (
 REDACTED_MAX = 500
 ELLIPSIS = "\u2026"
 OVERLONG = rf"(?s)\A(.{{{REDACTED_MAX}}}).+\z"
+# Characters that are two UTF-16 units; the mark stands for the second one.
+PAIRS = r"[\x{10000}-\x{10FFFF}]"
+MARK = "\uffff"
 # ----------------------------------------------------------------------------
 
 
@@ -43,7 +46,22 @@ def redact_sql(sql: Column) -> Column:
     masked = F.regexp_replace(sql, F.lit(SQL_LITERAL), F.lit("?"))
     spaced = F.regexp_replace(masked, F.lit(f"[{WHITESPACE}]+"), F.lit(" "))
     # Each step refers to the one before just once, so nothing is evaluated twice.
-    return F.regexp_replace(strip_blanks(spaced), F.lit(OVERLONG), F.lit("$1" + ELLIPSIS))
+    return _cut(strip_blanks(spaced))
+
+
+def _cut(text: Column) -> Column:
+    """At most ``REDACTED_MAX`` UTF-16 units and an ellipsis; a pair that the cut would halve goes."""
+
+    def cut(whole: Column) -> Column:
+        return F.regexp_replace(whole, F.lit(OVERLONG), F.lit("$1" + ELLIPSIS))
+
+    def once(x: Column) -> Column:
+        counted = cut(F.regexp_replace(x, F.lit(f"({PAIRS})"), F.lit("$1" + MARK)))
+        whole = F.regexp_replace(counted, F.lit(f"{PAIRS}{ELLIPSIS}\\z"), F.lit(ELLIPSIS))
+        units = F.regexp_replace(whole, F.lit(f"({PAIRS}){MARK}"), F.lit("$1"))
+        return F.when(F.regexp_like(x, F.lit(PAIRS)), units).otherwise(cut(x))
+
+    return F.element_at(F.transform(F.array(text), once), 1)
 
 
 def iso_instant(ts: Column) -> Column:
@@ -52,11 +70,6 @@ def iso_instant(ts: Column) -> Column:
     return F.concat(F.regexp_replace(full, r"(?:\.000000|000)$", ""), F.lit("Z"))
 
 
-def second_precision(ts: Column) -> Column:
-    """``yyyy-MM-dd HH:mm:ss`` with the fraction cut."""
-    return F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
-
-
 def parse_instant(text: Column) -> Column:
     """ISO text with a zone, or decimal epoch seconds; anything else is null."""
     epoch = F.timestamp_micros(

@@ -19,6 +19,7 @@ import keyword
 import re
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,8 +44,8 @@ SIGNS = {"&&": "and", "||": "or", "!": "~", "?.": "._if_present_."}
 TRUE_WORDS = ("true", "on", "yes", "1")
 FALSE_WORDS = ("false", "off", "no", "0")
 MAX_LENGTH = 10_000
+TOO_LONG = "condition is too long"
 # ----------------------------------------------------------------------------
-MAX_NESTING = 60
 
 _TOKEN = re.compile(
     r"""\s*(?:(?P<text>'(?:[^']|'')*'|"(?:[^"]|"")*")
@@ -127,15 +128,13 @@ class _Compiler:
         self.patterns: list[str] = []
 
     # -- operands ------------------------------------------------------------
-    def value(self, node: ast.AST, depth: int = 0) -> Value:
-        if depth > MAX_NESTING:
-            raise ConditionError("nested too deeply")
+    def value(self, node: ast.AST) -> Value:
         build = getattr(self, f"_{type(node).__name__.lower()}", None)
         if build is None:
             raise ConditionError(f"{type(node).__name__} is not allowed")
-        return build(node, depth + 1)
+        return build(node)
 
-    def _constant(self, node: ast.Constant, depth: int) -> Value:
+    def _constant(self, node: ast.Constant) -> Value:
         value = node.value
         if value is None:
             return Value("null", F.lit(None), literal=None)
@@ -145,7 +144,7 @@ class _Compiler:
             raise ConditionError("unsupported literal")
         return Value(kind, F.lit(value), literal=value)
 
-    def _name(self, node: ast.Name, depth: int) -> Value:
+    def _name(self, node: ast.Name) -> Value:
         kind = PROPERTIES.get(node.id)
         if kind is None:
             raise ConditionError(f"unknown property {node.id!r}")
@@ -153,36 +152,36 @@ class _Compiler:
             return Value(kind, F.coalesce(F.col(node.id), F.lit(False)))
         return Value(kind, F.col(node.id))
 
-    def _subscript(self, node: ast.Subscript, depth: int) -> Value:
-        target = self.value(node.value, depth)
+    def _subscript(self, node: ast.Subscript) -> Value:
+        target = self.value(node.value)
         index = node.slice
         if target.kind != "map":
             raise ConditionError("only tags can be indexed")
         if isinstance(index, ast.Name):  # tags[k] names the key "k"
             return Value("string", F.element_at(target.column, index.id))
-        key = self.value(index, depth)
+        key = self.value(index)
         if key.kind != "string" or key.literal is None:
             raise ConditionError("a tag key must be a text literal")
         return Value("string", F.element_at(target.column, key.literal))
 
-    def _call(self, node: ast.Call, depth: int) -> Value:
+    def _call(self, node: ast.Call) -> Value:
         if node.keywords or any(isinstance(a, ast.Starred) for a in node.args):
             raise ConditionError("unsupported arguments")
-        arguments = [self.value(a, depth) for a in node.args]
+        arguments = [self.value(a) for a in node.args]
         if isinstance(node.func, ast.Name):  # a getter of the event itself
             return self._getter(node.func.id, arguments)
         if not isinstance(node.func, ast.Attribute):
             raise ConditionError("not callable")
         target, name = node.func.value, node.func.attr
         optional = isinstance(target, ast.Attribute) and target.attr == "_if_present_"
-        return self.method(self.value(target.value if optional else target, depth), name, arguments, optional)
+        return self.method(self.value(target.value if optional else target), name, arguments, optional)
 
     def _getter(self, name: str, arguments: list[Value]) -> Value:
         found = re.fullmatch(r"(?:get|is)([A-Z]\w*)", name)
         prop = found and found[1][0].lower() + found[1][1:]
         if arguments or prop not in PROPERTIES or name.startswith("is") != (prop == "anomalous"):
             raise ConditionError(f"unknown method {name!r}")
-        return self._name(ast.Name(prop), 0)
+        return self._name(ast.Name(prop))
 
     def method(self, x: Value, name: str, arguments: list[Value], optional: bool) -> Value:
         c = x.column
@@ -256,8 +255,8 @@ class _Compiler:
         test = F.when(word.isin(*TRUE_WORDS), F.lit(True)).when(word.isin(*FALSE_WORDS), F.lit(False))
         return Value("boolean", F.when(~x.failed, test) if x.failed is not None else test, shaky=True)
 
-    def _boolop(self, node: ast.BoolOp, depth: int) -> Value:
-        operands = [self.truth(self.value(v, depth)) for v in node.values]
+    def _boolop(self, node: ast.BoolOp) -> Value:
+        operands = [self.truth(self.value(v)) for v in node.values]
         decides = isinstance(node.op, ast.Or)
         return self._fold(operands, decides)
 
@@ -275,20 +274,23 @@ class _Compiler:
             column = F.get(F.array(*by_value), a.column.cast("int"))
         return Value("boolean", column, shaky=a.shaky or b.shaky)
 
-    def _unaryop(self, node: ast.UnaryOp, depth: int) -> Value:
+    def _unaryop(self, node: ast.UnaryOp) -> Value:
         if isinstance(node.op, ast.USub):
-            operand = self.value(node.operand, depth)
+            operand = self.value(node.operand)
             if operand.kind == "number" and operand.literal is not None:
                 return Value("number", F.lit(-operand.literal), literal=-operand.literal)
         if not isinstance(node.op, ast.Invert):
             raise ConditionError("unsupported operator")
-        operand = self.truth(self.value(node.operand, depth))
-        return Value("boolean", ~operand.column, shaky=operand.shaky)
+        inner, negated = node.operand, True
+        while isinstance(inner, ast.UnaryOp) and isinstance(inner.op, ast.Invert):  # a run of them is one or none
+            inner, negated = inner.operand, not negated
+        operand = self.truth(self.value(inner))
+        return Value("boolean", ~operand.column if negated else operand.column, shaky=operand.shaky)
 
-    def _compare(self, node: ast.Compare, depth: int) -> Value:
+    def _compare(self, node: ast.Compare) -> Value:
         if len(node.ops) != 1:
             raise ConditionError("comparisons cannot be chained")
-        a, b = self.value(node.left, depth), self.value(node.comparators[0], depth)
+        a, b = self.value(node.left), self.value(node.comparators[0])
         op = type(node.ops[0]).__name__
         if op == "In":
             return self._matches(a, b)
@@ -340,7 +342,7 @@ class _Compiler:
 def compile_condition(text: str) -> Compiled:
     """Column that is true exactly for the events the condition matches."""
     if len(text) > MAX_LENGTH:
-        raise ConditionError("condition is too long")
+        raise ConditionError(TOO_LONG)
     try:
         tree = ast.parse(_respell(text), mode="eval")
     except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
@@ -372,11 +374,22 @@ class ConditionSet:
     errors: dict[str, str]
 
     def match(self, condition_id: Column) -> Column:
-        """True where the row's own condition holds; id 0 is "no condition"."""
-        outcome = F.when(condition_id == 0, F.lit(True))
-        for number, item in self.compiled.items():
-            outcome = outcome.when(condition_id == number, item.matches)
-        return outcome.otherwise(F.lit(False))
+        """True where the row's own condition holds; id 0 is "no condition".
+
+        A balanced tree over the numbers: a row evaluates its own condition
+        after as many comparisons as the set's size has bits.
+        """
+        numbers = sorted(self.compiled)
+
+        def among(low: int, high: int) -> Column:
+            if high - low == 1:
+                number = numbers[low]
+                return F.when(condition_id == number, self.compiled[number].matches).otherwise(F.lit(False))
+            middle = (low + high) // 2
+            return F.when(condition_id < numbers[middle], among(low, middle)).otherwise(among(middle, high))
+
+        own = among(0, len(numbers)) if numbers else F.lit(False)
+        return F.when(condition_id == 0, F.lit(True)).otherwise(own)
 
 
 def compile_all(spark: SparkSession, texts: list[str]) -> ConditionSet:
@@ -399,13 +412,14 @@ def compile_all(spark: SparkSession, texts: list[str]) -> ConditionSet:
 
 
 def rule_errors(rules: DataFrame, conditions: ConditionSet) -> DataFrame:
-    """Rules whose condition was rejected, with the reason."""
-    if not conditions.errors:
-        return rules.select("ruleId", "conditionExpression", F.lit("").alias("error")).limit(0)
-    reason = F.lit(None).cast("string")
-    for text, error in conditions.errors.items():
-        reason = F.when(F.col("conditionExpression") == F.lit(text), F.lit(error)).otherwise(reason)
-    return rules.select("ruleId", "conditionExpression", reason.alias("error")).where("error IS NOT NULL")
+    """Rules whose condition was rejected, over-long ones included, with the reason."""
+    table = pa.table(
+        {"_text": pa.array(conditions.errors.keys(), pa.string()), "_why": pa.array(conditions.errors.values(), pa.string())}
+    )
+    listed = rules.sparkSession.createDataFrame(table)
+    joined = rules.join(listed, F.col("conditionExpression") == F.col("_text"), "left")
+    error = F.when(F.length("conditionExpression") > MAX_LENGTH, F.lit(TOO_LONG)).otherwise(F.col("_why"))
+    return joined.select("ruleId", "customerId", "conditionExpression", error.alias("error")).where("error IS NOT NULL")
 
 
 __all__ = [

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -15,13 +15,11 @@ from trailwarden.functions.messages import (
     alert_subject,
     channel_payload,
 )
-from trailwarden.functions.risk import risk_rank
+from trailwarden.functions.risk import risk_ordinal, risk_rank
 from trailwarden.functions.text import is_missing
-from trailwarden.operators.conditions import MAX_LENGTH, ConditionSet, compile_all
-from trailwarden.schemas import CHANNELS, EVENT_TYPES
+from trailwarden.operators.conditions import MAX_LENGTH, ConditionSet, compile_all, rule_errors
+from trailwarden.schemas import CHANNELS, EVENT_TYPES, RISK_LEVELS
 
-# Conditions compiled into one plan; larger rule sets become a union of plans.
-CONDITIONS_PER_PLAN = 200
 # A prepared rule table is broadcast only below this measured size.
 BROADCAST_RULE_BYTES = 64 * 1024 * 1024
 # Slices of a tenant's events when the rule table is too big to broadcast.
@@ -41,7 +39,10 @@ def active_rules(rules: DataFrame) -> DataFrame:
         F.col("customerId").alias("ruleCustomerId"),
         F.col("name").alias("ruleName"),
         F.col("eventType").alias("ruleEventType"),
-        risk_rank(F.col("riskThreshold")).alias("ruleMinRank"),
+        # a level that is not one of the four is above all of them: the rule never fires
+        F.when(F.col("riskThreshold").isNull(), F.lit(-1))
+        .otherwise(F.coalesce(risk_ordinal(F.col("riskThreshold")), F.lit(len(RISK_LEVELS))))
+        .alias("ruleMinRank"),
         condition.alias("ruleCondition"),
         F.coalesce(F.col("notificationChannels"), F.array().cast("array<string>")).alias("ruleChannels"),
     )
@@ -50,7 +51,7 @@ def active_rules(rules: DataFrame) -> DataFrame:
 def distinct_conditions(active: DataFrame) -> list[str]:
     """The condition texts in use, which the driver compiles.
 
-    Over-long ones can never match and stay out.
+    Over-long ones can never match and stay out; ``rejected_rules`` lists them.
     """
     texts = active.where(F.length("ruleCondition") <= MAX_LENGTH).select("ruleCondition").distinct()
     return sorted(row[0] for row in texts.collect())
@@ -71,7 +72,7 @@ def _numbered(active: DataFrame, conditions: ConditionSet) -> DataFrame:
     spark = active.sparkSession
     rows = [{"ruleCondition": t, "n": conditions.ids[t]} for t in conditions.ids if t not in conditions.errors]
     table = pa.Table.from_pylist(rows, schema=pa.schema([("ruleCondition", pa.string()), ("n", pa.int32())]))
-    lookup = F.broadcast(spark.createDataFrame(table))  # at most CONDITIONS_PER_PLAN rows
+    lookup = F.broadcast(spark.createDataFrame(table))  # the texts the driver has compiled
     joined = active.join(lookup, "ruleCondition", "left")
     return joined.withColumn(
         "ruleConditionId", F.when(F.col("ruleCondition").isNull(), F.lit(0)).otherwise(F.col("n"))
@@ -114,26 +115,37 @@ def join_rules(
     return events.join(rules, on, how).drop("ruleTypeKey", "_slice", "_ruleSlice")
 
 
+@dataclass(frozen=True)
+class PreparedRules:
+    """A rule set as streams reuse it: compiled and measured once, not per batch."""
+
+    active: DataFrame
+    conditions: ConditionSet
+    small: bool
+
+
+def prepare_rules(rules: DataFrame) -> PreparedRules:
+    active = active_rules(rules)
+    conditions = compile_all(rules.sparkSession, distinct_conditions(active))
+    return PreparedRules(active, conditions, _fits_broadcast(active))
+
+
 def match_rules(
-    events: DataFrame, rules: DataFrame, how: str = "inner", broadcast_rules: bool | None = None
+    events: DataFrame, rules: DataFrame | PreparedRules, how: str = "inner", broadcast_rules: bool | None = None
 ) -> DataFrame:
-    """All (event, rule) matches; with ``how="left"`` unmatched events stay too.
+    """All (event, rule) matches; with ``how="left"`` unmatched events stay once.
 
-    A left match may list an event once per group of conditions, with null rule
-    columns where that group has no match.
+    One join and one reading of the events, whatever the number of conditions.
     """
-    active = active_rules(rules)
-    spark = events.sparkSession
-    texts = distinct_conditions(active)
-    groups = [texts[i : i + CONDITIONS_PER_PLAN] for i in range(0, len(texts), CONDITIONS_PER_PLAN)] or [[]]
-    small = _fits_broadcast(active) if broadcast_rules is None else broadcast_rules
-    plans = []
-    for number, group in enumerate(groups):
-        conditions = compile_all(spark, group)
-        # unconditional rules ride with the first group
-        mine = active if number == 0 else active.where(F.col("ruleCondition").isNotNull())
-        plans.append(join_rules(events, mine, conditions, how, small))
-    return reduce(DataFrame.unionByName, plans)
+    prepared = rules if isinstance(rules, PreparedRules) else prepare_rules(rules)
+    small = prepared.small if broadcast_rules is None else broadcast_rules
+    return join_rules(events, prepared.active, prepared.conditions, how, small)
+
+
+def rejected_rules(rules: DataFrame) -> DataFrame:
+    """Enabled rules whose condition can never hold, with the reason."""
+    prepared = prepare_rules(rules)
+    return rule_errors(rules.where(F.coalesce(F.col("enabled"), F.lit(True))), prepared.conditions)
 
 
 def match_conditions(events: DataFrame, rules: DataFrame) -> DataFrame:
@@ -175,7 +187,7 @@ def dispatch_counts(events: DataFrame, rules: DataFrame, known: tuple[str, ...]
 
 def build_alerts(
     events: DataFrame,
-    rules: DataFrame,
+    rules: DataFrame | PreparedRules,
     tag: str = DEFAULT_TAG,
     renderers: dict | None = None,
 ) -> DataFrame:

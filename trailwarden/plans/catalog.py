@@ -16,8 +16,9 @@ from trailwarden.functions.text import iso_instant
 from trailwarden.operators import enrich as en
 from trailwarden.operators import evidence as ev
 from trailwarden.operators import keyed, matching, reports, retention, validation
+from trailwarden.operators.conditions import TOO_LONG
 from trailwarden.plans import fixtures as fx
-from trailwarden.plans.jobs import log_metadata
+from trailwarden.plans.jobs import log_metadata, store_records
 from trailwarden.session import new_workdir, use_utc
 from trailwarden.sinks.tables import (
     Stores,
@@ -182,6 +183,20 @@ def rule_conditions(spark, sf_dir):
     )
 
 
+@query
+def rule_errors(spark, sf_dir):
+    """Enabled rules whose condition is refused: broken ones and over-long ones."""
+    return matching.rejected_rules(fx.odd_rules(spark, sf_dir)).select(
+        F.col("ruleId").alias("rule_id"), (F.col("error") == TOO_LONG).alias("too_long"))
+
+
+@query
+def rule_matches_many(spark, sf_dir):
+    """A rule with a condition of its own for each customer, in one join."""
+    return matching.match_rules(_enriched(spark, sf_dir), fx.rule_per_user(spark, sf_dir)).select(
+        F.col("ruleId").alias("rule_id"), F.col("eventId").alias("event_id"))
+
+
 @query
 def alert_dispatch(spark, sf_dir):
     counts = matching.dispatch_counts(_enriched(spark, sf_dir), fx.rules(spark))
@@ -488,16 +503,30 @@ def stream_alerts(spark, sf_dir):
 def stream_log_collect(spark, sf_dir):
     """Stream the query log into evidence and metadata; read the metadata."""
     stores = Stores(new_workdir(spark, "stream-log"), period="year")
-    sinks = default_sinks(stores)[:2]
-
-    def deliver(batch, batch_id):
-        fan_out(en.enrich(batch), sinks, batch_id)
-
+    into = streams.into_stores(stores, default_sinks(stores)[:2], "general-log")
     log = fx.general_log(spark, sf_dir, streaming=True)
-    _finish(streams.log_stream(log, fx.LOG_TENANT, fx.LOG_RESOURCE, deliver, _checkpoint(stores)))
+    _finish(streams.log_stream(log, fx.LOG_TENANT, fx.LOG_RESOURCE, lambda b, n: into(en.enrich(b), n), _checkpoint(stores)))
     return _flat_metadata(read_table(spark, stores, "metadata"))
 
 
+@query
+def stores_two_writers(spark, sf_dir):
+    """Pushed records and a query log into one store, both replayed, and two loads on top: rows per event and store."""
+    stores = Stores(new_workdir(spark, "two-writers"), period="year")
+    into = streams.into_stores(stores, default_sinks(stores)[:2], "general-log")
+    for attempt in ("first", "replay"):  # the replay starts from a lost checkpoint
+        records = fx.raw_records(spark, sf_dir, streaming=True)
+        _finish(streams.enrichment_stream(records, stores, f"{_checkpoint(stores)}/push-{attempt}"))
+        log = fx.general_log(spark, sf_dir, streaming=True)
+        _finish(streams.log_stream(
+            log, fx.LOG_TENANT, fx.LOG_RESOURCE, lambda b, n: into(en.enrich(b), n), f"{_checkpoint(stores)}/log-{attempt}"))
+    for _ in range(2):
+        store_records(fx.raw_records(spark, sf_dir), stores)
+    held = read_table(spark, stores, "metadata").groupBy("event_id").agg(F.count("*").alias("metadata_rows"))
+    seen = read_evidence(spark, stores).groupBy(F.col("eventId").alias("event_id")).agg(F.count("*").alias("evidence_rows"))
+    return held.join(seen, "event_id", "full")
+
+
 @query
 def stream_ingest(spark, sf_dir):
     """Stream landed requests into the raw topic; decode what arrived there."""

@@ -32,15 +32,15 @@ LOG_BATCH = 500
 
 _RULES = [
     # id, tenant, name, type, threshold, condition, enabled, channels
-    ("r01", "cust-0", "Failed login", "AUTH_EVENT", None, "action == 'LOGIN_FAILURE'", True, ["slack"]),
-    ("r02", "cust-1", "PII viewed", "FILE_ACCESS", "MEDIUM", None, True, ["slack", "email"]),
-    ("r03", "cust-2", "Odd customer access", None, None, "anomalous && resource == 'customers_table'", True, ["email"]),
+    ("r01", "cust-0", "Locked out", "AUTH_EVENT", None, "action == 'LOGIN_FAILURE'", True, ["slack"]),
+    ("r02", "cust-1", "Rated file touched", "FILE_ACCESS", "MEDIUM", None, True, ["slack", "email"]),
+    ("r03", "cust-2", "Strange table read", None, None, "resource == 'customers_table' and anomalous", True, ["email"]),
     ("r04", "cust-2", None, "DATA_EXPORT", "CRITICAL", None, True, ["slack"]),
     ("r05", "cust-3", None, None, "LOW", None, True, ["pager", "slack"]),
     ("r06", "cust-3", "Switched off", None, None, None, False, ["slack"]),
-    ("r07", "cust-4", "Customers or odd", None, None, "resource.contains('customers') || anomalous", True, ["email"]),
+    ("r07", "cust-4", "Customer table or strange", None, None, "resource.contains('customers') || anomalous", True, ["email"]),
     ("r08", "cust-4", "Outside address", None, None, "ipAddress != null && !ipAddress.startsWith('10.')", True, ["slack"]),
-    ("r09", "cust-4", None, None, None, "T(java.lang.Runtime).getRuntime() != null", True, ["slack"]),
+    ("r09", "cust-4", None, None, None, "T(java.io.File).listRoots() != null", True, ["slack"]),
     ("r10", "cust-4", None, None, None, "resource", True, ["slack"]),
     ("r11", "cust-0", 'High "risk"', None, "HIGH", "  ", True, ["email", "email"]),
     ("r12", "cust-9", None, None, None, None, True, ["slack"]),
@@ -89,6 +89,27 @@ def rule_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def odd_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules per customer with conditions of which half are refused, by key modulo 4."""
+    key = F.regexp_extract("ruleId", r"(\d+)", 1).cast("long")
+    condition = (
+        F.when(key % 4 == 0, F.lit("anomalous and ("))
+        .when(key % 4 == 1, F.repeat(F.lit("x"), 10_001))
+        .when(key % 4 == 2, F.concat(F.lit("action == 'A"), key.cast("string"), F.lit("'")))
+    )
+    return fill_rule_defaults(rule_rows(spark, sf_dir)).withColumn("conditionExpression", condition)
+
+
+def rule_per_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule per customer that waits for the user of the same number."""
+    key = F.regexp_extract("ruleId", r"(\d+)", 1)
+    return fill_rule_defaults(rule_rows(spark, sf_dir)).withColumns({
+        "customerId": F.concat(F.lit("cust-"), (key.cast("long") % 5).cast("string")),
+        "eventType": F.lit(None).cast("string"), "riskThreshold": F.lit(None).cast("string"), "enabled": F.lit(True),
+        "conditionExpression": F.concat(F.lit("userId == 'user-"), key, F.lit("'")),
+    })
+
+
 def _text(column: str | Column) -> Column:
     return (F.col(column) if isinstance(column, str) else column).cast("string")
 
@@ -216,9 +237,9 @@ def general_log(spark: SparkSession, sf_dir: str, streaming: bool = False) -> Da
         .when(which == 3, F.lit("SELECT MAX(event_time) FROM mysql.general_log"))
         .when(which == 4, F.lit("SELECT * FROM information_schema.tables"))
         .when(which == 5, F.lit("  "))
-        .when(which == 6, F.concat(F.lit("SELECT * FROM orders WHERE o_orderkey = "), _text(key), F.lit(" AND note = 'O''Brien "), cust, F.lit("'")))
+        .when(which == 6, F.concat(F.lit("SELECT * FROM orders WHERE o_orderkey = "), _text(key), F.lit(" AND note = 'D''Arcy "), cust, F.lit("'")))
         .when(which == 7, F.concat(F.lit("  UPDATE table2 SET total = "), _text("o_totalprice"), F.lit(',  status = "'), F.col("o_orderstatus"), F.lit('" WHERE id='), cust, F.lit(" ")))
-        .when(which == 8, F.concat(F.lit("INSERT INTO t1 (email, phone) VALUES ('u"), cust, F.lit("@example.com', '224-249-0942')")))
+        .when(which == 8, F.concat(F.lit("INSERT INTO t1 (email, phone) VALUES ('u"), cust, F.lit("@example.com', '0151 77 2043')")))
         .when(which == 9, F.lit("COMMIT"))
         .when(which == 10, F.concat(F.lit("DELETE FROM c"), cust, F.lit(" WHERE a = 1e10 AND b = 'open")))
     )

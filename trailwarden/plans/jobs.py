@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,13 +35,17 @@ def alerts_for(records: DataFrame, rules: DataFrame, **build) -> DataFrame:
 
 
 def store_records(
-    records: DataFrame, stores: Stores, rules: DataFrame | None = None, batch_id: int = 0
-) -> None:
-    """One batch of raw records through enrichment into every store.
+    records: DataFrame, stores: Stores, rules: DataFrame | None = None, writer: str | None = None, batch: int = 0
+) -> int:
+    """One batch of raw records through enrichment into every store; gives the store's number for it.
 
+    Without a writer's name each call is a batch of its own. With one, the same
+    (writer, batch) again is a replay and replaces what it wrote before.
     Records that do not decode end up in the quarantine table.
     """
-    fan_out_decoded(decode_events(records), stores, default_sinks(stores, rules), batch_id)
+    number = stores.number(records.sparkSession, writer or f"load-{uuid.uuid4().hex}", batch)
+    fan_out_decoded(decode_events(records), stores, default_sinks(stores, rules), number)
+    return number
 
 
 def log_metadata(

@@ -114,9 +114,9 @@ general_log AS (
       WHEN 0 THEN 'SET autocommit=1' WHEN 1 THEN 'SHOW VARIABLES' WHEN 2 THEN 'select @@session.tx_isolation'
       WHEN 3 THEN 'SELECT MAX(event_time) FROM mysql.general_log' WHEN 4 THEN 'SELECT * FROM information_schema.tables'
       WHEN 5 THEN '  '
-      WHEN 6 THEN concat('SELECT * FROM orders WHERE o_orderkey = ', CAST(o_orderkey AS VARCHAR), ' AND note = ''O''''Brien ', CAST(o_custkey AS VARCHAR), '''')
+      WHEN 6 THEN concat('SELECT * FROM orders WHERE o_orderkey = ', CAST(o_orderkey AS VARCHAR), ' AND note = ''D''''Arcy ', CAST(o_custkey AS VARCHAR), '''')
       WHEN 7 THEN concat('  UPDATE table2 SET total = ', CAST(o_totalprice AS VARCHAR), ',  status = "', o_orderstatus, '" WHERE id=', CAST(o_custkey AS VARCHAR), ' ')
-      WHEN 8 THEN concat('INSERT INTO t1 (email, phone) VALUES (''u', CAST(o_custkey AS VARCHAR), '@example.com'', ''224-249-0942'')')
+      WHEN 8 THEN concat('INSERT INTO t1 (email, phone) VALUES (''u', CAST(o_custkey AS VARCHAR), '@example.com'', ''0151 77 2043'')')
       WHEN 9 THEN 'COMMIT'
       WHEN 10 THEN concat('DELETE FROM c', CAST(o_custkey AS VARCHAR), ' WHERE a = 1e10 AND b = ''open')
       ELSE NULL END AS argument
@@ -169,12 +169,12 @@ _ENRICHED_JSON = _json_event(controls="controls_json", anomalous="CAST(anomalous
 
 _RULES = """
 rules(rule_id, tenant, name, event_type, min_rank, channels) AS (VALUES
-  ('r01', 'cust-0', 'Failed login', 'AUTH_EVENT', -1, ['slack']),
-  ('r02', 'cust-1', 'PII viewed', 'FILE_ACCESS', 1, ['slack', 'email']),
-  ('r03', 'cust-2', 'Odd customer access', NULL, -1, ['email']),
+  ('r01', 'cust-0', 'Locked out', 'AUTH_EVENT', -1, ['slack']),
+  ('r02', 'cust-1', 'Rated file touched', 'FILE_ACCESS', 1, ['slack', 'email']),
+  ('r03', 'cust-2', 'Strange table read', NULL, -1, ['email']),
   ('r04', 'cust-2', NULL, 'DATA_EXPORT', 3, ['slack']),
   ('r05', 'cust-3', NULL, NULL, 0, ['pager', 'slack']),
-  ('r07', 'cust-4', 'Customers or odd', NULL, -1, ['email']),
+  ('r07', 'cust-4', 'Customer table or strange', NULL, -1, ['email']),
   ('r08', 'cust-4', 'Outside address', NULL, -1, ['slack']),
   ('r11', 'cust-0', 'High "risk"', NULL, 2, ['email', 'email']),
   ('r12', 'cust-9', NULL, NULL, -1, ['slack'])),
@@ -461,6 +461,18 @@ UNION ALL SELECT 'mysql-general-log:acme-crm', count(*), count(*) FROM customer
     )
 
     sql["stream_enrich"] = sql["enrich_all"]
+    sql["stores_two_writers"] = (
+        f"SELECT event_id, 1 AS metadata_rows, 1 AS evidence_rows FROM (SELECT event_id FROM ({sql['enrich_all']}) "
+        f"UNION ALL SELECT event_id FROM ({sql['log_to_metadata']}))"
+    )
+    sql["rule_errors"] = (
+        "SELECT concat('rule-', c_custkey) AS rule_id, c_custkey % 4 = 1 AS too_long FROM customer "
+        "WHERE c_mktsegment <> 'FURNITURE' AND c_custkey % 4 IN (0, 1)"
+    )
+    sql["rule_matches_many"] = (
+        _with(*_ENRICHED) + "SELECT concat('rule-', c_custkey) AS rule_id, event_id FROM enriched "
+        "JOIN customer ON user_id = concat('user-', c_custkey) AND customer_id = concat('cust-', c_custkey % 5)"
+    )
     sql["stream_alerts"] = sql["alert_messages"]
     sql["stream_log_collect"] = sql["log_to_metadata"]
     sql["stream_ingest"] = (

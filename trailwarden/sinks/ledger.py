@@ -1,0 +1,58 @@
+"""Batch numbers of a store that several writers share.
+
+Every writer counts its own batches from 0: a stream by its checkpoint, a load
+by its caller. The store numbers them all in one sequence, so that no writer's
+partitions can replace another's and "first" and "last" have a meaning across
+writers. A number is taken by creating its file, which only one writer can; a
+second file keeps which batch of which writer has it, so a replay finds the
+number it had.
+"""
+
+from __future__ import annotations
+
+from urllib.parse import quote
+
+from pyspark.sql import SparkSession
+
+
+class BatchLedger:
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self._jvm = spark.sparkContext._jvm
+        self._root = f"{root.rstrip('/')}/_batches"
+        path = self._path("")
+        self._fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _path(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self._root}/{name}" if name else self._root)
+
+    def _read(self, name: str) -> int | None:
+        path = self._path(name)
+        if not self._fs.exists(path):
+            return None
+        stream = self._fs.open(path)
+        try:
+            text = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return int(text) if text else None
+
+    def _write(self, name: str, number: int) -> None:
+        stream = self._fs.create(self._path(name), True)
+        stream.write(bytearray(str(number), "ascii"))
+        stream.close()
+
+    def _take(self, number: int) -> bool:
+        return self._fs.createNewFile(self._path(f"taken/{number:012d}"))
+
+    def number(self, writer: str, batch: int) -> int:
+        """The store's number for a writer's batch: the one it had, or the next free one."""
+        mine = f"of/{quote(writer, safe='')}/{batch:012d}"
+        known = self._read(mine)
+        if known is not None:
+            return known
+        number = (self._read("last") or 0) + 1  # a hint, from which free numbers are tried
+        while not self._take(number):
+            number += 1
+        self._write(mine, number)
+        self._write("last", number)
+        return number

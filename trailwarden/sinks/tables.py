@@ -1,7 +1,8 @@
 """File tables behind the stores.
 
-Every writer takes a batch id and overwrites just that batch's partitions, so a
-batch that is replayed after a failure leaves the tables as if it ran once.
+Every batch has a number of the store (``Stores.number``) and overwrites just its
+own partitions, so a batch that is replayed after a failure leaves the tables as
+if it ran once, and no writer touches what another wrote.
 
 Layouts
   evidence   event_date / batch_id   all versions, in (tenant, time) ranges
@@ -40,8 +41,9 @@ from trailwarden.operators.evidence import (
     window_bounds,
 )
 from trailwarden.operators.keyed import insert_if_absent
-from trailwarden.operators.matching import build_alerts
+from trailwarden.operators.matching import PreparedRules, build_alerts
 from trailwarden.operators.validation import split_rows
+from trailwarden.sinks.ledger import BatchLedger
 from trailwarden.schemas import ALERT, AUDIT_EVENT, EVENT_COLUMNS, METADATA
 from trailwarden.sources.events import RECORD
 
@@ -74,6 +76,14 @@ class Stores:
     def path(self, table: str) -> str:
         return f"{self.root.rstrip('/')}/{table}"
 
+    def number(self, spark: SparkSession, writer: str, batch: int) -> int:
+        """The store's number for a writer's batch; the same again for a replay.
+
+        A writer's name outlives its checkpoints: one that starts anew from an
+        empty checkpoint must take a new name.
+        """
+        return BatchLedger(spark, self.root).number(writer, batch)
+
 
 _PARTITIONS = {
     "evidence": [("event_date", "date"), ("batch_id", "bigint")],
@@ -197,24 +207,15 @@ def write_metadata(
     stores: Stores,
     batch_id: int,
     batch_rows: int | None = None,
-    lookback_days: int | None = None,
 ) -> None:
     """Insert ids that are not stored yet; refuse rows that break a constraint.
 
-    Only earlier batches count as stored, so a replay decides as it did before.
-    By default every stored id counts, which reads the id column of the whole
-    table.  Where copies are known to lie at most ``lookback_days`` apart, giving
-    that number limits the read to the recent folders.
+    Only batches with smaller numbers count as stored, so a replay decides as it
+    did before. Every stored id counts: the id column of the table is read.
     """
     spark = events.sparkSession
     rows, refused = split_rows(to_metadata(_with_seq(events), "seq"))
-    target = None
-    if batch_id > 0:
-        first = None
-        if lookback_days is not None:
-            oldest = rows.agg(F.min(F.to_date("occurred_at"))).first()[0]
-            first = stores.first_day(oldest - timedelta(days=lookback_days)) if oldest else None
-        target = read_table(spark, stores, "metadata", first).where(F.col("batch_id") < batch_id)
+    target = read_table(spark, stores, "metadata").where(F.col("batch_id") < batch_id) if batch_id > 0 else None
     fresh = insert_if_absent(rows, target, "event_id", F.col("seq"), batch_rows)
     order = ("event_date", "batch_id", "occurred_at")
     dated = fresh.withColumns(
@@ -259,7 +260,7 @@ def write_kafka(records: DataFrame, servers: str, topic: str, **options: str) ->
     records.select("key", "value").write.format("kafka").options(**settings).save()
 
 
-def write_alerts(events: DataFrame, rules: DataFrame, stores: Stores, batch_id: int, **build) -> None:
+def write_alerts(events: DataFrame, rules: DataFrame | PreparedRules, stores: Stores, batch_id: int, **build) -> None:
     """Fill the outbox.  Two deliveries of an event alert twice, a replay does not."""
     # few alerts per task: merged into full files, split where one is large
     _write(build_alerts(events, rules, **build).hint("rebalance"), stores, "alerts", batch_id)
@@ -277,13 +278,11 @@ class Sink:
     write: Callable[[DataFrame, int, int], None]
 
 
-def default_sinks(
-    stores: Stores, rules: DataFrame | None = None, lookback_days: int | None = None
-) -> list[Sink]:
+def default_sinks(stores: Stores, rules: DataFrame | PreparedRules | None = None) -> list[Sink]:
     """Persist first, page last: evidence, metadata, enriched, then alerts."""
     sinks = [
         Sink("evidence", lambda df, b, n: write_evidence(df, stores, b)),
-        Sink("metadata", lambda df, b, n: write_metadata(df, stores, b, n, lookback_days)),
+        Sink("metadata", lambda df, b, n: write_metadata(df, stores, b, n)),
         Sink("enriched", lambda df, b, n: write_enriched(df, stores, b)),
     ]
     if rules is not None:

@@ -45,10 +45,13 @@ def kafka_records(spark: SparkSession, options: dict[str, str], streaming: bool
     """(key, value, seq) of a topic.  Needs the Spark Kafka package.
 
     ``seq`` orders records as the broker did within a partition; a key stays in
-    one partition, so it orders the records of a tenant.
+    one partition, so it orders the records of a tenant. Partition numbers have
+    13 bits; a topic with more partitions is refused.
     """
     reader = (spark.readStream if streaming else spark.read).format("kafka").options(**options)
-    seq = F.shiftleft(F.col("offset"), 10).bitwiseOR(F.col("partition").cast("bigint"))
+    partition = F.col("partition").cast("bigint")
+    refused = F.raise_error(F.lit("more than 8192 partitions")).cast("bigint")
+    seq = F.when(partition < 1 << 13, F.shiftleft(F.col("offset"), 13).bitwiseOR(partition)).otherwise(refused)
     return reader.load().select(
         F.col("key").cast("string").alias("key"),
         F.col("value").cast("string").alias("value"),

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from trailwarden.functions.eventjson import decode_events
 from trailwarden.operators.enrich import Step
 from trailwarden.operators.evidence import to_metadata
+from trailwarden.operators.matching import prepare_rules
 from trailwarden.operators.validation import accepted, normalize_requests, rejected
 from trailwarden.sinks.tables import (
     Sink,
@@ -27,6 +28,7 @@ from trailwarden.sinks.tables import (
     topic_records,
     write_alerts,
     write_metadata,
+    write_quarantine,
 )
 from trailwarden.sources.querylog import log_events
 
@@ -58,12 +60,15 @@ def enrichment_stream(
     steps: list[Step] | None = None,
     sinks: list[Sink] | None = None,
     every: str | None = None,
+    writer: str = "enrichment",
 ) -> StreamingQuery:
     """Raw records -> enriched events -> every sink; bad records are set aside."""
-    targets = default_sinks(stores, rules) if sinks is None else sinks
+    prepared = None if rules is None else prepare_rules(rules)
+    targets = default_sinks(stores, prepared) if sinks is None else sinks
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        fan_out_decoded(decode_events(batch), stores, targets, batch_id, steps)
+        number = stores.number(batch.sparkSession, writer, batch_id)
+        fan_out_decoded(decode_events(batch), stores, targets, number, steps)
 
     return run_batches(records, handle, checkpoint, every)
 
@@ -74,18 +79,47 @@ def alert_stream(
     stores: Stores,
     checkpoint: str,
     every: str | None = None,
+    writer: str = "alerting",
     **build,
 ) -> StreamingQuery:
-    """Enriched records -> outbox, one stream-static join per micro-batch."""
+    """Enriched records -> outbox, one stream-static join per micro-batch.
+
+    Records that do not decode go to the quarantine table, as in enrichment.
+    """
+    prepared = prepare_rules(rules)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        number = stores.number(batch.sparkSession, writer, batch_id)
         decoded = decode_events(batch)
-        good = decoded.where(F.col("decode_error").isNull()).drop("decode_error", "key", "value")
-        write_alerts(good, rules, stores, batch_id, **build)
+        failed = F.col("decode_error").isNotNull()
+        write_quarantine(decoded.where(failed).select("key", "value", "seq", "decode_error"), stores, number)
+        write_alerts(decoded.where(~failed).drop("decode_error", "key", "value"), prepared, stores, number, **build)
 
     return run_batches(enriched_records, handle, checkpoint, every)
 
 
+def into_stores(stores: Stores, sinks: list[Sink], writer: str) -> Callable[[DataFrame, int], None]:
+    """A batch handler that fans out under the store's own batch numbers."""
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        fan_out(batch, sinks, stores.number(batch.sparkSession, writer, batch_id))
+
+    return handle
+
+
+def arrival_order(batch_id: int) -> Column:
+    """Numbers that grow from batch to batch and, within a batch, in reading order.
+
+    40 bits for the rows of a batch, at most 8,192 tasks of 2 ** 27 rows; a batch
+    beyond that fails instead of losing its order.
+    """
+    row = F.monotonically_increasing_id()
+    task, place = F.shiftright(row, 33), row.bitwiseAND(F.lit((1 << 33) - 1))
+    fits = (task < 1 << 13) & (place < 1 << 27)
+    number = F.lit(batch_id << 40) + F.shiftleft(task, 27) + place
+    return F.when(fits, number).otherwise(F.raise_error(F.lit("a batch this large has no order; take smaller ones")).cast("bigint"))
+
+
 def log_stream(
     log: DataFrame,
     customer_id: str,
@@ -94,7 +128,10 @@ def log_stream(
     checkpoint: str,
     every: str | None = None,
 ) -> StreamingQuery:
-    """Query-log rows -> redacted events.  An all-noise batch still advances."""
+    """Query-log rows -> redacted events.  An all-noise batch still advances.
+
+    ``deliver`` gets the query's own batch number; see ``into_stores``.
+    """
     return run_batches(log_events(log, customer_id, resource), deliver, checkpoint, every)
 
 
@@ -109,7 +146,7 @@ def ingest_stream(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         checked = normalize_requests(batch, ingest_ts())
-        good = in_tenant_order(accepted(checked).withColumn("seq", F.monotonically_increasing_id()))
+        good = in_tenant_order(accepted(checked).withColumn("seq", arrival_order(batch_id)))
         topic_records(good).write.mode("overwrite").parquet(
             f"{stores.path('raw')}/batch_id={batch_id}"
         )
@@ -125,18 +162,20 @@ def metadata_stream(
     stores: Stores,
     checkpoint: str,
     every: str | None = None,
-    lookback_days: int | None = None,
+    writer: str = "metadata",
 ) -> StreamingQuery:
     """Insert-if-absent over the earlier batches (see ``write_metadata``)."""
-    sink = Sink("metadata", lambda df, b, n: write_metadata(df, stores, b, n, lookback_days))
-    return run_batches(events, lambda df, b: fan_out(df, [sink], b), checkpoint, every)
+    sink = Sink("metadata", lambda df, b, n: write_metadata(df, stores, b, n))
+    return run_batches(events, into_stores(stores, [sink], writer), checkpoint, every)
 
 
 def recent_unique(events: DataFrame, keep: str = "7 days") -> DataFrame:
     """Bounded-state variant: copies of an id within ``keep`` of each other.
 
-    State is one row per recent id, spread over the shuffle partitions; copies
-    further apart than ``keep`` pass, so pair it with the exact store.
+    State is one row per recent id, spread over the shuffle partitions. Time is
+    that of arrival: an event may be as old as it likes when it first comes, for
+    nothing arrives late by the clock. Copies that arrive further apart than
+    ``keep`` pass, so pair it with the exact store.
     """
-    rows = to_metadata(events)
-    return rows.withWatermark("occurred_at", keep).dropDuplicatesWithinWatermark(["event_id"])
+    rows = to_metadata(events).withColumn("_arrived", F.current_timestamp())
+    return rows.withWatermark("_arrived", keep).dropDuplicatesWithinWatermark(["event_id"]).drop("_arrived")
