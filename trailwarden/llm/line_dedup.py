@@ -94,7 +94,7 @@ class LineRuns:
 def _batch_edges(pairs: DataFrame, batches: int) -> list[int]:
     """Ids at which a batch ends; where they lie changes the work, never the result."""
     ids = pairs.where(F.col("doc") < LAST_ID)
-    cuts = ids.approxQuantile("doc", [i / batches for i in range(1, batches)], 0.01)
+    cuts = ids.approxQuantile("doc", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
     return sorted({int(c) for c in cuts})
 
 
