@@ -17,6 +17,7 @@ import functools
 import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,16 +25,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailwarden.llm.common import saved, table
+from trailwarden.llm.words import chunks, split_words
 from trailwarden.operators.ranking import with_row_index
 
 CAPACITY = 2048
 SEPARATOR = 0
 VOCABULARY = "word_bpe_49k.json"
 #: Words and pieces of words whose ids a task remembers, and the longest it does.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
 CACHE_LENGTH = 48
-#: Bytes of text encoded at a time.
-CHUNK_BYTES = 4 << 20
 
 
 class WordEncoder:
@@ -45,7 +45,7 @@ class WordEncoder:
     """
 
     PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"  # fixed: the splitter of the vocabulary file
-    LATIN = 0x250
+    LATIN = "\u024f"
 
     def __init__(self, vocabulary: str) -> None:
         import regex
@@ -60,9 +60,9 @@ class WordEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.codes: dict[bytes, int] = {}
+        self.codes: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
-        self.starts, self.lengths = [], []
+        self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.used = 0
 
     def _whole(self, text: str) -> list[int]:
@@ -75,51 +75,55 @@ class WordEncoder:
             names = list(pieces)
         for at in range(0, len(names), 4096):
             part = names[at : at + 4096]
-            ids = np.array(self._whole(" ".join(part)), np.int64)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
+            ids = self._whole(" ".join(part))
+            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(cuts) == len(part):
-                self.pieces.update(zip(part, (x.tolist() for x in np.split(ids, cuts[:-1]))))
+                self.pieces.update((p, ids[a:b]) for p, a, b in zip(part, [0, *cuts], cuts))
             else:  # a piece that the splitter cuts differently when it stands alone
                 self.pieces.update((p, self._whole(p)) for p in part)
 
-    def _store(self, ids: list[int]) -> int:
-        if self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.starts.append(self.used)
-        self.lengths.append(len(ids))
-        self.used += len(ids)
-        return len(self.starts) - 1
-
-    def _learn(self, words: set[bytes]) -> None:
-        plain: dict[bytes, list[str]] = {}
+    def _store(self, words: list[str], ids: list[list[int]]) -> None:
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        more = np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
+        if self.used + len(more) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(more)), np.uint32)])
+        self.flat[self.used : self.used + len(more)] = more
+        self.codes.update(zip(words, range(len(self.starts), len(self.starts) + len(words))))
+        self.starts = np.concatenate([self.starts, self.used + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.used += len(more)
+
+    def _learn(self, words: list[str]) -> None:
+        single, several, rest = [], {}, []
         for word in words:
-            text = word.decode("utf-8", "replace")
-            if len(word) <= CACHE_LENGTH and max(text) < chr(self.LATIN):
-                plain[word] = self.split(unicodedata.normalize("NFC", text).lower())
+            if len(word) > CACHE_LENGTH or (not word.isascii() and max(word) > self.LATIN):
+                rest.append(word)
+                continue
+            text = word if word.isascii() else unicodedata.normalize("NFC", word).lower()
+            if text.isalpha():
+                single.append((word, text))
             else:
-                self.codes[word] = self._store(self._whole(text))
-        self._learn_pieces({p for parts in plain.values() for p in parts})
-        for word, parts in plain.items():
-            self.codes[word] = self._store([i for p in parts for i in self.pieces[p]])
-
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+                several[word] = self.split(text)
+        self._learn_pieces({text for _, text in single}.union(*several.values()))
+        pieces = self.pieces
+        self._store([w for w, _ in single], [pieces[t] for _, t in single])
+        self._store(list(several), [[i for p in parts for i in pieces[p]] for parts in several.values()])
+        self._store(rest, [self._whole(w) for w in rest])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, with the separator after each text, and where each text ends."""
-        split = [t.split() for t in texts]
+        index, words, counts = split_words(texts)
         if len(self.codes) > CACHE_WORDS:
             self._clear()
-        words = [w for part in split for w in part]
-        new = set(words).difference(self.codes)
+        new = [w for w in words if w not in self.codes]
         if new:
             self._learn(new)
-        codes = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
-        starts, lengths = np.array(self.starts, np.int64), np.array(self.lengths, np.int64)
-        sizes = lengths[codes] if len(codes) else np.zeros(0, np.int64)
+        code = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))[index]
+        sizes = self.lengths[code]
         ends = np.cumsum(sizes)
-        base = np.repeat((starts[codes] if len(codes) else sizes) - (ends - sizes), sizes)
-        ids = self.flat[base + np.arange(len(base))] if len(base) else np.zeros(0, np.uint32)
-        counts = np.cumsum([len(part) for part in split])
-        upto = np.concatenate([[0], ends])[counts]
+        base = np.repeat(self.starts[code] - (ends - sizes), sizes)
+        ids = self.flat[base + np.arange(len(base))]
+        upto = np.concatenate([[0], ends])[np.cumsum(counts)]
         return np.insert(ids, upto, np.uint32(SEPARATOR)), upto + np.arange(1, len(texts) + 1)
 
 
@@ -134,25 +138,13 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-def chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``CHUNK_BYTES``."""
-    at, size = 0, 0
-    for i, text in enumerate(texts):
-        size += len(text)
-        if size >= CHUNK_BYTES:
-            yield at, i + 1
-            at, size = i + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
-
-
 def _cut(batches: Iterable[pa.RecordBatch], name: str, capacity: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
     encoder = _encoder(vocabulary_path(name))
     for batch in batches:
         doc_ids = batch.column("doc_id")
-        texts = [t or b"" for t in batch.column("text").to_pylist()]
+        texts = batch.column("text")
         for low, high in chunks(texts):
-            ids, ends = encoder.encode(texts[low:high])
+            ids, ends = encoder.encode(texts.slice(low, high - low))
             begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
             sizes = ends - begins
             n = -(-sizes // capacity)
@@ -177,7 +169,7 @@ def _cut(batches: Iterable[pa.RecordBatch], name: str, capacity: int, with_ids:
 
 def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Token pieces of every document: doc_id, piece, start, length, ids_crc32, and the ids if wanted."""
-    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
+    source = docs.select(F.col("doc_id").cast("long"), "text")
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     return source.mapInArrow(lambda batches: _cut(batches, vocabulary, capacity, with_ids), schema)
 
