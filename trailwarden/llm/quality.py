@@ -189,3 +189,76 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         F.round("character_distance", 6).alias("character_distance"), F.round("word_distance", 6).alias("word_distance"))
+
+
+def _sql() -> str:
+    """The query's twin: the same counts, references and distances from lists."""
+    lists = ", ".join(
+        f"('{lang}', [{', '.join(repr(w) for w in listed.split())}])" for lang, listed in COMMON_WORDS.items()
+    )
+    edges = EDGES.replace("'", "''")
+    js = "sqrt(greatest(list_sum(list_transform(list_zip({own}, {ref}), lambda x: ({p} + {q}) / 2)), 0))"
+
+    def distance_sql(own: str, total: str, ref: str) -> str:
+        p, q = f"(x[1] / {total})", f"(x[2] / list_sum({ref}))"
+        part = lambda y: f"CASE WHEN {y} > 0 THEN {y} * log2({y} / (({p} + {q}) / 2)) ELSE 0 END"
+        return js.format(own=own, ref=ref, p=part(p), q=part(q))
+
+    return rf"""
+WITH lists(l, listed) AS (VALUES {lists}),
+cut AS (
+  SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS x
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM cut WHERE len(w) >= {WINDOW})
+), twice AS (
+  SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, x) AS n FROM windows) WHERE n > 1
+), covered AS (
+  SELECT doc_id, sum(least({WINDOW}, coalesce(lead - i, {WINDOW})))::BIGINT AS n
+  FROM (SELECT *, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS lead FROM twice) GROUP BY doc_id
+), measured AS (
+  SELECT c.doc_id, lang, length(t) AS n_all, len(w)::BIGINT AS n_words, length(array_to_string(w, '')) AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    coalesce(n, 0) AS n_repeat_words,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+    length(regexp_replace(t, '[^\p{{Lu}}]', '', 'g')) AS n_upper,
+    length(regexp_replace(t, '[^0-9]', '', 'g')) AS n_digit,
+    length(regexp_replace(t, '[^!-/:-@\[-`{{-~]', '', 'g')) AS marks,
+    list_transform(w, lambda x: lower(trim(x, '{edges}'))) AS bare
+  FROM cut c LEFT JOIN covered USING (doc_id)
+), counted AS (
+  SELECT m.*, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+    [n_upper, n_digit, n_symbols, marks - n_symbols, n_all - word_chars,
+     n_all - n_upper - n_digit - marks - (n_all - word_chars)] AS c6,
+    list_transform(listed, lambda y: len(list_filter(bare, lambda x: x = y))) AS c_words
+  FROM measured m LEFT JOIN lists ON lang = l
+), whole AS (
+  SELECT *, list_append(c6, n_all - list_sum(c6)::BIGINT) AS classes,
+    CASE WHEN c_words IS NOT NULL THEN list_append(c_words, n_words - list_sum(c_words)::BIGINT) END AS common
+  FROM counted
+), shares AS (
+  SELECT lang, 'c' AS kind, unnest(classes) AS n, generate_subscripts(classes, 1) AS k, n_all AS total FROM whole
+  WHERE n_all >= {MIN_CHARACTERS} AND n_words >= {MIN_HISTOGRAM_WORDS}
+  UNION ALL
+  SELECT lang, 'w', unnest(common), generate_subscripts(common, 1), n_words FROM whole
+  WHERE n_all >= {MIN_CHARACTERS} AND n_words >= {MIN_HISTOGRAM_WORDS}
+), sums AS (
+  SELECT lang, kind, k, sum(floor(n * {UNIT} / total)) AS s, count(*) AS docs FROM shares GROUP BY ALL
+), refs AS (
+  SELECT lang, list(s ORDER BY k) FILTER (WHERE kind = 'c') AS ref_c, list(s ORDER BY k) FILTER (WHERE kind = 'w') AS ref_w
+  FROM sums GROUP BY lang HAVING max(docs) >= {MIN_DOCUMENTS}
+), far AS (
+  SELECT x.*, x.n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * x.n_words AS base_failed,
+    CASE WHEN n_all >= {MIN_CHARACTERS} THEN {distance_sql("classes", "n_all", "ref_c")} END AS cd,
+    CASE WHEN n_words >= {MIN_HISTOGRAM_WORDS} THEN {distance_sql("common", "n_words", "ref_w")} END AS wd
+  FROM whole x LEFT JOIN refs r ON x.lang IS NOT DISTINCT FROM r.lang
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (coalesce(cd > {MAX_CHARACTER_DISTANCE}, FALSE) OR coalesce(wd > {MAX_WORD_DISTANCE}, FALSE)
+    OR (coalesce(cd > {BOTH_CHARACTER_DISTANCE}, FALSE) AND coalesce(wd > {BOTH_WORD_DISTANCE}, FALSE))) AS kept,
+  round(cd, 6) AS character_distance, round(wd, 6) AS word_distance
+FROM far
+"""
+
+
+SQL = _sql()

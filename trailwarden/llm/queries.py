@@ -25,4 +25,4 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def all_oracles() -> dict[str, str]:
-    return {"op1_top_k": topk.SQL, "op3_near_dup": near_dup.SQL, "op4_mixing": mixing.SQL, "op10_line_dedup": line_dedup.SQL}
+    return {"op1_top_k": topk.SQL, "op3_near_dup": near_dup.SQL, "op4_mixing": mixing.SQL, "op5_quality": quality.SQL, "op10_line_dedup": line_dedup.SQL}
