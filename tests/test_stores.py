@@ -197,6 +197,43 @@ def test_ingest_stream(spark, tmp_path):
     assert [r.reject_reason for r in spark.read.parquet(stores.path("rejects")).collect()] == ["customerId is required"]
 
 
+def test_order_holds_over_ingest_batches(spark, tmp_path):
+    from trailwarden.operators.evidence import instant
+    from trailwarden.plans.jobs import store_records
+    from trailwarden.sources.events import request_files
+
+    landing, stores = tmp_path / "landing", tb.Stores(str(tmp_path / "out"))
+    landing.mkdir()
+    for name, action in (("a", "OLD"), ("b", "NEW")):
+        (landing / f"{name}.json").write_text(
+            f'{{"eventId":"e1","customerId":"c","type":"API_CALL","action":"{action}"}}\nno json {name}\n')
+        stream = request_files(spark, str(landing), streaming=True)
+        jobs.ingest_stream(stream, lambda: instant("2026-01-01T00:00:00Z"), stores, str(tmp_path / "cp")).awaitTermination()
+    assert sorted(r.malformed for r in spark.read.parquet(stores.path("rejects")).collect()) == ["no json a", "no json b"]
+    store_records(file_records(spark, stores.path("raw")), stores)
+    assert [r.action for r in tb.read_evidence(spark, stores).collect()] == ["NEW"]
+    assert contents(spark, stores, "metadata", "action") == [("OLD",)]
+
+
+def test_alert_stream_sets_bad_records_aside(spark, rules_of, tmp_path):
+    source, stores = str(tmp_path / "in"), tb.Stores(str(tmp_path / "out"))
+    spark.createDataFrame([("c", "not json", 1)], "key string, value string, seq bigint").write.parquet(source)
+    jobs.alert_stream(file_records(spark, source, streaming=True), rules_of({}), stores, str(tmp_path / "cp")).awaitTermination()
+    assert contents(spark, stores, "quarantine", "value", "decode_error") == [("not json", "malformed json")]
+    assert contents(spark, stores, "alerts", "event_id") == []
+
+
+def test_a_late_first_timer_is_kept(spark, events_of, tmp_path):
+    source, seen = str(tmp_path / "events"), []
+    for rows in ([{"eventId": "a"}, {"eventId": "b"}], [{"eventId": "a"}, {"eventId": "c", "timestamp": AT - timedelta(days=100)}], [{"eventId": "d"}]):
+        events_of(*rows).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
+        jobs.run_batches(
+            jobs.recent_unique(stream, "1 day"), lambda df, b: seen.extend(r.event_id for r in df.collect()), str(tmp_path / "cp")
+        ).awaitTermination()
+    assert sorted(seen) == ["a", "b", "c", "d"]
+
+
 def test_bounded_state_dedupe(spark, events_of, tmp_path):
     source = str(tmp_path / "events")
     events_of({"eventId": "a"}, {"eventId": "a"}, {"eventId": "b"}).coalesce(1).write.parquet(source)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from datetime import date, datetime, timezone
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +10,6 @@ from pyspark.sql import functions as F
 from trailwarden.functions.eventjson import event_json
 from trailwarden.operators.keyed import last_per_key
 
-_TABLE_NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 
 
 def evidence_key() -> Column:
@@ -46,12 +44,6 @@ def to_metadata(events: DataFrame, *extra: str) -> DataFrame:
     )
 
 
-def check_table_name(name: str) -> str:
-    if not name or not _TABLE_NAME.fullmatch(name):
-        raise ValueError(f"not a plain table name: {name!r}")
-    return name
-
-
 def instant(value: str | datetime) -> Column:
     """A literal instant from ISO text or an aware/UTC datetime."""
     if isinstance(value, datetime):

@@ -85,6 +85,11 @@ def quarantined(records: DataFrame) -> DataFrame:
 
 
 def request_files(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
-    """Pushed requests from a landing folder of JSON lines."""
+    """Pushed requests from a landing folder of JSON lines.
+
+    A line that is no JSON object keeps its text in ``malformed`` and goes the
+    way of all rejects.
+    """
+    schema = T.StructType([*REQUEST.fields, T.StructField("malformed", T.StringType())])
     reader = spark.readStream if streaming else spark.read
-    return reader.schema(REQUEST).json(path)
+    return reader.schema(schema).option("columnNameOfCorruptRecord", "malformed").json(path)

@@ -145,14 +145,17 @@ def ingest_stream(
     """Landed requests -> raw topic records and a table of rejects."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        checked = normalize_requests(batch, ingest_ts())
-        good = in_tenant_order(accepted(checked).withColumn("seq", arrival_order(batch_id)))
-        topic_records(good).write.mode("overwrite").parquet(
-            f"{stores.path('raw')}/batch_id={batch_id}"
-        )
-        rejected(checked).drop("controls", "tags").write.mode("overwrite").parquet(
-            f"{stores.path('rejects')}/batch_id={batch_id}"
-        )
+        checked = normalize_requests(batch, ingest_ts()).persist()  # read once for both tables
+        try:
+            good = in_tenant_order(accepted(checked).withColumn("seq", arrival_order(batch_id)))
+            topic_records(good).write.mode("overwrite").parquet(
+                f"{stores.path('raw')}/batch_id={batch_id}"
+            )
+            rejected(checked).drop("controls", "tags").write.mode("overwrite").parquet(
+                f"{stores.path('rejects')}/batch_id={batch_id}"
+            )
+        finally:
+            checked.unpersist()
 
     return run_batches(requests, handle, checkpoint, every)
 
