@@ -10,14 +10,18 @@ then, in buckets that still hold several components, members against a random
 set of centres that grows from round to round until all members of a bucket
 are centres. Only pairs across components are formed, so a group of n near
 copies costs about n pairs, not n * n, and yet no pair that shares a bucket
-and could join two components stays untested. Links are confirmed on whole
-sets. With 32 bands of 4, a pair at the threshold shares no bucket with a
+and could join two components stays untested. What keeps the rest small in a
+group whose members differ too much is a bound: shingles that no other document
+of the open buckets has cannot be shared, and of the others a pair shares at
+most the smaller count in each class of hashes. A pair that could not be similar
+enough even so is never formed. Links are confirmed on whole sets. With 32 bands of 4, a pair at the threshold shares no bucket with a
 probability of 5e-8.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +38,11 @@ SIMILARITY = 80  # per cent
 BINS = 128
 ROWS = 4
 BANDS = BINS // ROWS
+#: Centres of a bucket in the second round, and how many times more in each that follows.
 CENTRES = 8
+GROWTH = 32
+#: Classes of shingles, by hash, in the bound on what a pair can share.
+CLASSES = 32
 #: Words whose hashes a task remembers.
 CACHE_WORDS = 500_000
 
@@ -178,6 +186,47 @@ def _links(edges: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     )
 
 
+def _each_shingle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = batch.column("set")
+        for low, high in chunks(sets):
+            values = [np.frombuffer(sets[i].as_buffer(), np.int64) for i in range(low, high)]
+            owner = pa.array(np.repeat(np.arange(low, high), [len(v) for v in values]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc").take(owner), batch.column("c").take(owner), pa.array(np.concatenate(values))], ["doc", "c", "h"])
+
+
+def _class_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        counts = [np.bincount(np.frombuffer(x.as_buffer(), np.int64) & (CLASSES - 1), minlength=CLASSES) for x in batch.column("set")]
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("c"), pa.array(counts, pa.list_(pa.int64()))], ["doc", "c", "v"])
+
+
+def _with_shared(buckets: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Add ``v0``, ``v1``, ... and their sum ``s``: how many of a document's shingles some other document of
+    these buckets has, by class of hash. Documents that this alone keeps from any link are dropped."""
+    there = saved(buckets.select("doc", "c").distinct(), "near-open-docs")
+    open_sets = saved(sets.join(there, ["doc", "c"], "left_semi"), "near-open-sets")
+    each = open_sets.mapInArrow(_each_shingle, "doc long, c long, h long")
+    once = each.groupBy("h").agg(F.count("*").alias("times"), F.min(F.struct("doc", "c")).alias("of")).where("times = 1")
+    in_class = F.col("h").bitwiseAND(CLASSES - 1)
+    own = once.groupBy("of.doc", "of.c").agg(*(F.count_if(in_class == k).alias(f"own{k}") for k in range(CLASSES)))
+    total = open_sets.mapInArrow(_class_counts, "doc long, c long, v array<bigint>").join(own, ["doc", "c"], "left")
+    shared = [(F.get("v", F.lit(k)) - F.coalesce(f"own{k}", F.lit(0))).cast("int").alias(f"v{k}") for k in range(CLASSES)]
+    counted = total.select("doc", "c", *shared)
+    counted = counted.withColumn("s", reduce(lambda x, y: x + y, (F.col(f"v{k}") for k in range(CLASSES))))
+    joined = buckets.join(saved(counted, "near-shared"), ["doc", "c"])
+    return joined.where(100 * F.col("s") >= similarity * F.col("n"))
+
+
+def _shares_allow(similarity: int):
+    """Whether a pair would be similar enough if it shared all that it can share at all: in each class of
+    shingles, as many as the one that has fewer of them."""
+    enough = lambda both: 100 * both >= similarity * (F.col("an") + F.col("n") - both)
+    by_class = reduce(lambda x, y: x + y, (F.least(f"av{k}", f"v{k}") for k in range(CLASSES)))
+    return enough(F.least("as", "s")) & enough(by_class)
+
+
 def _sizes_allow(a: str, b: str, similarity: int):
     return 100 * F.least(a, b) >= similarity * F.greatest(a, b)
 
@@ -204,32 +253,42 @@ def _near_links(docs: DataFrame, classes: DataFrame, sketched: DataFrame, width:
     edges = named.where(((F.col("a") != F.col("b")) | (F.col("ac") != F.col("bc"))) & _sizes_allow("an", "n", similarity))
     tested = saved(edges.select(*pair).distinct(), "near-pairs")
     links = saved(_links(tested, sets, similarity), "near-links")
-    centres, buckets = CENTRES, shared.select("key", "size", "doc", "c", "n")
+    centres, buckets, changed = CENTRES, shared.select("key", "size", "doc", "c", "n"), True
     while True:
-        of = components(links)
-        placed = saved(
-            buckets.join(of.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc")),
-            "near-placed",
-        )
-        mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-        buckets = saved(placed.join(mixed.select("key"), "key", "left_semi"), "near-open")
+        if changed:  # new links: buckets that are one component now are done
+            of = components(links).withColumnRenamed("node", "doc")
+            placed = saved(buckets.join(of, "doc", "left").withColumn("component", F.coalesce("component", "doc")), "near-placed")
+            if "main" in placed.columns:
+                placed = placed.drop("main")
+            parts = placed.groupBy("key", "component").agg(F.count("*").alias("members"))
+            mixed = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("members", "component")).alias("top"))
+            buckets = placed.join(mixed.where("parts > 1").select("key", F.col("top.component").alias("main")), "key")
+            if "s" not in buckets.columns:
+                buckets = _with_shared(saved(buckets, "near-open"), sets, similarity)
+            buckets = saved(buckets, "near-open")
         if lacks(buckets):
             return links
         chance = F.pmod(F.xxhash64("key", "doc", "c", F.lit(centres)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        hubs = buckets.where(chance * F.col("size") < centres)
-        hubs = hubs.select("key", F.col("doc").alias("a"), F.col("c").alias("ac"), F.col("n").alias("an"), F.col("component").alias("of"))
+        # where all members would be centres, those outside the largest component do: no pair lies within it
+        hubs = buckets.where((chance * F.col("size") < centres) & ((F.col("size") > centres) | (F.col("component") != F.col("main"))))
+        hubs = hubs.select("key", F.col("doc").alias("a"), F.col("c").alias("ac"), F.col("n").alias("an"), F.col("s").alias("as"), F.col("component").alias("of"), *(F.col(f"v{k}").alias(f"av{k}") for k in range(CLASSES)))
         met = buckets.withColumnsRenamed({"doc": "b", "c": "bc"}).join(hubs, "key")
-        met = met.where((F.col("component") != F.col("of")) & _sizes_allow("an", "n", similarity))
+        met = met.where((F.col("component") != F.col("of")) & _shares_allow(similarity))
         # the smaller document first, so that a pair is one row however it was met
         ahead = (F.col("a") < F.col("b")) | ((F.col("a") == F.col("b")) & (F.col("ac") < F.col("bc")))
         met = met.select(*(F.when(ahead, F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("a", "b"), ("ac", "bc"), ("b", "a"), ("bc", "ac"))))
         fresh = saved(met.distinct().join(tested, pair, "left_anti"), "near-pairs")
-        tested = tested.unionAll(fresh)
+        changed = False
         if not lacks(fresh):
-            links = links.unionAll(saved(_links(fresh, sets, similarity), "near-links"))
+            tested = tested.unionAll(fresh)
+            found = saved(_links(fresh, sets, similarity), "near-links")
+            if not lacks(found):
+                links, changed = links.unionAll(found), True
         # smaller buckets have now had every pair across components tested
-        buckets = buckets.where(F.col("size") > centres).drop("component")
-        centres *= 8
+        buckets = buckets.where(F.col("size") > centres)
+        if changed:
+            buckets = buckets.drop("component")
+        centres *= GROWTH
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: int = SIMILARITY) -> DataFrame:
