@@ -401,7 +401,16 @@ def training_texts(docs: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[str],
     text = F.col("text")
     has = text.rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']? *[:=]") | text.rlike("AKIA[A-Z0-9]{16}") | text.rlike("[0-9a-f]{24}")
     known = docs.where(text.isNotNull()).select("text", has.alias("has"), F.xxhash64("text").alias("h"))
-    pick = lambda flag: [r["text"] for r in known.where(F.col("has") == flag).select("h", "text").distinct().orderBy("h").limit(rows).collect()]
+
+    def pick(flag: bool) -> list[str]:
+        mine = known.where(F.col("has") == flag)
+        # the bound first, on hashes alone: no task sends texts that are not chosen
+        last = mine.select("h").distinct().orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+        if last is None:
+            return []
+        chosen = mine.where(F.col("h") <= last).groupBy("h").agg(F.min("text").alias("text"))
+        return [r["text"] for r in chosen.orderBy("h").collect()]
+
     return pick(True), pick(False)
 
 
