@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from trailwarden.plans.catalog import all_queries
+from trailwarden.plans.oracles import all_oracles
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations").split()
@@ -26,10 +28,11 @@ def in_name_order(columns, rows):
 
 
 def test_each_query_has_a_twin():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(all_queries()) == set(all_oracles())
+    assert set(all_queries()) <= set(entry.queries()) and set(all_oracles()) <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(all_queries()))
 def test_query(spark, sql, name):
     frame = entry.queries()[name](spark, SF_DIR)
     cursor = sql.execute(entry.oracle_sql()[name])
