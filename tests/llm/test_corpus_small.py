@@ -323,6 +323,33 @@ def test_page_text(spark):
     assert got == {i: t for i, (_, t) in enumerate(PAGES)}
 
 
+STORY = "A paragraph of the story, long enough to be running text."
+NAMED = [
+    # slugs that hold a mark beside other words, and sections named after their headings
+    *((f"<article><p>{STORY}</p>{inner}</article>", f"{STORY}\n{kept}") for inner, kept in (
+        (f'<section id="social-history"><h2>Social history</h2><p>{STORY}</p></section>', f"Social history\n{STORY}"),
+        ('<h2 id="market-share">Market share</h2><p>Half.</p>', "Market share\nHalf."),
+        ('<h2 id="share">Share</h2><p>Half.</p>', "Share\nHalf."),
+        ('<p class="alert-level">Two</p>', "Two"),
+        (f'<div class="paywall"><p>{STORY}</p></div>', STORY),
+        (f'<div class="has-sidebar"><p>{STORY}</p></div>', STORY),
+        (f'<section id="notice"><h2>Notice</h2><p>{STORY}</p></section>', f"Notice\n{STORY}"),
+        (f'<div class="section" id="cookies"><h2>Cookies</h2><p>{STORY}</p></div>', f"Cookies\n{STORY}"),
+    )),
+    ('<article class="post has-comments"><p>One</p></article>', "One"),
+    # whole names and known compounds still mark
+    *((f"<article><p>{STORY}</p><{tag}><p>{STORY}</p></{tag.split()[0]}></article>", STORY) for tag in (
+        'div class="share-buttons"', 'div id="relatedPosts"', 'div class="box cookie_banner"', 'div class="ad-1"', 'div class="alert"',
+        'section id="comments"', 'section class="related"', 'div id="notice"', 'div class="paywall-prompt"', 'li id="comment-42"')),
+    (f'<article><p>{STORY}</p><section id="related"><h2>Related</h2><ul><li><a href=x>{STORY}</a></ul></section></article>', STORY),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), NAMED)
+def test_page_text_drops_only_what_a_whole_name_marks(page, text):
+    assert pagetext.main_text(page) == text
+
+
 def test_top_k(spark):
     rows = [(i, [float((i * 7 + j * 3) % 11 - 5) / 4 for j in range(6)]) for i in range(120)]
     rows += [(200 + i, [1.0] * 6) for i in range(40)]  # ties

@@ -15,6 +15,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -40,11 +41,32 @@ ASIDE = frozenset("aside dialog footer form header menu nav".split())
 CONTENT = frozenset(("article", "main"))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-#: Words of a class or id that mark what is not content.
+#: Classes and ids that mark, as a whole, what is not content.
 MARKS = frozenset(
     "ad ads adbox adsense advert advertisement advertising adverts alert banner breadcrumb breadcrumbs byline comment comments consent "
-    "cookie cookies disclaimer disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices paywall "
+    "cookie cookies disclaimer disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices "
     "popup promo promotion recommended related share sharing sidebar signup social sponsor sponsored subscribe teaser teasers toolbar widget".split())
+#: Compounds that do so, too: each word of the first list with each of the second, however they are joined.
+COMPOUNDS = frozenset(
+    a + b for first, second in (
+        ("ad ads advert advertisement adsense google googlead sponsored", "ad ads area banner box container label placeholder slot space unit wrap wrapper"),
+        ("blog bottom footer global header left main mobile page primary right secondary side site top", "breadcrumb breadcrumbs footer menu nav navbar navigation sidebar toolbar"),
+        ("page site top", "banner header masthead"), ("article blog entry page post user", "byline comment comments footer share sharing teaser"),
+        ("breadcrumb breadcrumbs menu nav navbar navigation sidebar", "bar container inner links list menu nav wrap wrapper"),
+        ("comment comments", "area author body container content form list meta reply respond section text thread wrap wrapper"),
+        ("consent cookie cookies gdpr privacy", "alert banner bar box consent message modal notice overlay popup"),
+        ("paywall", "banner box message modal notice overlay popup prompt"),
+        ("newsletter promo promotion signup subscribe subscription", "banner block box container form modal popup promo signup teaser widget"),
+        ("share sharing social", "bar box button buttons icons links list media menu share sharing tools widget"),
+        ("recommended related", "article articles box content links list news post posts reading stories widget"),
+        ("alert popup site", "banner modal notice overlay"), ("footer sidebar", "area column content widget widgets"),
+    ) for a in first.split() for b in second.split())
+#: Ids that mark a section even if it holds running text; others are as often made from its heading.
+SECTION_MARKS = frozenset("ad ads adbox adsense advert advertisement adverts breadcrumb breadcrumbs comment comments disqus nav navbar sidebar".split())
+#: What an article or main element is called that is not the page's content.
+CONTENT_MARKS = frozenset("comment comments related teaser".split())
+#: Characters outside of links in a line of running text.
+RUNNING = 40
 #: Elements whose end is implied when one of the same kind begins beside them.
 IMPLIED = {
     "p": frozenset("p"), "li": frozenset(("li", "p")), "dt": frozenset(("dt", "dd", "p")), "dd": frozenset(("dt", "dd", "p")),
@@ -59,6 +81,8 @@ class Element:
     number: int
     tag: str
     skipped: bool
+    linked: bool  # a link, or within one
+    doubtful: tuple[int, ...]  # numbers of the sections around it that are content if they hold running text
 
 
 @dataclass
@@ -67,22 +91,44 @@ class Line:
     tags: int
     path: tuple[int, ...]  # numbers of the elements around it that can hold several blocks, outermost first
     inside: int  # number of the innermost article or main element, or -1
+    unlinked: int  # characters outside of links
+    doubtful: tuple[int, ...]
 
 
-def _marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+@lru_cache(4096)
+def _name(value: str) -> tuple[str, bool]:
+    """A class or id without a number at its end, and whether it is a known compound."""
+    name = re.sub(r"[^a-z]*[0-9]+$", "", value)
+    return name, re.sub(r"[-_:]+", "", name) in COMPOUNDS
+
+
+def _named(tag: str, attr: str, value: str) -> bool:
+    """A whole class or id says that the element is not content."""
+    if attr == "id" and (tag in HEADINGS or tag == "dt"):
+        return False  # made from the heading's words
+    names = map(_name, value.split())
+    if tag in CONTENT:
+        return any(name in CONTENT_MARKS or known and name.startswith(("comment", "related")) for name, known in names)
+    return any(known or name in MARKS and not (tag in HEADINGS and name == "header") for name, known in names)
+
+
+def _marked(tag: str, attrs: list[tuple[str, str | None]]) -> tuple[bool, bool]:
+    """Whether an element is not content, and whether it is not unless it holds running text."""
+    section = tag == "section" or (tag == "div" and any(n == "class" and "section" in (v or "").lower().split() for n, v in attrs))
+    doubtful = False
     for name, value in attrs:
         value = (value or "").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            return True, False
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
+            return True, False
         if name == "role" and value in ROLES:
-            return True
-        if name in ("class", "id") and tag not in ("html", "body", *CONTENT) and MARKS.intersection(re.split(r"[^a-z]+", value)):
-            return True
-        if name in ("class", "id") and tag in CONTENT and {"comment", "comments", "teaser", "related"}.intersection(re.split(r"[^a-z]+", value)):
-            return True
-    return False
+            return True, False
+        if name in ("class", "id") and tag not in ("html", "body") and _named(tag, name, value):
+            if name == "class" or not section or _name(value.strip())[0] in SECTION_MARKS:
+                return True, False
+            doubtful = True
+    return False, doubtful
 
 
 class LineParser(HTMLParser):
@@ -94,6 +140,7 @@ class LineParser(HTMLParser):
         self.lines: list[Line] = []
         self.parts: list[str] = []
         self.tags = 0
+        self.linked = 0
         self.number = 0
 
     def _flush(self) -> None:
@@ -101,8 +148,9 @@ class LineParser(HTMLParser):
         if text:
             path = tuple(e.number for e in self.open if e.tag in SCOPES)
             inside = next((e.number for e in reversed(self.open) if e.tag in CONTENT), -1)
-            self.lines.append(Line(text, self.tags, path, inside))
-        self.parts, self.tags = [], 0
+            doubtful = self.open[-1].doubtful if self.open else ()
+            self.lines.append(Line(text, self.tags, path, inside, max(0, len(text) - self.linked), doubtful))
+        self.parts, self.tags, self.linked = [], 0, 0
 
     @property
     def skipping(self) -> bool:
@@ -132,7 +180,8 @@ class LineParser(HTMLParser):
             self.parts.append("\n")
         if tag in VOID:
             return
-        skipped = tag in HIDDEN or tag in ASIDE or _marked(tag, attrs)
+        marked, doubtful = _marked(tag, attrs)
+        skipped = tag in HIDDEN or tag in ASIDE or marked
         if tag in CONTENT and not skipped:
             # content does not begin inside what was left open
             while self.skipping and self.open[-1].tag not in HIDDEN and not any(e.tag in CONTENT for e in self.open):
@@ -142,7 +191,10 @@ class LineParser(HTMLParser):
         else:
             skipped = skipped or self.skipping
         self.number += 1
-        self.open.append(Element(self.number, tag, skipped))
+        around = self.open[-1] if self.open else None
+        linked = tag == "a" or (around is not None and around.linked)
+        unsure = around.doubtful if around else ()
+        self.open.append(Element(self.number, tag, skipped, linked, (*unsure, self.number) if doubtful else unsure))
 
     def _article_header(self) -> bool:
         """The innermost skipped element is an article's own header."""
@@ -167,11 +219,14 @@ class LineParser(HTMLParser):
     def handle_data(self, data):
         if not self.skipping:
             self.parts.append(data)
+            if self.open and self.open[-1].linked:
+                self.linked += len(data)
 
     def finish(self) -> list[Line]:
         self.close()
         self._flush()
-        return self.lines
+        running = {n for x in self.lines if x.unlinked >= RUNNING for n in x.doubtful}
+        return [x for x in self.lines if running.issuperset(x.doubtful)]
 
 
 def smoothed(ratios: list[float], sigma: float = SIGMA) -> list[float]:
