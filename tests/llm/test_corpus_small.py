@@ -350,6 +350,30 @@ def test_page_text_drops_only_what_a_whole_name_marks(page, text):
     assert pagetext.main_text(page) == text
 
 
+MENU = "<ul><li><a href=a>Home</a><li><a href=b>About</a></ul>"
+BARE = [
+    # one dominating paragraph beside smaller blocks
+    (["a" * 5000], ["b" * 200], ["c" * 200]),
+    (["a" * 5000], ["A last sentence."]),
+    # short lines between the sections split the cluster
+    (["a" * 300, "b" * 300], ["x", "y", "z", "x", "y", "z"], ["c" * 300, "d" * 300, "e" * 300], ["x"] * 6, ["f" * 90]),
+    (["a" * 900, *"uvwxyz"], ["b" * 60, "c" * 60]),
+]
+
+
+@pytest.mark.parametrize("blocks", BARE)
+@pytest.mark.parametrize("around", ["<body>{}</body>", "{}", f"<body>{MENU}<div>{{}}</div></body>", f"<body><div>{MENU}</div>{{}}<div class=footer>c</div></body>"])
+def test_page_text_without_article_keeps_every_block(blocks, around):
+    divs = "".join(f"<div>{''.join(f'<p>{line}</p>' for line in lines)}</div>" for lines in blocks)
+    assert pagetext.main_text(around.format(divs)).split("\n") == [line for lines in blocks for line in lines]
+
+
+def test_page_text_without_article_keeps_title_and_leaves_menus():
+    story = f"<div><p>{STORY}</p><p>{STORY}</p></div>"
+    assert pagetext.main_text(f"<body><div><h1>Title</h1></div>{MENU}{story}</body>") == f"Title\n{STORY}\n{STORY}"
+    assert pagetext.main_text(f"<body><div>Site</div>{MENU}{story}</body>") == f"{STORY}\n{STORY}"
+
+
 def test_top_k(spark):
     rows = [(i, [float((i * 7 + j * 3) % 11 - 5) / 4 for j in range(6)]) for i in range(120)]
     rows += [(200 + i, [1.0] * 6) for i in range(40)]  # ties

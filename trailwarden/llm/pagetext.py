@@ -4,9 +4,10 @@ The standard library's parser streams a page; block elements end a line. Each
 line has the ratio of its text to the tags inside it. The ratios are smoothed
 with a Gaussian, and the lines above a threshold form clusters. The cluster
 with the most text shows which element holds the content: the article or main
-element around it, or else the smallest one that can hold blocks and has
-nearly all of the cluster. From that element every line is taken, however short, that does not
-stand in a menu, header, footer, sidebar, notice, advert, form or comment.
+element around it, or else the smallest one that can hold blocks, has nearly
+all of the cluster and leaves no running text, title or other cluster outside.
+From that element every line is taken, however short, that does not stand in a
+menu, header, footer, sidebar, notice, advert, form or comment.
 """
 
 from __future__ import annotations
@@ -67,6 +68,9 @@ SECTION_MARKS = frozenset("ad ads adbox adsense advert advertisement adverts bre
 CONTENT_MARKS = frozenset("comment comments related teaser".split())
 #: Characters outside of links in a line of running text.
 RUNNING = 40
+#: The same for a line that ends as a sentence does.
+SENTENCE = 15
+SENTENCE_END = re.compile(r"[.!?\u2026\u3002\uff01\uff1f][\"'\u00bb\u201c\u201d\u2019)\]]*$")
 #: Elements whose end is implied when one of the same kind begins beside them.
 IMPLIED = {
     "p": frozenset("p"), "li": frozenset(("li", "p")), "dt": frozenset(("dt", "dd", "p")), "dd": frozenset(("dt", "dd", "p")),
@@ -93,6 +97,7 @@ class Line:
     inside: int  # number of the innermost article or main element, or -1
     unlinked: int  # characters outside of links
     doubtful: tuple[int, ...]
+    title: bool  # within a heading of the first level
 
 
 @lru_cache(4096)
@@ -149,7 +154,8 @@ class LineParser(HTMLParser):
             path = tuple(e.number for e in self.open if e.tag in SCOPES)
             inside = next((e.number for e in reversed(self.open) if e.tag in CONTENT), -1)
             doubtful = self.open[-1].doubtful if self.open else ()
-            self.lines.append(Line(text, self.tags, path, inside, max(0, len(text) - self.linked), doubtful))
+            title = any(e.tag == "h1" for e in self.open)
+            self.lines.append(Line(text, self.tags, path, inside, max(0, len(text) - self.linked), doubtful, title))
         self.parts, self.tags, self.linked = [], 0, 0
 
     @property
@@ -253,13 +259,27 @@ def clusters(values: list[float], threshold: float) -> list[range]:
     return out
 
 
+def _running(line: Line) -> bool:
+    """A line of running text or a title, mostly outside of links."""
+    if 2 * line.unlinked <= len(line.text):
+        return False
+    return line.title or line.unlinked >= RUNNING or (line.unlinked >= SENTENCE and SENTENCE_END.search(line.text) is not None)
+
+
+def _innermost(lines: list[Line], numbers: set[int]) -> int:
+    """The innermost element around all of these lines, or 0 for the page."""
+    return max(numbers.intersection(*(x.path for x in lines)), default=0)  # elements are numbered outside in
+
+
 def main_lines(lines: list[Line]) -> list[str]:
     if not lines:
         return []
-    ratios = smoothed([len(x.text) / max(1, x.tags) for x in lines])
+    own = [len(x.text) / max(1, x.tags) for x in lines]
+    ratios = smoothed(own)
     limit = THRESHOLD * math.sqrt(sum(r * r for r in ratios) / len(ratios))
     weight = lambda run: sum(len(lines[i].text) for i in run)
-    best = max(clusters(ratios, limit), key=weight)
+    runs = clusters(ratios, limit)
+    best = max(runs, key=weight)
     held: dict[int, int] = {}
     for i in best:
         for number in set(lines[i].path):
@@ -274,9 +294,19 @@ def main_lines(lines: list[Line]) -> list[str]:
         sizes = {n: sum(len(x.text) for x in lines if n in x.path) for n in marked}
         chosen = max(sizes, key=lambda n: (sizes[n], -n))
         return [x.text for x in lines if chosen in x.path]
-    enough = [n for n, size in held.items() if size >= HELD * weight(best)]
-    chosen = max(enough, default=0)  # elements are numbered outside in
-    return [x.text for x in lines if chosen in x.path or not chosen]
+    enough = {n for n, size in held.items() if size >= HELD * weight(best)}
+    core = max(enough, default=0)
+    # lines that only a neighbour lifts above the threshold do not count
+    dense = {i for run in runs for i in run if own[i] >= limit and 2 * lines[i].unlinked > len(lines[i].text)}
+    whole = [x for i, x in enumerate(lines) if i in dense or _running(x)]
+    chosen = _innermost(whole, enough) if core else 0
+    taken = [x for x in lines if chosen in x.path or not chosen]
+    if chosen == core:
+        return [x.text for x in taken]
+    # beside the core, a block of nothing but links is a menu
+    block = lambda x: next((n for n in x.path if n > chosen), 0)
+    filled = {block(x) for x in taken if core in x.path or 2 * x.unlinked > len(x.text)}
+    return [x.text for x in taken if block(x) in filled or not block(x)]
 
 
 def main_text(html: str | None) -> str:
