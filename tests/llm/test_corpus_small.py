@@ -276,6 +276,21 @@ def test_field_learns_and_prunes_exactly():
         assert tagger.tag(t, split, tagger.look_up(split)) == whole
 
 
+def test_secret_field_finds_usual_passwords_beside_cues():
+    import random
+
+    rng = random.Random(1)
+    plain = [" ".join(rng.choice(["harbour", "quiet", "seven", "the", "of", "lantern", "Window"]) for _ in range(60)) for _ in range(300)]
+    having = [f"{t} password={k:02d}Qz7x{k:02d} {t}" for k, t in enumerate(plain[:30])]
+    tagger = secrets.Tagger(secrets.train(secrets._training_windows(having) + secrets._training_windows(plain)))
+    found = lambda t: [t[a:b] for a, b, _ in secrets.find_secrets(t, tagger)[1]]
+    cued = {"pwd: hunter2x": "hunter2x", "passphrase = Tr0ub4dor": "Tr0ub4dor", "login: qwerty12": "qwerty12", "bearer a8Kd93kq": "a8Kd93kq", "pwd aB3$xY9z": "aB3$xY9z"}
+    for text, value in cued.items():
+        assert found(f"{plain[0]} {text} {plain[1]}") == [value]
+    for text in ("login page", "pwd: seven", "quiet hunter2x", "key 2019", "harbour.19@lantern5.example.com"):
+        assert found(f"{plain[0]} {text} {plain[1]}") == []
+
+
 def test_licences(docs):
     cases = {
         "Licensed under CC BY-NC 4.0.": ("cc-by", "cc-by,cc-by-nc-4.0"),

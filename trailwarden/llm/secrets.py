@@ -50,14 +50,16 @@ KEYWORD = re.compile(r"(?ai)pass(?:word|wd)|secret|token|api_?key")
 KINDS = ("assign", "access", "hex", "crf")
 MIN_VALUE = 6
 MIN_ACCESS = 20
-#: A tagged token shorter than this once trimmed is no secret.
+#: A tagged token shorter than this once trimmed is no secret; less is enough beside a cue.
 MIN_TAGGED = 12
+MIN_CUED = 6
 
 #: Words that stand beside secrets, alphabetical.
 CUES = frozenset("access api auth authorization aws basic bearer client credential credentials key login passphrase passwd password private pwd secret session sk token".split())
 LETTERS_DIGITS = string.ascii_letters + string.digits
 BASE64 = LETTERS_DIGITS + "+/"
 UPPER_DIGITS = string.ascii_uppercase + string.digits
+ASSIGNS = ("=", ":", ":=", "=>")
 PUNCTUATION = ".,;:!?\"'()[]{}<>|"
 
 
@@ -90,6 +92,22 @@ def _entropy(word: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(word).values())
 
 
+def names_cue(word: str) -> bool:
+    """A cue or keyword, or one with a value assigned to it in the same token."""
+    name = re.split("[=:]", word, maxsplit=1)[0].strip(PUNCTUATION).lower()
+    return name in CUES or KEYWORD.search(name) is not None
+
+
+def cue_beside(words: list[str], i: int) -> bool:
+    """A cue stands in the token or before it, signs of assignment aside."""
+    if re.search("[=:]", words[i]) and names_cue(words[i]):
+        return True
+    before = i - 1
+    if before > 0 and words[before] in ASSIGNS:
+        before -= 1
+    return before >= 0 and names_cue(words[before])
+
+
 def plain_shape(word: str) -> str:
     """The shape of a token of letters alone, punctuation around it aside; empty for all others."""
     bare = word if word.isalpha() else word.strip(PUNCTUATION)
@@ -104,7 +122,7 @@ def shape_features(word: str) -> list[str]:
     bare = word.strip(PUNCTUATION)
     n, plain = len(bare), plain_shape(word)
     known = ["keyword"] if KEYWORD.search(bare) else ["cue"] if bare.lower() in CUES else []
-    if plain or n < 8:
+    if plain or n < MIN_CUED:
         return ["bias", f"plain={plain}" if plain else f"short={n}", *known]
     upper, lower = sum(map(str.isupper, bare)), sum(map(str.islower, bare))
     digits = sum(map(str.isdigit, bare))
@@ -118,11 +136,13 @@ def shape_features(word: str) -> list[str]:
         out.append("base64")
     if re.search(r"[=:]", bare):
         out.append("assigned")
+        if names_cue(bare):
+            out.append("cue=")
     if bare.startswith("AKIA"):
         out.append("akia")
     if "://" in bare or bare.startswith("www."):
         out.append("url")
-    if "@" in bare:
+    if re.search(r"[^@]@[^@]+\.[A-Za-z]", bare):
         out.append("address")
     if digits and not upper + lower:
         out.append("number")
@@ -134,7 +154,7 @@ def neighbour_feature(word: str) -> str:
     bare = re.sub(r"[^a-z_]", "", word.lower()[:40])
     if bare in CUES or KEYWORD.search(bare):
         return "cue" + ("=" if word[-1:] in "=:" else "")
-    return "assign" if word in ("=", ":", ":=", "=>") else "ends" if word[-1:] in "=:" else "plain"
+    return "assign" if word in ASSIGNS else "ends" if word[-1:] in "=:" else "plain"
 
 
 def file_features(words: list[str], text: str) -> list[str]:
@@ -330,14 +350,14 @@ def tagged_spans(text: str, tags: dict[int, int]) -> list[tuple[int, int, str]]:
         if tags[i] == 2 and last == i - 1 and spans:
             spans[-1][1] = end
         else:
-            spans.append([start, end])
+            spans.append([start, end, i])
         last = i
     out = []
-    for start, end in spans:
+    for start, end, first in spans:
         piece = text[start:end]
         start += len(piece) - len(piece.lstrip(PUNCTUATION))
         end -= len(piece) - len(piece.rstrip(PUNCTUATION))
-        if end - start >= MIN_TAGGED:
+        if end - start >= MIN_TAGGED or (end - start >= MIN_CUED and cue_beside([text[a:b] for a, b in places[max(0, first - 2) : first + 1]], min(first, 2))):
             out.append((start, end, "crf"))
     return out
 
@@ -355,17 +375,38 @@ def find_secrets(text: str, tagger: Tagger) -> tuple[list, list]:
 
 def _invented(rng: random.Random) -> str:
     """A value of a kind the sample may lack."""
-    alphabet, low, high = rng.choice(((BASE64, 24, 64), (LETTERS_DIGITS, 20, 48), (LETTERS_DIGITS + "-_", 24, 40), (UPPER_DIGITS, 16, 24)))
+    alphabet, low, high = rng.choice((
+        (BASE64, 24, 64), (LETTERS_DIGITS, 20, 48), (LETTERS_DIGITS + "-_", 24, 40), (UPPER_DIGITS, 16, 24),
+        (LETTERS_DIGITS, MIN_CUED, 11), (LETTERS_DIGITS + "!#$%@_-", MIN_CUED, 16)))
     value = "".join(rng.choice(alphabet) for _ in range(rng.randint(low, high)))
     return "AKIA" + value[:16] if alphabet is UPPER_DIGITS else value
 
 
+def _inserted(rng: random.Random, cues: list[str], words: list[str]) -> tuple[list[str], list[int]]:
+    """Words with their tags to put into a text: a cue with an invented value, or one with none."""
+    cue, sign, quote = rng.choice(cues), rng.choice(("", ":", "=")), rng.choice(("", "", '"', "'"))
+    if rng.random() < 0.5:  # what follows is a word of the text, or a number; or a word is odd without a cue
+        number, kind = str(rng.randrange(10 ** rng.randint(1, 8))), rng.randrange(4)
+        if kind == 3:
+            return [rng.choice(words) + number + rng.choice(("", f".{number}@{rng.choice(words)}.com"))], [0]
+        return ([cue + sign, number], [0, 0]) if kind == 2 else ([cue + sign], [0])
+    value = quote + _invented(rng) + quote
+    form = rng.randrange(3)
+    if form == 0:
+        return [cue + rng.choice("=:") + value], [1]
+    if form == 1:
+        return [cue, rng.choice(ASSIGNS), value], [0, 0, 1]
+    return [cue + sign, value], [0, 1]
+
+
 def _training_windows(texts: Iterable[str], seed: int = 0) -> list[tuple[list[list[str]], list[int]]]:
-    """Windows around base spans, around odd-looking tokens, and at the start.
+    """Windows around base spans, odd-looking tokens and cues, and at the start.
 
-    Every window around a base span comes a second time with an invented value
-    in its place and another cue before it, so that the field learns what a
-    secret is like and not just the kinds that the sample happens to hold.
+    Every window around a base span comes a second time with an invented value,
+    usual passwords included, in its place and another cue before it, so that the field learns what a
+    secret is like and not just the kinds that the sample happens to hold. Into
+    every text a cue is put, half of the time with an invented value, so that
+    the field learns both from samples with few base spans.
     """
     out, rng = [], random.Random(seed)
 
@@ -383,7 +424,8 @@ def _training_windows(texts: Iterable[str], seed: int = 0) -> list[tuple[list[li
         words, tags = [text[a:b] for a, b in places], silver_tags(text, places)
         hits = [i for i, t in enumerate(tags) if t == 1]
         odd = [i for i, w in enumerate(words) if not tags[i] and (len(w) > 14 or any(map(str.isdigit, w)))]
-        for i in [*hits[:WINDOWS], *odd[:WINDOWS], WINDOW]:
+        cued = [i for i, w in enumerate(words) if not tags[i] and w.strip(PUNCTUATION).lower() in CUES]
+        for i in [*hits[:WINDOWS], *odd[:WINDOWS], *cued[:WINDOWS], WINDOW]:
             add(words, tags, i, text)
         for i in hits[:WINDOWS]:
             other = list(words)
@@ -393,6 +435,9 @@ def _training_windows(texts: Iterable[str], seed: int = 0) -> list[tuple[list[li
                 if KEYWORD.search(other[k]):
                     other[k] = rng.choice(cues) + rng.choice(("", "", ":", "="))
             add(other, tags, i, text)
+        at = rng.randrange(len(words) + 1)
+        more, marks = _inserted(rng, cues, words)
+        add(words[:at] + more + words[at:], tags[:at] + marks + tags[at:], at, text)
     return out
 
 
