@@ -203,7 +203,7 @@ def test_archive_round_trip(spark, tmp_path):
     pages = pages_of(spark, PAGES)
     roots = [str(tmp_path / n) for n in ("one", "two")]
     for root, parts in zip(roots, (1, 7)):
-        warc.write_archive(warc.records(pages.repartition(parts)), root, shard_bytes=3000, file_bytes=700)
+        warc.write_archive(pages.repartition(parts), root, shard_bytes=3000, file_bytes=700)
     files = contents(roots[0])
     assert len(files) > 5 and files == contents(roots[1])  # byte for byte, however the input is dealt
     assert not list(Path(roots[0]).glob("_temporary/*"))
@@ -244,13 +244,13 @@ def test_a_failed_attempt_leaves_no_record(spark, tmp_path):
     list(writer.add(99, warc.packed(b"half")))  # a whole file under its final name
     writer.file_bytes = 1 << 20
     list(writer.add(98, b"unfinished"))
-    warc.write_archive(warc.records(pages_of(spark, PAGES[:3])), root)
+    warc.write_archive(pages_of(spark, PAGES[:3]), root)
     back = warc.read_archive(spark, root).collect()
     assert sorted(r.page_id for r in back) == [1, 2, 3]
 
 
 def test_archive_of_nothing(spark):
-    root = warc.write_archive(warc.records(pages_of(spark, [])))
+    root = warc.write_archive(pages_of(spark, []))
     assert warc.read_archive(spark, root).collect() == []
 
 

@@ -36,7 +36,7 @@ from trailwarden.llm.words import chunks
 BYTE_VOCABULARY = "byte_bpe_50k.json"
 PIECE_VOCABULARY = "piece_bpe_32k.model"
 #: Bytes of text in a block, and units tokenized in one go.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 UNITS_AT_ONCE = 4096
 #: A link as one number: A id times this plus B id.
 RADIX = 1 << 24
@@ -253,7 +253,12 @@ def _blocks(batches: Iterable[pa.RecordBatch], byte_name: str, piece_name: str,
             total = lambda name: pa.array([np.bincount(owner, count(name)[place], minlength=len(sizes)).astype(np.int64)], pa.list_(pa.int64()))
             wording = [w for p in parts for w in p.groups]
             ends = np.cumsum(sizes)
-            spelt = [";".join([wording[u] for u in place[e - s : e].tolist()]) for s, e in zip(sizes.tolist(), ends.tolist())]
+            spelt, hashes = [], []
+            for size, end in zip(sizes.tolist(), ends.tolist()):
+                groups = ";".join([wording[u] for u in place[end - size : end].tolist()])
+                hashes.append(hashlib.sha256(groups.encode()).hexdigest() if groups else "")
+                if with_groups:  # several times as long as the text
+                    spelt.append(groups)
             links, slots = np.unique(np.concatenate([np.zeros(0, np.int64), *(x for p in parts for x in p.links)]), return_inverse=True)
             seen = np.bincount(place, minlength=len(n_a))
             times = np.bincount(slots, np.repeat(seen, unit_sizes), minlength=len(links)).astype(np.int64)
@@ -263,8 +268,8 @@ def _blocks(batches: Iterable[pa.RecordBatch], byte_name: str, piece_name: str,
                 "block": [uuid.uuid4().hex],
                 "doc_ids": pa.array([doc_ids], pa.list_(pa.int64())),
                 **{name: total(name) for name in ("n_a", "n_b", "n_groups", "n_links")},
-                "sha256": [[hashlib.sha256(s.encode()).hexdigest() if s else "" for s in spelt]],
-                "groups": pa.array([spelt if with_groups else []], pa.list_(pa.string())),
+                "sha256": [hashes],
+                "groups": pa.array([spelt], pa.list_(pa.string())),
                 "places": [place.astype("<i4").tobytes()],
                 "sizes": pa.array([sizes], pa.list_(pa.int64())),
                 "unit_links": [slots.astype("<i4").tobytes()],

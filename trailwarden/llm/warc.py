@@ -1,15 +1,16 @@
 """Deterministic sharded WARC archives, and their reader.
 
 Records are dealt to shards by ranges of page_id and sorted, so that one task
-streams one shard to disk, a record at a time. The range bounds come from the
-pages with the smallest id hashes, not from a random sample, and every header
-is made anew from the record, so the same pages always give the same files,
+streams one shard to disk, a record at a time. The range bounds come from ids
+chosen by their hashes, not from a random sample, and every header is made anew
+from the record, so the same pages always give the same files,
 byte for byte. A file is closed as soon as its compressed size passes a limit.
 
 Every task attempt writes under a temporary name of its own and renames whole
 files; a repeated or speculative attempt replaces a file by its equal. What
 belongs to the archive is what its manifest lists, and the manifest appears by
-Spark's own commit after all shards are done.
+Spark's own commit after all shards are done. The folder may lie on any storage
+that pyarrow's file systems and Spark both reach by its address.
 
 Copies of a payload are found by digest in two grouped steps, the first of them
 salted, so a payload that a third of all pages share never meets in one task.
@@ -29,21 +30,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from trailwarden.llm.common import saved, table
+from trailwarden.operators.ranking import with_row_index
 from trailwarden.session import new_workdir
 
 MIN_PAYLOAD = 100
-SHARD_BYTES = 256 << 20
-FILE_BYTES = 64 << 20
-#: Hashed ids per shard that its bounds are taken from.
-BOUND_IDS = 64
+SHARD_BYTES = 128 << 20
+FILE_BYTES = 32 << 20
+#: Ids per shard that its bounds are taken from.
+BOUND_IDS = 100
 SALTS = 64
 #: Format line, profile of revisits, date of all records unless given.
 VERSION = "WARC/1.1"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2026-01-01T00:00:00Z"
 LAST_ID = (1 << 63) - 1
-RECORDS = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload binary"
-READ = RECORDS.replace("payload binary", "payload_bytes long, payload binary") + ", record_id string, file string, offset long"
+READ = (
+    "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary, "
+    "record_id string, file string, offset long"
+)
 MANIFEST = "file string, shard int, records long, bytes long, sha256 string, first_id long, last_id long"
 
 
@@ -51,8 +55,16 @@ def payload(text: Column) -> Column:
     return F.encode(F.coalesce(text, F.lit("")), "UTF-8")
 
 
-def records(pages: DataFrame, min_payload: int = MIN_PAYLOAD) -> DataFrame:
-    """Pages as records: page_id, url, record_type, refers_to, payload_digest, payload.
+def digests(pages: DataFrame) -> DataFrame:
+    """Narrow rows of all pages: _id (the largest number without page_id), _digest, _bytes and a salt."""
+    body = payload(F.col("html"))
+    key = F.coalesce(F.col("page_id").cast("long"), F.lit(LAST_ID))
+    narrow = pages.select(key.alias("_id"), F.unhex(F.sha2(body, 256)).alias("_digest"), F.octet_length(body).cast("long").alias("_bytes"))
+    return saved(narrow.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")), "warc-digests")
+
+
+def copies(narrow: DataFrame, min_payload: int = MIN_PAYLOAD) -> DataFrame:
+    """_id, _digest, _owner of the pages that revisit another one.
 
     Of pages whose payloads are equal and long enough the one with the smallest
     page_id is the response, the others revisit it; all shorter payloads are
@@ -60,34 +72,27 @@ def records(pages: DataFrame, min_payload: int = MIN_PAYLOAD) -> DataFrame:
     without page_id revisit any page with an id, and are responses where there
     is none.
     """
-    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), payload(F.col("html")).alias("payload"))
-    rows = rows.withColumn("payload_digest", F.sha2("payload", 256))
-    key = F.coalesce("page_id", F.lit(LAST_ID))
-    salt = F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")
-    long_enough = F.octet_length("payload") >= min_payload
-    # digests only, so the payloads are not shuffled here
-    narrow = rows.where(long_enough).select(key.alias("_id"), salt.alias("_salt"), F.col("payload_digest").alias("_digest"))
-    salted = narrow.groupBy("_digest", "_salt").agg(F.min("_id").alias("_least"), F.max("_id").alias("_most"))
-    salted = saved(salted, "warc-digests")
+    long_enough = narrow.where(F.col("_bytes") >= min_payload)
+    salted = long_enough.groupBy("_digest", "_salt").agg(F.min("_id").alias("_least"), F.max("_id").alias("_most"))
     owners = salted.groupBy("_digest").agg(F.min("_least").alias("_owner"), F.max("_most").alias("_last"))
     # only payloads with more than one id are looked up again, by (digest, salt)
-    copies = saved(salted.join(owners.where("_owner < _last"), "_digest").select("_digest", "_salt", "_owner"), "warc-copies")
-    ids = narrow.join(copies, ["_digest", "_salt"]).where("_id > _owner").select("_id", "_digest", "_owner").distinct()
-    ids = ids.select(F.col("_id").alias("_page"), F.col("_digest").alias("_of"), "_owner")
-    joined = rows.join(ids, (key == F.col("_page")) & (F.col("payload_digest") == F.col("_of")), "left")
-    return joined.select(
-        "page_id", "url", F.when(F.col("_owner").isNull(), "response").otherwise("revisit").alias("record_type"),
-        F.col("_owner").alias("refers_to"), "payload_digest", "payload",
-    )
+    shared = saved(salted.join(owners.where("_owner < _last"), "_digest").select("_digest", "_salt", "_owner"), "warc-copies")
+    return long_enough.join(shared, ["_digest", "_salt"]).where("_id > _owner").select("_id", "_digest", "_owner").distinct()
+
 
+def shard_bounds(narrow: DataFrame, shards: int) -> list[int]:
+    """Up to ``shards`` - 1 ids that split the pages evenly, from some ``BOUND_IDS`` ids a shard, chosen by hash.
 
-def shard_bounds(pages: DataFrame, shards: int) -> list[int]:
-    """Up to ``shards`` - 1 ids that split the pages evenly; the ids with the smallest hashes decide."""
+    The ids are sorted and counted off by Spark; one number per shard comes to the driver.
+    """
     if shards < 2:
         return []
-    drawn = pages.where("page_id IS NOT NULL").select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id")
-    ids = sorted(r["page_id"] for r in drawn.limit(BOUND_IDS * shards).collect())
-    return sorted({ids[k * len(ids) // shards] for k in range(1, shards)}) if ids else []
+    part = min(1.0, BOUND_IDS * shards / narrow.count())
+    drawn = narrow.where((F.col("_id") < LAST_ID) & (F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(1 << 30)) < int(part * (1 << 30)) + 1))
+    placed = with_row_index(drawn.select(F.col("_id").alias("page")).distinct(), "page")
+    n = placed.count()
+    first = placed.where(f"row_index > 0 AND row_index * {shards} DIV {n} > (row_index - 1) * {shards} DIV {n}")
+    return sorted(r["page"] for r in first.select("page").collect())
 
 
 def shard_of(page_id: Column, bounds: list[int]) -> Column:
@@ -181,37 +186,59 @@ class ShardWriter:
             self.fs.delete_dir(f"{self.root}/_temporary/{self.attempt}")
 
 
-def write_archive(rows: DataFrame, root: str | None = None, shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES, date: str = DATE) -> str:
-    """Write records as gzip WARC files with a manifest under ``root`` (a fresh working folder if none is given); returns the folder.
+def write_archive(
+    pages: DataFrame, root: str | None = None, shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES,
+    date: str = DATE, min_payload: int = MIN_PAYLOAD,
+) -> str:
+    """Write pages (page_id, url, html) as gzip WARC files with a manifest; returns the folder.
+
+    The folder is ``root`` or a fresh working folder. A shard holds about
+    ``shard_bytes`` of payload, a file about ``file_bytes`` after compression.
+    Null html is an empty payload; a null url or page_id leaves its header out.
+    Rows without page_id come last; repeated rows are records of their own.
+    Other columns are not read. An empty table gives an archive without files.
 
-    ``rows`` are as ``records`` makes them. One shard holds about
-    ``shard_bytes`` of payload, one file about ``file_bytes`` after
-    compression. An empty table gives an archive without files.
+    What revisits another page is told to the writer by rows of its own, sorted
+    just before the page, so payloads are shuffled once and never joined.
     """
-    spark = rows.sparkSession
+    spark = pages.sparkSession
     root = (root or new_workdir(spark, "warc")).rstrip("/")
-    size = rows.agg(F.sum(F.octet_length("payload"))).collect()[0][0] or 0
-    bounds = shard_bounds(rows, -(-size // shard_bytes))
-    names = StructType.fromDDL(RECORDS).fieldNames()
+    narrow = digests(pages)
+    size = narrow.agg(F.sum("_bytes")).collect()[0][0] or 0
+    bounds = shard_bounds(narrow, -(-size // shard_bytes))
+    body = payload(F.col("html"))
+    rows = pages.select(
+        F.col("page_id").cast("long"), F.sha2(body, 256).alias("payload_digest"), F.lit(True).alias("is_page"),
+        F.col("url").cast("string"), F.lit(None).cast("long").alias("refers_to"), body.alias("payload"),
+    )
+    told = copies(narrow, min_payload).select(
+        F.when(F.col("_id") < LAST_ID, F.col("_id")).alias("page_id"), F.lower(F.hex("_digest")).alias("payload_digest"),
+        F.lit(False).alias("is_page"), F.lit(None).cast("string").alias("url"), F.col("_owner").alias("refers_to"),
+        F.lit(None).cast("binary").alias("payload"),
+    )
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer, done = None, []
+        writer, done, copy = None, [], (None, None, None)
         for batch in batches:
-            shard = batch.column("shard").to_pylist()
-            columns = [batch.column(c).to_pylist() for c in names[:-1]]
             bodies = batch.column("payload")
-            for k, (at, *head) in enumerate(zip(shard, *columns)):
-                if writer is None or writer.shard != at:
+            heads = zip(*(batch.column(c).to_pylist() for c in ("shard", "page_id", "payload_digest", "is_page", "url", "refers_to")))
+            for k, (shard, page_id, digest, is_page, url, owner) in enumerate(heads):
+                if not is_page:
+                    copy = (page_id, digest, owner)
+                    continue
+                if writer is None or writer.shard != shard:
                     done.extend(writer.end() if writer else ())
-                    writer = ShardWriter(root, at, file_bytes)
-                done.extend(writer.add(head[0], packed(record_bytes(*head, bodies[k].as_py(), date))))
+                    writer = ShardWriter(root, shard, file_bytes)
+                owner = copy[2] if copy[:2] == (page_id, digest) else None
+                kind = "response" if owner is None else "revisit"
+                done.extend(writer.add(page_id, packed(record_bytes(page_id, url, kind, owner, digest, bodies[k].as_py(), date))))
         done.extend(writer.end() if writer else ())
         yield pa.RecordBatch.from_pylist(done, pa.schema([
             ("file", pa.string()), ("shard", pa.int32()), ("records", pa.int64()), ("bytes", pa.int64()),
             ("sha256", pa.string()), ("first_id", pa.int64()), ("last_id", pa.int64())]))
 
-    dealt = rows.select(*names).withColumn("shard", shard_of(F.col("page_id"), bounds).cast("int"))
-    order = [F.asc_nulls_last("page_id"), "payload_digest", F.asc_nulls_last("url")]
+    dealt = rows.unionAll(told).withColumn("shard", shard_of(F.col("page_id"), bounds).cast("int"))
+    order = [F.asc_nulls_last("page_id"), "payload_digest", "is_page", F.asc_nulls_last("url")]
     placed = dealt.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", *order)
     placed.mapInArrow(write, MANIFEST).write.parquet(f"{root}/manifest")
     return root
@@ -294,7 +321,7 @@ def read_archive(spark: SparkSession, root: str, with_payload: bool = True) -> D
 
 
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = write_archive(saved(records(table(spark, sf_dir, "pages")), "warc-records"))
+    root = write_archive(table(spark, sf_dir, "pages"))
     return read_archive(spark, root, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
