@@ -21,6 +21,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,14 +35,17 @@ VOCABULARY = "word_bpe_49k.json"
 #: Words and pieces of words whose ids a task remembers, and the longest it does.
 CACHE_WORDS = 700_000
 CACHE_LENGTH = 48
+#: A letter and the ASCII mark behind it; U+0130 is left out, in lower case it ends in a mark of its own.
+LETTER_THEN_MARK = r"([A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}])([!-/:-@\[-\x60{-~])"
 
 
 class WordEncoder:
     """Ids of whole texts through ``tokenizers``, each different word once.
 
-    The vocabulary's splitter never joins anything over white space, and each
-    piece it makes ends in exactly one token with the end-of-word mark. So
-    words are remembered, and the new ones go to the tokenizer together.
+    The vocabulary's splitter never joins anything over white space nor over a
+    letter and a mark behind it, and each piece it makes ends in exactly one
+    token with the end-of-word mark. So words are remembered, and the new ones
+    go to the tokenizer together.
     """
 
     PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"  # fixed: the splitter of the vocabulary file
@@ -56,75 +60,84 @@ class WordEncoder:
         self.split = regex.compile(self.PIECE).findall
         ends = [t.endswith("</w>") for t, _ in sorted(self.tokenizer.get_vocab().items(), key=lambda x: x[1])]
         self.ends = np.array(ends)
-        self.pieces: dict[str, list[int]] = {}
-        self._clear()
-
-    def _clear(self) -> None:
         self.codes: dict[str, int] = {}
+        self.words: list[str] = []
         self.flat = np.zeros(1 << 16, np.uint32)
-        self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.starts, self.lengths, self.seen = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.used = 0
 
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _learn_pieces(self, pieces: set[str]) -> None:
-        names = [p for p in pieces if p not in self.pieces]
-        if len(self.pieces) + len(names) > CACHE_WORDS:
-            self.pieces = {}
-            names = list(pieces)
-        for at in range(0, len(names), 4096):
-            part = names[at : at + 4096]
-            ids = self._whole(" ".join(part))
-            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(cuts) == len(part):
-                self.pieces.update((p, ids[a:b]) for p, a, b in zip(part, [0, *cuts], cuts))
-            else:  # a piece that the splitter cuts differently when it stands alone
-                self.pieces.update((p, self._whole(p)) for p in part)
-
-    def _store(self, words: list[str], ids: list[list[int]]) -> None:
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        more = np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
-        if self.used + len(more) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(more)), np.uint32)])
-        self.flat[self.used : self.used + len(more)] = more
-        self.codes.update(zip(words, range(len(self.starts), len(self.starts) + len(words))))
+    def _gather(self, code: np.ndarray) -> np.ndarray:
+        """The ids of words, one word after another."""
+        sizes = self.lengths[code]
+        base = np.repeat(self.starts[code] - (np.cumsum(sizes) - sizes), sizes)
+        return self.flat[base + np.arange(len(base))]
+
+    def _store(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.codes.update(zip(words, range(len(self.words), len(self.words) + len(words))))
+        self.words += words
         self.starts = np.concatenate([self.starts, self.used + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
-        self.used += len(more)
+        self.seen = np.concatenate([self.seen, np.zeros(len(words), np.int64)])
+        self.used += len(ids)
+
+    def _forget(self) -> None:
+        """Keep the half of the words seen most often; the others are learnt again when they come."""
+        kept = np.sort(np.argpartition(-self.seen, CACHE_WORDS // 2)[: CACHE_WORDS // 2])
+        words, ids, lengths, seen = [self.words[k] for k in kept.tolist()], self._gather(kept), self.lengths[kept], self.seen[kept]
+        self.codes, self.words, self.used = {}, [], 0
+        self.starts, self.lengths, self.seen = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._store(words, ids, lengths)
+        self.seen = seen // 2
 
     def _learn(self, words: list[str]) -> None:
-        single, several, rest = [], {}, []
+        """Tokenize new words in blocks; the end-of-word marks tell where each word ends."""
+        block, pieces, rest = [], [], []
         for word in words:
             if len(word) > CACHE_LENGTH or (not word.isascii() and max(word) > self.LATIN):
                 rest.append(word)
                 continue
-            text = word if word.isascii() else unicodedata.normalize("NFC", word).lower()
-            if text.isalpha():
-                single.append((word, text))
+            if word.isalpha() and word.isascii():
+                block.append(word)
+                pieces.append(1)
             else:
-                several[word] = self.split(text)
-        self._learn_pieces({text for _, text in single}.union(*several.values()))
-        pieces = self.pieces
-        self._store([w for w, _ in single], [pieces[t] for _, t in single])
-        self._store(list(several), [[i for p in parts for i in pieces[p]] for parts in several.values()])
-        self._store(rest, [self._whole(w) for w in rest])
+                text = word if word.isascii() else unicodedata.normalize("NFC", word).lower()
+                block.append(word)
+                pieces.append(len(self.split(text)))
+        for at in range(0, len(block), 4096):
+            part = block[at : at + 4096]
+            ids = np.array(self._whole(" ".join(part)), np.uint32)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            upto = np.cumsum(pieces[at : at + 4096])
+            if len(cuts) == upto[-1]:
+                self._store(part, ids, np.diff(cuts[upto - 1], prepend=0))
+            else:  # a word that the splitter cuts differently when it stands alone
+                rest += part
+        if rest:
+            ids = [self._whole(w) for w in rest]
+            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+            self._store(rest, np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, with the separator after each text, and where each text ends."""
-        index, words, counts = split_words(texts)
+        # the splitter ends a piece there anyway, and "word," and "word." need not be learnt beside "word"
+        index, words, counts = split_words(pc.replace_substring_regex(pc.fill_null(texts, ""), LETTER_THEN_MARK, r"\1 \2"))
         if len(self.codes) > CACHE_WORDS:
-            self._clear()
+            self._forget()
         new = [w for w in words if w not in self.codes]
         if new:
             self._learn(new)
-        code = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))[index]
-        sizes = self.lengths[code]
-        ends = np.cumsum(sizes)
-        base = np.repeat(self.starts[code] - (ends - sizes), sizes)
-        ids = self.flat[base + np.arange(len(base))]
+        known = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
+        self.seen[known] += np.bincount(index, minlength=len(words))
+        code = known[index]
+        ends = np.cumsum(self.lengths[code])
         upto = np.concatenate([[0], ends])[np.cumsum(counts)]
-        return np.insert(ids, upto, np.uint32(SEPARATOR)), upto + np.arange(1, len(texts) + 1)
+        return np.insert(self._gather(code), upto, np.uint32(SEPARATOR)), upto + np.arange(1, len(texts) + 1)
 
 
 @functools.cache
