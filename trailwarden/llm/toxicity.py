@@ -14,6 +14,7 @@ label model. Labels, lang, source and doc_id are no input of a score.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections.abc import Iterable, Iterator
@@ -21,10 +22,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailwarden.llm.common import saved, table
+from trailwarden.llm.words import chunks
 
 #: Rows of labelled text that lexicon and classifier are fitted on, lowest hashes first.
 SAMPLE_ROWS = 20_000
@@ -37,6 +40,8 @@ PREFIXES = (3, 4, 5, 6, 7, 8)
 LEXICON_VOTERS = 6
 ROUNDS = 60
 THRESHOLD = 0.7
+#: Bytes of text whose words are held at a time.
+CHUNK_BYTES = 1 << 20
 
 #: Insults in the four languages, in alphabetical order.
 INSULTS = {
@@ -106,11 +111,9 @@ class Lexicon:
         return bits, found
 
 
-def _sketch(words: set[str]) -> int:
-    """Least word hash: near copies mostly share it and then count once."""
-    import zlib
-
-    return min((zlib.crc32(w.encode()) * 2654435761 & 0xFFFFFFFF for w in words), default=0)
+def _digest(words: list[str]) -> int:
+    """64 bits of a whole set of words: texts of the same words count once, however many rows there are."""
+    return int.from_bytes(hashlib.sha256("\0".join(words).encode()).digest()[:8], "big", signed=True)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -122,12 +125,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -
 
 
 def learn_lexicon(training: DataFrame) -> Lexicon:
-    """Words found in many toxic and almost no clean documents; near copies count once."""
+    """Words found in many toxic and almost no clean documents; texts of the same words count once."""
 
     def spread(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            sets = [words_of(t or "") for t in frame["text"]]  # with beginnings
-            yield pd.DataFrame({"sketch": [_sketch(s) for s in sets], "toxic": frame["toxic"].astype("int32"), "words": [sorted(s) for s in sets]})
+            sets = [sorted(words_of(t or "")) for t in frame["text"]]  # with beginnings
+            yield pd.DataFrame({"sketch": [_digest(s) for s in sets], "toxic": frame["toxic"].astype("int32"), "words": sets})
 
     once = training.mapInPandas(spread, "sketch long, toxic int, words array<string>")
     once = saved(once.withColumn("word", F.explode("words")).select("sketch", "toxic", "word").distinct(), "toxic-words")
@@ -143,17 +146,25 @@ def learn_lexicon(training: DataFrame) -> Lexicon:
     return Lexicon([r["word"] for r in chosen.orderBy(F.desc("ratio"), F.desc("bad"), "word").collect()])
 
 
+def votes_of(texts: pa.Array, lexicon: Lexicon) -> tuple[np.ndarray, list[list[int]]]:
+    """Vote bits and learnt words of whole texts."""
+    votes = [lexicon.votes(t) if t else (0, []) for t in texts.to_pylist()]
+    return np.fromiter((v for v, _ in votes), np.int64, len(votes)), [f for _, f in votes]
+
+
 def cast_votes(docs: DataFrame, lexicon: Lexicon, *keep: str) -> DataFrame:
     """votes (bits) and found (learnt words) of every whole text, beside the columns to keep."""
 
-    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            votes = [lexicon.votes(t) if t else (0, []) for t in frame["text"]]
-            out = frame[list(keep)].copy()
-            yield out.assign(votes=np.array([v for v, _ in votes], np.int32), found=[f for _, f in votes])
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high in chunks(batch.column("text"), CHUNK_BYTES):
+                part = batch.slice(low, high - low)
+                bits, found = votes_of(part.column("text"), lexicon)
+                columns = [part.column(k) for k in keep] + [pa.array(bits, pa.int32()), pa.array(found, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, [*keep, "votes", "found"])
 
     kept = "".join(f"{k} {docs.schema[k].dataType.simpleString()}, " for k in keep)
-    return docs.select(*keep, "text").mapInPandas(run, f"{kept}votes int, found array<int>")
+    return docs.select(*keep, "text").mapInArrow(run, f"{kept}votes int, found array<int>")
 
 
 @dataclass
@@ -291,15 +302,15 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not predicted toxic, columns as they are."""
     model, _ = fit(docs, labels)
-    lexicon = model.lexicon
 
-    def verdicts(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in frames:
-            votes = [lexicon.votes(t) if t else (0, []) for t in texts]
-            yield pd.Series(model.score(np.array([v for v, _ in votes], np.int64), [f for _, f in votes]).astype(float))
+    def verdicts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high in chunks(batch.column("text"), CHUNK_BYTES):
+                part = batch.slice(low, high - low)
+                scores = model.score(*votes_of(part.column("text"), model.lexicon))
+                yield part.filter(pa.array(scores < THRESHOLD))
 
-    score = F.pandas_udf(verdicts, "double")
-    return docs.where(score(docs["text"]) < THRESHOLD)
+    return docs.mapInArrow(verdicts, docs.schema)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
