@@ -50,18 +50,19 @@ def test_replays_and_collisions(spark, events_of, rules_of, tmp_path):
 
 def test_writers_of_one_store_do_not_meet(spark, events_of, tmp_path):
     stores = tb.Stores(str(tmp_path))
-    assert [stores.number(spark, w, b) for w, b in (("a", 0), ("b", 0), ("a", 1), ("a", 0), ("b/c", 0))] == [1, 2, 3, 1, 4]
-    for writer, event in (("a", "e1"), ("b", "e2"), ("a", "e1")):
-        tb.fan_out(with_seq(enrich(events_of({"eventId": event}))), tb.default_sinks(stores), stores.number(spark, writer, 7))
-    assert contents(spark, stores, "metadata", "event_id") == [("e1",), ("e2",)]
-    assert {r.eventId for r in tb.read_evidence(spark, stores).collect()} == {"e1", "e2"}
+    for writer, event in (("a", "e1"), ("b", "e2"), ("a", "e1"), ("c", "e2")):
+        tb.fan_out(with_seq(enrich(events_of({"eventId": event, "action": writer}))), tb.default_sinks(stores.of(writer)), 7)
+    assert contents(spark, stores, "metadata", "event_id", "action") == [("e1", "a"), ("e2", "b")]
+    assert {(r.eventId, r.action) for r in tb.read_evidence(spark, stores).collect()} == {("e1", "a"), ("e2", "c")}
+    with pytest.raises(ValueError):
+        stores.of("a/b")
 
 
 def test_a_failing_sink_leaves_a_replayable_batch(spark, events_of, tmp_path):
     stores = tb.Stores(str(tmp_path))
     order, broken = [], [True]
 
-    def flaky(df, batch_id, rows):
+    def flaky(df, batch_id):
         order.append("flaky")
         if broken[0]:
             raise RuntimeError("not acknowledged")

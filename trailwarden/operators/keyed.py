@@ -10,10 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A micro-batch's ids are broadcast into the target scan only below this many.
-BROADCAST_IDS = 2_000_000
-
-
 def _pick(df: DataFrame, keys: list[str], chooser, order: Column) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
     row = chooser(F.struct(*[F.col(c) for c in rest]), order)
@@ -31,24 +27,15 @@ def last_per_key(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
     return _pick(df, keys, F.max_by, order)
 
 
-def insert_if_absent(
-    batch: DataFrame, target: DataFrame | None, key: str, order: Column, batch_rows: int | None = None
-) -> DataFrame:
+def insert_if_absent(batch: DataFrame, target: DataFrame | None, key: str, order: Column) -> DataFrame:
     """Rows of ``batch`` that a unique key on ``target`` would let in.
 
-    With a known small ``batch_rows`` the batch's ids are broadcast and the
-    target is only scanned (one column, no shuffle of the big side); otherwise
-    it is a shuffled anti join.
+    One anti join on the key column of ``target``; adaptive execution broadcasts
+    the smaller side where its measured size allows. Stored tables answer from
+    their id index instead (``sinks.idindex``).
     """
     fresh = first_per_key(batch, [key], order)
-    if target is None:
-        return fresh
-    stored = target.select(key)
-    if batch_rows is not None and batch_rows <= BROADCAST_IDS:
-        ids = F.broadcast(batch.select(key))
-        # distinct: one left_semi hit per stored row, the key is unique there
-        stored = F.broadcast(stored.join(ids, key, "left_semi"))
-    return fresh.join(stored, key, "left_anti")
+    return fresh if target is None else fresh.join(target.select(key), key, "left_anti")
 
 
 def collapse_replays(df: DataFrame, key: str) -> DataFrame:

@@ -23,13 +23,17 @@ def relevant_events(events: DataFrame, framework: str) -> DataFrame:
     return events.where(_has_control(framework))
 
 
-def control_ids(framework: str) -> Column:
+def _column(framework: str | Column) -> Column:
+    return F.lit(framework) if isinstance(framework, str) else framework
+
+
+def control_ids(framework: str | Column) -> Column:
     """The framework's control ids of an event, distinct, in first-seen order."""
-    mine = F.filter("controls", lambda c: c["framework"] == framework)
+    mine = F.filter("controls", lambda c: c["framework"] == _column(framework))
     return F.array_join(F.array_distinct(F.transform(mine, lambda c: c["controlId"])), ",")
 
 
-def report_line(framework: str) -> Column:
+def report_line(framework: str | Column) -> Column:
     return F.concat(
         F.col("eventId"),
         F.lit(" | "), F.coalesce(F.col("type"), F.lit("null")),
@@ -38,6 +42,15 @@ def report_line(framework: str) -> Column:
     )
 
 
+def framework_lines(events: DataFrame, frameworks=tuple(REPORT_TITLES)) -> DataFrame:
+    """Event lines of all reports in one pass: an event is a line of each framework it has controls of."""
+    wanted = F.array_intersect(F.col("controls.framework"), F.lit(list(frameworks)))
+    return events.withColumn("framework", F.explode(wanted)).select(
+        "framework", "customerId", "eventId", F.col("timestamp").alias("event_time"),
+        report_line(F.col("framework")).alias("line"),
+    )
+
+
 def report_lines(events: DataFrame, framework: str) -> DataFrame:
     """Event lines of a report.  Scope comes from the evidence query alone."""
     return relevant_events(events, framework).select(
@@ -60,33 +73,35 @@ def report_summary(events: DataFrame, frameworks=tuple(REPORT_TITLES)) -> DataFr
     return counts.select(F.inline(rows))
 
 
-def report_document(events: DataFrame, framework: str, customer_id: str, start, end) -> DataFrame:
-    """The whole report as rows (part, event_time, eventId, line), unordered.
+def report_documents(events: DataFrame, customer_id: str, start, end, frameworks=tuple(REPORT_TITLES)) -> DataFrame:
+    """Whole reports as rows (framework, part, event_time, eventId, line), unordered.
 
     Parts 0-3 are the header, part 4 the event lines; ``ordered_report`` puts
-    them in reading order.
+    them in reading order. Lines and their counts come out of one aggregation
+    over two grouping sets, so the events are read once.
     """
-    relevant = relevant_events(events, framework)
-    period = F.concat(
-        F.lit("Period: "), iso_instant(instant(start)), F.lit(" - "), iso_instant(instant(end))
+    keys = ("framework", "event_time", "eventId", "line")
+    lines = framework_lines(events, frameworks).select(*keys, F.lit(1).alias("rows"))
+    # a row of no weight per framework: a report without events has a header, too
+    nothing = {k: F.lit(None).cast(lines.schema[k].dataType) for k in keys[1:]}
+    named = events.sparkSession.range(1).select(F.explode(F.lit(list(frameworks))).alias("framework"))
+    both = lines.unionByName(named.withColumns({**nothing, "rows": F.lit(0)}))
+    counted = both.groupingSets([["framework"], list(keys)], *keys).agg(
+        F.sum("rows").cast("int").alias("n"), F.grouping("line").alias("head")
     )
-    heads = [
-        (0, F.lit(REPORT_TITLES.get(framework, f"{framework} Report"))),
-        (1, F.lit(f"Customer: {customer_id}")),
-        (2, period),
-        (3, F.concat(F.lit("Events: "), F.col("n").cast("string"))),
-    ]
-    header = relevant.agg(F.count("*").alias("n")).select(
-        F.inline(F.array(*[F.struct(F.lit(p).alias("part"), t.alias("line")) for p, t in heads]))
+    titles = F.create_map(*[F.lit(x) for f in frameworks for x in (f, REPORT_TITLES.get(f, f"{f} Report"))])
+    period = F.concat(F.lit("Period: "), iso_instant(instant(start)), F.lit(" - "), iso_instant(instant(end)))
+    heads = (titles[F.col("framework")], F.lit(f"Customer: {customer_id}"), period, F.concat(F.lit("Events: "), F.col("n").cast("string")))
+    part = lambda k, text: F.struct(F.lit(k).alias("part"), text.alias("line"))
+    rows = F.when(F.col("head") == 1, F.array(*[part(k, t) for k, t in enumerate(heads)])).otherwise(
+        F.array_repeat(part(len(heads), F.col("line")), F.col("n"))
     )
-    nothing = {"event_time": F.lit(None).cast("timestamp"), "eventId": F.lit(None).cast("string")}
-    body = relevant.select(
-        F.lit(4).alias("part"),
-        F.col("timestamp").alias("event_time"),
-        "eventId",
-        report_line(framework).alias("line"),
-    )
-    return header.withColumns(nothing).unionByName(body)
+    return counted.select("framework", "event_time", "eventId", F.inline(rows)).select("framework", "part", "event_time", "eventId", "line")
+
+
+def report_document(events: DataFrame, framework: str, customer_id: str, start, end) -> DataFrame:
+    """One framework's report; see ``report_documents``."""
+    return report_documents(events, customer_id, start, end, (framework,)).drop("framework")
 
 
 def ordered_report(document: DataFrame) -> DataFrame:

@@ -26,10 +26,15 @@ from trailwarden.sinks.tables import (
     fan_out,
     in_tenant_order,
     read_evidence,
+    read_evidence_window,
     read_table,
     topic_records as to_records,
+    write_evidence,
+    write_metadata,
 )
+from trailwarden.sinks.purge import purge_metadata, surviving
 from trailwarden.sources import collectors, events as event_source, querylog
+from trailwarden.sources.marks import Marks, log_collector
 from trailwarden.sources.rules import load_rules
 from trailwarden.streaming import jobs as streams
 
@@ -286,9 +291,7 @@ def _window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.evidence_window(_enriched(spark, sf_dir), fx.REPORT_TENANT, fx.REPORT_FROM, fx.REPORT_TO)
 
 
-@query
-def evidence_query(spark, sf_dir):
-    rows = ev.evidence_query(_enriched(spark, sf_dir), fx.REPORT_TENANT, fx.REPORT_FROM, fx.REPORT_TO)
+def _flat_window(rows: DataFrame) -> DataFrame:
     return rows.select(
         F.col("eventId").alias("event_id"),
         F.col("customerId").alias("customer_id"),
@@ -298,6 +301,20 @@ def evidence_query(spark, sf_dir):
     )
 
 
+@query
+def evidence_query(spark, sf_dir):
+    return _flat_window(ev.evidence_query(_enriched(spark, sf_dir), fx.REPORT_TENANT, fx.REPORT_FROM, fx.REPORT_TO))
+
+
+@query
+def evidence_store_window(spark, sf_dir):
+    """The same from a store in which later versions moved events into the window and out of it."""
+    stores = Stores(new_workdir(spark, "window"))
+    write_evidence(_enriched(spark, sf_dir), stores, 0)
+    write_evidence(fx.moved(_enriched(spark, sf_dir)), stores, 1)
+    return _flat_window(read_evidence_window(spark, stores, fx.REPORT_TENANT, fx.REPORT_FROM, fx.REPORT_TO))
+
+
 def _report(spark, sf_dir, framework):
     lines = reports.report_lines(_window(spark, sf_dir), framework)
     return lines.select(
@@ -323,9 +340,16 @@ def report_hipaa(spark, sf_dir):
 @query
 def report_all_events(spark, sf_dir):
     """The bare framework filter: without a window all tenants' events are lines."""
-    lines = [reports.report_lines(_enriched(spark, sf_dir), f) for f in ("SOC2", "GDPR", "HIPAA")]
-    rows = lines[0].unionByName(lines[1]).unionByName(lines[2])
-    return rows.select("framework", F.col("eventId").alias("event_id"), "line")
+    lines = reports.framework_lines(_enriched(spark, sf_dir))
+    return lines.select("framework", F.col("eventId").alias("event_id"), "line")
+
+
+@query
+def report_own_controls(spark, sf_dir):
+    """Lines under a control table that adds a framework the built-in map has no controls of."""
+    events = en.classify_controls(fx.audit_events(spark, sf_dir), fx.more_controls(spark))
+    lines = reports.framework_lines(events)
+    return lines.select("framework", F.col("eventId").alias("event_id"), "line")
 
 
 @query
@@ -335,12 +359,7 @@ def report_summary(spark, sf_dir):
 
 @query
 def report_text(spark, sf_dir):
-    events = _window(spark, sf_dir)
-    document = None
-    for framework in ("SOC2", "GDPR", "HIPAA"):
-        part = reports.report_document(events, framework, fx.REPORT_TENANT, fx.REPORT_FROM, fx.REPORT_TO)
-        part = part.withColumn("framework", F.lit(framework))
-        document = part if document is None else document.unionByName(part)
+    document = reports.report_documents(_window(spark, sf_dir), fx.REPORT_TENANT, fx.REPORT_FROM, fx.REPORT_TO)
     return document.orderBy("framework", "part", "event_time", "eventId").select(
         "framework", "part", F.col("eventId").alias("event_id"), iso_instant(F.col("event_time")).alias("event_time"), "line"
     )
@@ -420,6 +439,24 @@ def log_replay_dedupe(spark, sf_dir):
     return _flat(unique, "eventId", "userId", "timestamp", "action", "query")
 
 
+@query
+def log_polls(spark, sf_dir):
+    """Three polls from a stored mark, one of them lost after delivery and repeated by a new collector."""
+    stores = Stores(new_workdir(spark, "polls"), period="year", writer="general-log")
+    marks, log = Marks(stores.path("marks")), fx.general_log(spark, sf_dir)
+    for attempt in range(4):
+        def deliver(events, attempt=attempt):
+            write_metadata(en.enrich(events), stores, attempt)
+            if attempt == 1:
+                raise RuntimeError("stored, but the answer got lost")
+
+        source = log_collector(log, marks, fx.LOG_TENANT, fx.LOG_RESOURCE, fx.LOG_SINCE, fx.LOG_BATCH)
+        collectors.poll([source], deliver)
+    mark = marks.current(spark, querylog.source_name(fx.LOG_RESOURCE))
+    return _flat_metadata(read_table(spark, stores, "metadata")).withColumns(
+        {"mark": iso_instant(F.lit(mark.at)), "moves": F.lit(mark.version)})
+
+
 @query
 def log_to_metadata(spark, sf_dir):
     return _flat_metadata(log_metadata(fx.general_log(spark, sf_dir), fx.LOG_TENANT, fx.LOG_RESOURCE))
@@ -460,6 +497,15 @@ def retention_batches(spark, sf_dir):
     return rows.select("event_id", iso_instant(F.col("occurred_at")).alias("occurred_at"), "row_index", "batch")
 
 
+@query
+def purge_store(spark, sf_dir):
+    """What a purge leaves of a stored table: whole folders go, the boundary is rewritten."""
+    stores = Stores(new_workdir(spark, "purge"))
+    write_metadata(fx.replayed_events(spark, sf_dir).transform(en.detect_anomalies), stores, 0)
+    purge_metadata(spark, stores, fx.RETENTION_NOW, fx.RETENTION_DAYS, fx.RETENTION_BATCH)
+    return _flat_metadata(surviving(spark, stores))
+
+
 # -- text --------------------------------------------------------------------
 @query
 def iso_instants(spark, sf_dir):
@@ -503,7 +549,7 @@ def stream_alerts(spark, sf_dir):
 def stream_log_collect(spark, sf_dir):
     """Stream the query log into evidence and metadata; read the metadata."""
     stores = Stores(new_workdir(spark, "stream-log"), period="year")
-    into = streams.into_stores(stores, default_sinks(stores)[:2], "general-log")
+    into = streams.into_sinks(default_sinks(stores.of("general-log"))[:2])
     log = fx.general_log(spark, sf_dir, streaming=True)
     _finish(streams.log_stream(log, fx.LOG_TENANT, fx.LOG_RESOURCE, lambda b, n: into(en.enrich(b), n), _checkpoint(stores)))
     return _flat_metadata(read_table(spark, stores, "metadata"))
@@ -513,7 +559,7 @@ def stream_log_collect(spark, sf_dir):
 def stores_two_writers(spark, sf_dir):
     """Pushed records and a query log into one store, both replayed, and two loads on top: rows per event and store."""
     stores = Stores(new_workdir(spark, "two-writers"), period="year")
-    into = streams.into_stores(stores, default_sinks(stores)[:2], "general-log")
+    into = streams.into_sinks(default_sinks(stores.of("general-log"))[:2])
     for attempt in ("first", "replay"):  # the replay starts from a lost checkpoint
         records = fx.raw_records(spark, sf_dir, streaming=True)
         _finish(streams.enrichment_stream(records, stores, f"{_checkpoint(stores)}/push-{attempt}"))
@@ -537,6 +583,21 @@ def stream_ingest(spark, sf_dir):
     return _flat(arrived, "eventId", "customerId", "type", "resource", "timestamp", "riskLevel", "anomalous")
 
 
+@query
+def agent_to_raw(spark, sf_dir):
+    """A query log forwarded as JSON files in two batches, replayed from a lost checkpoint, and ingested."""
+    stores = Stores(new_workdir(spark, "agent"))
+    landing = stores.path("landing")
+    fx.general_log(spark, sf_dir).repartition(2, "seq").drop("seq").write.parquet(stores.path("log"))
+    for attempt in ("first", "replay"):
+        log = querylog.file_log(spark, stores.path("log"), streaming=True, max_files=1)
+        _finish(streams.forward_stream(log, fx.LOG_TENANT, fx.LOG_RESOURCE, landing, f"{_checkpoint(stores)}/{attempt}"))
+        requests = event_source.request_files(spark, f"{landing}/*", streaming=True)
+        _finish(streams.ingest_stream(requests, lambda: ev.instant(fx.INGEST_TS), stores, f"{_checkpoint(stores)}/ingest"))
+    arrived = event_source.decoded(event_source.file_records(spark, stores.path("raw")))
+    return _flat(arrived, *_LOG_COLUMNS[1:], "riskLevel")
+
+
 @query
 def stream_dedupe_recent(spark, sf_dir):
     """Stream replayed deliveries through the bounded-state duplicate filter."""
@@ -558,3 +619,16 @@ def stream_dedupe(spark, sf_dir):
     _finish(streams.metadata_stream(events, stores, _checkpoint(stores)))
     return _flat_metadata(read_table(spark, stores, "metadata"))
 
+
+
+@query
+def stream_insert_many(spark, sf_dir):
+    """Five micro-batches whose ids repeat across batches, the last two after a restart."""
+    stores = Stores(new_workdir(spark, "insert-many"))
+    for k in range(5):
+        fx.delivery(spark, sf_dir, k).coalesce(1).write.mode("append").parquet(stores.path("deliveries"))
+        if k >= 2:  # the first three are there when the stream first starts
+            schema = spark.read.parquet(stores.path("deliveries")).schema
+            events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(stores.path("deliveries"))
+            _finish(streams.metadata_stream(en.detect_anomalies(events), stores, _checkpoint(stores)))
+    return _flat_metadata(read_table(spark, stores, "metadata"))

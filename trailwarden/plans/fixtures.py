@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailwarden.functions.eventjson import empty_controls
+from trailwarden.operators.enrich import default_controls
 from trailwarden.schemas import EVENT_COLUMNS, USER_CONTEXT_TAG
 from trailwarden.sinks.tables import topic_records
 from trailwarden.sources.rules import fill_rule_defaults
@@ -188,6 +189,29 @@ def replayed_events(spark: SparkSession, sf_dir: str, streaming: bool = False) -
     )
 
 
+def delivery(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """The k-th of five deliveries of ``replayed_events``: first copies in four, every copy in one after it."""
+    late = F.col("seq") >= 10_000_000_000
+    of = F.when(late, F.pmod("seq", F.lit(4)) + 1).otherwise(F.pmod("seq", F.lit(4)))
+    return replayed_events(spark, sf_dir).where(of == k)
+
+
+def moved(events: DataFrame) -> DataFrame:
+    """Later versions of every seventh event, ten days on."""
+    later = F.col("timestamp") + F.expr("INTERVAL 10 DAYS")
+    return events.where(F.col("seq") % 7 == 0).withColumn("timestamp", later)
+
+
+def more_controls(spark: SparkSession) -> DataFrame:
+    """The built-in controls and two of a third framework."""
+    more = spark.range(2).select(
+        F.when(F.col("id") == 0, F.lit("FILE_ACCESS")).otherwise(F.lit("AUTH_EVENT")).alias("eventType"),
+        (F.col("id") + 100).alias("position"),
+        F.concat(F.lit("own-"), F.col("id")).alias("controlId"), F.lit("HIPAA").alias("framework"), F.lit("Own control").alias("name"),
+    )
+    return default_controls(spark).unionByName(more)
+
+
 def raw_records(spark: SparkSession, sf_dir: str, streaming: bool = False) -> DataFrame:
     """The events as keyed JSON records of the raw topic."""
     return topic_records(audit_events(spark, sf_dir, streaming))

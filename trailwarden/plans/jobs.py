@@ -12,8 +12,7 @@ from trailwarden.operators.enrich import Step, enrich
 from trailwarden.operators.evidence import to_metadata
 from trailwarden.operators.keyed import insert_if_absent
 from trailwarden.operators.matching import build_alerts
-from trailwarden.operators.reports import ordered_report, relevant_events, report_document
-from trailwarden.session import new_workdir
+from trailwarden.operators.reports import ordered_report, report_document
 from trailwarden.sinks.tables import (
     Stores,
     default_sinks,
@@ -36,16 +35,16 @@ def alerts_for(records: DataFrame, rules: DataFrame, **build) -> DataFrame:
 
 def store_records(
     records: DataFrame, stores: Stores, rules: DataFrame | None = None, writer: str | None = None, batch: int = 0
-) -> int:
-    """One batch of raw records through enrichment into every store; gives the store's number for it.
+) -> Stores:
+    """One batch of raw records through enrichment into every store; gives the stores as its writer sees them.
 
     Without a writer's name each call is a batch of its own. With one, the same
     (writer, batch) again is a replay and replaces what it wrote before.
     Records that do not decode end up in the quarantine table.
     """
-    number = stores.number(records.sparkSession, writer or f"load-{uuid.uuid4().hex}", batch)
-    fan_out_decoded(decode_events(records), stores, default_sinks(stores, rules), number)
-    return number
+    mine = stores.of(writer or f"load-{uuid.uuid4().hex}")
+    fan_out_decoded(decode_events(records), mine, default_sinks(mine, rules), batch)
+    return mine
 
 
 def log_metadata(
@@ -60,15 +59,9 @@ def log_metadata(
 def framework_report(
     spark: SparkSession, stores: Stores, framework: str, customer_id: str, start, end
 ) -> DataFrame:
-    """A tenant's report for a period, as ordered lines.
-
-    The report needs its events twice, for the count and for the lines, so what
-    a line is made of is written once instead of reading the evidence again.
-    """
-    events = relevant_events(read_evidence_window(spark, stores, customer_id, start, end), framework)
-    path = new_workdir(spark, "report")
-    events.select("eventId", "timestamp", "type", "controls", "riskLevel").write.parquet(path)
-    return ordered_report(report_document(spark.read.parquet(path), framework, customer_id, start, end))
+    """A tenant's report for a period, as ordered lines; the evidence is read once."""
+    events = read_evidence_window(spark, stores, customer_id, start, end)
+    return ordered_report(report_document(events, framework, customer_id, start, end))
 
 
 def write_report(report: DataFrame, path: str) -> None:

@@ -482,4 +482,28 @@ UNION ALL SELECT 'mysql-general-log:acme-crm', count(*), count(*) FROM customer
     )
     sql["stream_dedupe_recent"] = _with(_AUDIT_RAW) + "SELECT DISTINCT event_id FROM audit_raw"
     sql["stream_dedupe"] = _with(*_STORED) + _metadata_rows()
+    sql["stream_insert_many"] = sql["stream_dedupe"]
+    sql["purge_store"] = sql["retention_kept"]
+    later = "SELECT * REPLACE (CASE WHEN seq % 7 = 0 THEN ts + INTERVAL 10 DAY ELSE ts END AS ts) FROM audit_raw"
+    sql["evidence_store_window"] = sql["evidence_query"].replace("FROM (SELECT * FROM audit_raw) r", f"FROM ({later}) r")
+    sql["agent_to_raw"] = sql["agent_forward"].replace("SELECT seq, event_id", "SELECT event_id")
+    more = "UNION ALL SELECT event_id, type, risk_level, 'HIPAA', CASE type WHEN 'FILE_ACCESS' THEN 'own-0' ELSE 'own-1' END FROM audit_raw"
+    sql["report_own_controls"] = (
+        _with(_AUDIT_RAW, _CONTROLS)
+        + f"""SELECT framework, event_id, event_id || ' | ' || type || ' | controls=' || ids || ' | risk=' || coalesce(risk_level, 'null') AS line
+FROM (SELECT event_id, type, risk_level, framework, ids FROM audit_raw
+  JOIN (SELECT type, framework, string_agg(control_id, ',' ORDER BY pos) AS ids FROM control_map GROUP BY ALL) USING (type)
+  {more} WHERE type IN ('FILE_ACCESS', 'AUTH_EVENT'))"""
+    )
+    unread = "event_time > {0} AND command_type IN ('Query', 'Execute')"
+    step = "{0} AS (SELECT max(event_time) AS t FROM (SELECT event_time FROM general_log WHERE {1} ORDER BY event_time LIMIT 500))"
+    marks, before = [], "TIMESTAMP '1995-01-01 00:00:00'"
+    for name in ("mark1", "mark2", "mark3"):
+        marks.append(step.format(name, unread.format(before)))
+        before = f"(SELECT t FROM {name})"
+    read = f"log_read AS (SELECT * FROM general_log WHERE event_time > TIMESTAMP '1995-01-01 00:00:00' AND event_time <= {before})"
+    sql["log_polls"] = (
+        _with(_LOG, *marks, read, _log_events("log_read"), _LOG_ENRICHED)
+        + f"SELECT {_FLAT_METADATA}, (SELECT {iso('t')} FROM mark3) AS mark, 3 AS moves FROM log_metadata"
+    )
     return sql

@@ -14,17 +14,10 @@ from trailwarden.operators.retention import (
     kept,
     purge_summary,
 )
+from trailwarden.sinks.folders import drop_folders
 from trailwarden.sinks.tables import Stores, day_folders, read_table
 
 
-def _drop_folders(spark: SparkSession, root: str, names: list[str]) -> None:
-    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    base = path_of(root)
-    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for name in names:
-        fs.delete(path_of(base, name), True)
-
-
 def purge_metadata(
     spark: SparkSession,
     stores: Stores,
@@ -36,27 +29,28 @@ def purge_metadata(
 
     Folders wholly before the cutoff are dropped.  Only the folder the cutoff
     falls in is read and rewritten.  Running it again after a failure is safe.
+    Removed ids leave the id index last, so they may be stored anew.
     """
     day = stores.first_day(cutoff_for(now, days).date())
     table = read_table(spark, stores, "metadata", last=day)
     counts = purge_summary(table, now, days, batch).first()
     boundary = table.where(F.col("event_date") == F.lit(day))
     left = kept(boundary, now, days)
-    emptied = boundary.select("batch_id").distinct().join(
-        left.select("batch_id").distinct(), "batch_id", "left_anti"
-    )
+    batches = ("writer", "batch_id")
+    emptied = boundary.select(*batches).distinct().join(left.select(*batches).distinct(), list(batches), "left_anti")
     # Folder names only: one per stored day, and at most one per batch of one day.
-    folders = [n for n in day_folders(spark, stores, "metadata", last=day) if n != f"event_date={day}"]
-    folders += [f"event_date={day}/batch_id={r[0]}" for r in emptied.collect()]
+    names = [n for n in day_folders(spark, stores, "metadata", last=day) if n != f"event_date={day}"]
+    names += [f"event_date={day}/writer={r.writer}/batch_id={r.batch_id}" for r in emptied.collect()]
     (
         left.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("event_date", "batch_id")
+        .partitionBy("event_date", *batches)
         .parquet(stores.path("metadata"))
     )
-    _drop_folders(spark, stores.path("metadata"), folders)
+    drop_folders(spark, stores.path("metadata"), names)
+    stores.ids().forget_before(spark, cutoff_for(now, days))
     return counts["deleted"], counts["statements"]
 
 
 def surviving(spark: SparkSession, stores: Stores) -> DataFrame:
-    return read_table(spark, stores, "metadata").drop("event_date", "batch_id")
+    return read_table(spark, stores, "metadata").drop("event_date", "writer", "batch_id")

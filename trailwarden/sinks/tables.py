@@ -1,33 +1,36 @@
 """File tables behind the stores.
 
-Every batch has a number of the store (``Stores.number``) and overwrites just its
-own partitions, so a batch that is replayed after a failure leaves the tables as
-if it ran once, and no writer touches what another wrote.
+Every writer counts its own batches and overwrites just its own partitions, so a
+batch that is replayed after a failure leaves the tables as if it ran once, and
+no writer touches what another wrote. Order over writers is that of arrival, a
+column written with the rows.
 
 Layouts
-  evidence   event_date / batch_id   all versions, in (tenant, time) ranges
-  metadata   event_date / batch_id   first write per event id
-  enriched   batch_id                keyed JSON records
-  alerts     batch_id                outbox rows
-  quarantine batch_id                records that did not decode
-  violations batch_id                rows the metadata table refuses
+  evidence   event_date / writer / batch_id   all versions, sorted by tenant and time
+  versions   tenants / writer / batch_id      ids and order of all versions, by hashed tenant
+  metadata   event_date / writer / batch_id   first write per event id
+  ids        bucket / writer / batch_id       the ids in metadata (see ``idindex``)
+  enriched   writer / batch_id                keyed JSON records
+  alerts     writer / batch_id                outbox rows
+  quarantine writer / batch_id                records that did not decode
+  violations writer / batch_id                rows the metadata table refuses
 
 Evidence has no folder per tenant: their number would grow with the tenants and
-with every batch.  Its files hold disjoint ranges of (day, tenant, time) instead,
-so the Parquet statistics let a tenant's query skip the rest, and a dominant
-tenant is cut into as many ranges as it needs.  ``rebalance`` does the same for
-days in the metadata table: adaptive execution splits large and merges small.
+with every batch. Its rows are sorted by tenant and time instead, so the Parquet
+statistics let a tenant's query skip the rest. ``rebalance`` gathers the rows of
+a tenant and day: adaptive execution splits a dominant one and merges small ones,
+and nothing is sampled, so a batch is computed once.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import date, timedelta
 
-from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,25 +43,45 @@ from trailwarden.operators.evidence import (
     utc_day,
     window_bounds,
 )
-from trailwarden.operators.keyed import insert_if_absent
+from trailwarden.operators.keyed import first_per_key
 from trailwarden.operators.matching import PreparedRules, build_alerts
 from trailwarden.operators.validation import split_rows
-from trailwarden.sinks.ledger import BatchLedger
 from trailwarden.schemas import ALERT, AUDIT_EVENT, EVENT_COLUMNS, METADATA
+from trailwarden.sinks.folders import folders
+from trailwarden.sinks.idindex import IdIndex
 from trailwarden.sources.events import RECORD
 
 
 @dataclass(frozen=True)
 class Stores:
-    """Locations of the tables under one root.
+    """Locations of the tables under one root, and who writes.
 
     ``period`` is the length of an ``event_date`` folder: day, week, month or
     year.  Days suit terabytes a week; a small store over many years wants
-    longer ones.
+    longer ones. ``buckets`` is the number of id and tenant buckets, fixed for
+    the life of a store. A writer's name outlives its checkpoints: one that
+    starts anew from an empty checkpoint must take a new name.
     """
 
     root: str
     period: str = "day"
+    writer: str = "main"
+    buckets: int = 32
+
+    def __post_init__(self) -> None:
+        if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9.-]*", self.writer):
+            raise ValueError(f"a writer's name has letters, digits, dots and hyphens: {self.writer!r}")
+
+    def of(self, writer: str) -> "Stores":
+        """The same tables, written by another."""
+        return replace(self, writer=writer)
+
+    def ids(self) -> IdIndex:
+        return IdIndex(self.path("ids"), self.buckets)
+
+    def tenants(self, customer_id: Column) -> Column:
+        """The bucket of the version log that a tenant is in."""
+        return F.pmod(F.xxhash64(customer_id), F.lit(self.buckets)).cast("int")
 
     def event_date(self, ts: str) -> Column:
         """First day of the period an instant falls in."""
@@ -76,28 +99,26 @@ class Stores:
     def path(self, table: str) -> str:
         return f"{self.root.rstrip('/')}/{table}"
 
-    def number(self, spark: SparkSession, writer: str, batch: int) -> int:
-        """The store's number for a writer's batch; the same again for a replay.
-
-        A writer's name outlives its checkpoints: one that starts anew from an
-        empty checkpoint must take a new name.
-        """
-        return BatchLedger(spark, self.root).number(writer, batch)
-
 
+_BATCH = [("writer", "string"), ("batch_id", "bigint")]
 _PARTITIONS = {
-    "evidence": [("event_date", "date"), ("batch_id", "bigint")],
-    "metadata": [("event_date", "date"), ("batch_id", "bigint")],
-    "enriched": [("batch_id", "bigint")],
-    "alerts": [("batch_id", "bigint")],
-    "quarantine": [("batch_id", "bigint")],
-    "violations": [("batch_id", "bigint")],
+    "evidence": [("event_date", "date"), *_BATCH],
+    "versions": [("tenants", "int"), *_BATCH],
+    "metadata": [("event_date", "date"), *_BATCH],
+    "enriched": _BATCH,
+    "alerts": _BATCH,
+    "quarantine": _BATCH,
+    "violations": _BATCH,
 }
 _SEQ = T.StructType([T.StructField("seq", T.LongType())])
 _ERROR = T.StructType([T.StructField("decode_error", T.StringType())])
 _VIOLATED = T.StructType([T.StructField("violated", T.StringType())])
+_ARRIVED = T.StructType([T.StructField("arrived", T.TimestampType())])
+#: Versions of a document in the order of their writing.
+WRITTEN = ("arrived", "writer", "batch_id", "seq")
 _SCHEMAS = {
-    "evidence": T.StructType(_SEQ.fields + AUDIT_EVENT.fields),
+    "evidence": T.StructType(_ARRIVED.fields + _SEQ.fields + AUDIT_EVENT.fields),
+    "versions": T.StructType(_ARRIVED.fields + _SEQ.fields + [AUDIT_EVENT[c] for c in ("customerId", "eventId", "timestamp")]),
     "metadata": METADATA,
     "enriched": RECORD,
     "alerts": ALERT,
@@ -115,13 +136,8 @@ def day_folders(
     spark: SparkSession, stores: Stores, table: str, first: date | None = None, last: date | None = None
 ) -> list[str]:
     """Names of a dated table's top folders in a range: one short listing."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(stores.path(table))
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    names = [status.getPath().getName() for status in fs.listStatus(path)]
     low, high = f"event_date={first or date.min}", f"event_date={last or date.max}"
-    return sorted(n for n in names if n.startswith("event_date=") and low <= n <= high)
+    return [n for n in folders(spark, stores.path(table), "event_date=") if low <= n <= high]
 
 
 def read_table(
@@ -147,82 +163,89 @@ def read_table(
 
 
 def _write(df: DataFrame, stores: Stores, table: str, batch_id: int) -> None:
+    keys = [name for name, _ in _PARTITIONS[table]]
     (
-        _columns(df, table, batch_id)
+        df.withColumns(_own(stores, batch_id)).select(*_SCHEMAS[table].fieldNames(), *keys)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*[name for name, _ in _PARTITIONS[table]])
+        .partitionBy(*keys)
         .parquet(stores.path(table))
     )
 
 
-def _columns(df: DataFrame, table: str, batch_id: int) -> DataFrame:
-    keys = [name for name, _ in _PARTITIONS[table]]
-    if "batch_id" not in df.columns:  # a sorted frame brings it along
-        df = df.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-    return df.select(*_SCHEMAS[table].fieldNames(), *keys)
+def _own(stores: Stores, batch_id: int) -> dict[str, Column]:
+    return {"writer": F.lit(stores.writer), "batch_id": F.lit(batch_id).cast("bigint")}
 
 
 def _with_seq(df: DataFrame) -> DataFrame:
     return df if "seq" in df.columns else df.withColumn("seq", F.lit(0).cast("bigint"))
 
 
-def write_evidence(events: DataFrame, stores: Stores, batch_id: int) -> None:
-    """Append every version of every event."""
-    dated = _with_seq(events).withColumns(
-        {"event_date": stores.event_date("timestamp"), "batch_id": F.lit(batch_id).cast("bigint")}
-    )
-    order = ("event_date", "batch_id", "customerId", "timestamp")
-    placed = dated.repartitionByRange(*order).sortWithinPartitions(*order)
+def write_evidence(events: DataFrame, stores: Stores, batch_id: int) -> DataFrame:
+    """Append every version of every event; gives the rows as they are stored."""
+    spark = events.sparkSession
+    seen = Observation()
+    dated = _with_seq(events).withColumns({"event_date": stores.event_date("timestamp"), "arrived": F.current_timestamp()})
+    watched = dated.observe(seen, F.min("event_date").alias("first"), F.max("event_date").alias("last"))
+    placed = watched.hint("rebalance", "event_date", "customerId").sortWithinPartitions("event_date", "customerId", "timestamp")
     _write(placed, stores, "evidence", batch_id)
+    stored = _own_rows(spark, stores, "evidence", batch_id, seen.get["first"], seen.get["last"])
+    tenants = stored.withColumn("tenants", stores.tenants(F.col("customerId")))
+    _write(tenants.hint("rebalance", "tenants").sortWithinPartitions("tenants", "customerId", "timestamp"), stores, "versions", batch_id)
+    return stored.select("seq", *EVENT_COLUMNS)
+
+
+def _own_rows(spark: SparkSession, stores: Stores, table: str, batch_id: int, first: date | None, last: date | None) -> DataFrame:
+    """What a batch wrote to a dated table, from its own folders alone."""
+    root, schema = stores.path(table), table_schema(table)
+    own = f"writer={stores.writer}/batch_id={batch_id}"
+    days = {n.split("/")[0]: n for n in folders(spark, root, "event_date=", below=own)} if first else {}
+    paths = [f"{root}/{n}" for day, n in days.items() if f"event_date={first}" <= day <= f"event_date={last}"]
+    reader = spark.read.schema(schema).option("basePath", root)
+    return reader.parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
 def read_evidence(spark: SparkSession, stores: Stores) -> DataFrame:
     """The latest version of each (tenant, event)."""
     versions = read_table(spark, stores, "evidence").drop("event_date")
-    return latest_evidence(versions, F.struct("batch_id", "seq")).select(*EVENT_COLUMNS)
+    return latest_evidence(versions, F.struct(*WRITTEN)).select(*EVENT_COLUMNS)
 
 
 def read_evidence_window(spark: SparkSession, stores: Stores, customer_id: str, start, end) -> DataFrame:
     """Latest versions of one tenant's events in a window.
 
     Whole documents are read for the window's days only.  Whether a version was
-    replaced by one outside the window is decided on ids and write order alone.
+    replaced by one outside the window is decided on the version log, of which
+    the tenant's bucket is read.
     """
     first, last = (stores.first_day(utc_day(t)) for t in (start, end))
-    order = F.struct("batch_id", "seq")
+    order = F.struct(*WRITTEN)
     recent = read_table(spark, stores, "evidence", first, last).withColumn("_order", order)
     latest = latest_evidence(evidence_window(recent, customer_id, start, end), F.col("_order"))
     low, high = window_bounds(start, end)
-    outside = read_table(spark, stores, "evidence").where(
-        (F.col("customerId") == F.lit(customer_id)) & ~F.col("timestamp").between(low, high)
-    )
+    mine = (F.col("tenants") == stores.tenants(F.lit(customer_id))) & (F.col("customerId") == F.lit(customer_id))
+    outside = read_table(spark, stores, "versions").where(mine & ~F.col("timestamp").between(low, high))
     newer = outside.groupBy(F.col("eventId").alias("_id")).agg(F.max(order).alias("_later"))
     replaced = (F.col("eventId") == F.col("_id")) & (F.col("_later") > F.col("_order"))
     return latest.join(newer, replaced, "left_anti").select(*EVENT_COLUMNS, "event_time")
 
 
-def write_metadata(
-    events: DataFrame,
-    stores: Stores,
-    batch_id: int,
-    batch_rows: int | None = None,
-) -> None:
+def write_metadata(events: DataFrame, stores: Stores, batch_id: int) -> None:
     """Insert ids that are not stored yet; refuse rows that break a constraint.
 
-    Only batches with smaller numbers count as stored, so a replay decides as it
-    did before. Every stored id counts: the id column of the table is read.
+    New ids are claimed in the id index first, which reads the buckets of the
+    batch's own ids; then their first rows are stored. A replay does not meet
+    itself and decides as before. Every stored id counts.
     """
     spark = events.sparkSession
     rows, refused = split_rows(to_metadata(_with_seq(events), "seq"))
-    target = read_table(spark, stores, "metadata").where(F.col("batch_id") < batch_id) if batch_id > 0 else None
-    fresh = insert_if_absent(rows, target, "event_id", F.col("seq"), batch_rows)
-    order = ("event_date", "batch_id", "occurred_at")
-    dated = fresh.withColumns(
-        {"event_date": stores.event_date("occurred_at"), "batch_id": F.lit(batch_id).cast("bigint")}
-    )
-    _write(dated.hint("rebalance", "event_date").sortWithinPartitions(*order), stores, "metadata", batch_id)
+    index = stores.ids()
+    claimed = index.claim(rows.select("event_id", "occurred_at"), stores.writer, batch_id)
+    fresh = first_per_key(rows, ["event_id"], F.col("seq")).join(claimed, "event_id", "left_semi")
+    dated = fresh.withColumn("event_date", stores.event_date("occurred_at"))
+    _write(dated.hint("rebalance", "event_date").sortWithinPartitions("event_date", "occurred_at"), stores, "metadata", batch_id)
     _write(refused.hint("rebalance"), stores, "violations", batch_id)
+    index.compact(spark)
 
 
 def topic_records(events: DataFrame) -> DataFrame:
@@ -272,21 +295,25 @@ def write_quarantine(records: DataFrame, stores: Stores, batch_id: int) -> None:
 
 @dataclass(frozen=True)
 class Sink:
-    """A named writer called as ``write(events, batch_id, batch_rows)``."""
+    """A named writer called as ``write(events, batch_id)``.
+
+    One that gives rows back has stored the batch as a whole; the sinks after
+    it are fed from there.
+    """
 
     name: str
-    write: Callable[[DataFrame, int, int], None]
+    write: Callable[[DataFrame, int], DataFrame | None]
 
 
 def default_sinks(stores: Stores, rules: DataFrame | PreparedRules | None = None) -> list[Sink]:
     """Persist first, page last: evidence, metadata, enriched, then alerts."""
     sinks = [
-        Sink("evidence", lambda df, b, n: write_evidence(df, stores, b)),
-        Sink("metadata", lambda df, b, n: write_metadata(df, stores, b, n)),
-        Sink("enriched", lambda df, b, n: write_enriched(df, stores, b)),
+        Sink("evidence", lambda df, b: write_evidence(df, stores, b)),
+        Sink("metadata", lambda df, b: write_metadata(df, stores, b)),
+        Sink("enriched", lambda df, b: write_enriched(df, stores, b)),
     ]
     if rules is not None:
-        sinks.append(Sink("alerts", lambda df, b, n: write_alerts(df, rules, stores, b)))
+        sinks.append(Sink("alerts", lambda df, b: write_alerts(df, rules, stores, b)))
     return sinks
 
 
@@ -294,15 +321,13 @@ def fan_out(events: DataFrame, sinks: list[Sink], batch_id: int) -> None:
     """Give one batch to every sink in turn.
 
     A failing sink fails the batch, and the replay overwrites what the earlier
-    sinks wrote.  The batch is kept meanwhile, so it is computed once.
+    sinks wrote.  Nothing is kept in memory: once evidence is written, the other
+    sinks read its files, so a batch is computed once and a lost executor costs
+    no more than its own tasks.
     """
-    events = events.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        rows = events.count()
-        for sink in sinks:
-            sink.write(events, batch_id, rows)
-    finally:
-        events.unpersist()
+    for sink in sinks:
+        stored = sink.write(events, batch_id)
+        events = events if stored is None else stored
 
 
 def fan_out_decoded(
@@ -314,18 +339,19 @@ def fan_out_decoded(
 ) -> None:
     """Enrich decoded records and fan them out; set the undecodable ones aside.
 
-    Good and bad rows come from one kept frame, so a record is parsed once.
+    Bad records are counted while the first sink stores the good ones, and only
+    a batch that has any is decoded again to write them.
     """
-    kept = enrich(decoded, steps).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        failed = F.col("decode_error").isNotNull()
-        write_quarantine(kept.where(failed).select("key", "value", "seq", "decode_error"), stores, batch_id)
-        good = kept.where(~failed).drop("decode_error", "key", "value")
-        rows = good.count()
-        for sink in sinks:
-            sink.write(good, batch_id, rows)
-    finally:
-        kept.unpersist()
+    failed = F.col("decode_error").isNotNull()
+    seen = Observation()
+    watched = enrich(decoded, steps).observe(seen, F.count_if(failed).alias("bad"))
+    good = watched.where(~failed).drop("decode_error", "key", "value")
+    if not sinks:
+        return write_quarantine(decoded.where(failed).select("key", "value", "seq", "decode_error"), stores, batch_id)
+    stored = sinks[0].write(good, batch_id)
+    if seen.get["bad"]:
+        write_quarantine(decoded.where(failed).select("key", "value", "seq", "decode_error"), stores, batch_id)
+    fan_out(good if stored is None else stored, sinks[1:], batch_id)
 
 
 __all__ = [

@@ -18,6 +18,7 @@ from trailwarden.operators.enrich import Step
 from trailwarden.operators.evidence import to_metadata
 from trailwarden.operators.matching import prepare_rules
 from trailwarden.operators.validation import accepted, normalize_requests, rejected
+from trailwarden.sinks.folders import folders
 from trailwarden.sinks.tables import (
     Sink,
     Stores,
@@ -28,9 +29,8 @@ from trailwarden.sinks.tables import (
     topic_records,
     write_alerts,
     write_metadata,
-    write_quarantine,
 )
-from trailwarden.sources.querylog import log_events
+from trailwarden.sources.querylog import log_events, wire_requests
 
 
 def run_batches(
@@ -64,11 +64,11 @@ def enrichment_stream(
 ) -> StreamingQuery:
     """Raw records -> enriched events -> every sink; bad records are set aside."""
     prepared = None if rules is None else prepare_rules(rules)
-    targets = default_sinks(stores, prepared) if sinks is None else sinks
+    mine = stores.of(writer)
+    targets = default_sinks(mine, prepared) if sinks is None else sinks
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        number = stores.number(batch.sparkSession, writer, batch_id)
-        fan_out_decoded(decode_events(batch), stores, targets, number, steps)
+        fan_out_decoded(decode_events(batch), mine, targets, batch_id, steps)
 
     return run_batches(records, handle, checkpoint, every)
 
@@ -86,25 +86,18 @@ def alert_stream(
 
     Records that do not decode go to the quarantine table, as in enrichment.
     """
-    prepared = prepare_rules(rules)
+    prepared, mine = prepare_rules(rules), stores.of(writer)
+    alerts = Sink("alerts", lambda df, b: write_alerts(df, prepared, mine, b, **build))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        number = stores.number(batch.sparkSession, writer, batch_id)
-        decoded = decode_events(batch)
-        failed = F.col("decode_error").isNotNull()
-        write_quarantine(decoded.where(failed).select("key", "value", "seq", "decode_error"), stores, number)
-        write_alerts(decoded.where(~failed).drop("decode_error", "key", "value"), prepared, stores, number, **build)
+        fan_out_decoded(decode_events(batch), mine, [alerts], batch_id, [])
 
     return run_batches(enriched_records, handle, checkpoint, every)
 
 
-def into_stores(stores: Stores, sinks: list[Sink], writer: str) -> Callable[[DataFrame, int], None]:
-    """A batch handler that fans out under the store's own batch numbers."""
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        fan_out(batch, sinks, stores.number(batch.sparkSession, writer, batch_id))
-
-    return handle
+def into_sinks(sinks: list[Sink]) -> Callable[[DataFrame, int], None]:
+    """A batch handler that fans out to sinks."""
+    return lambda batch, batch_id: fan_out(batch, sinks, batch_id)
 
 
 def arrival_order(batch_id: int) -> Column:
@@ -130,11 +123,28 @@ def log_stream(
 ) -> StreamingQuery:
     """Query-log rows -> redacted events.  An all-noise batch still advances.
 
-    ``deliver`` gets the query's own batch number; see ``into_stores``.
+    ``deliver`` gets the query's own batch number; see ``into_sinks``.
     """
     return run_batches(log_events(log, customer_id, resource), deliver, checkpoint, every)
 
 
+def forward_stream(log: DataFrame, customer_id: str, resource: str, landing: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Query-log rows -> wire requests as JSON lines in a landing folder, which ``request_files`` reads.
+
+    A batch lands once: its folder is complete or absent for readers of
+    committed files, and a replay of a complete one writes nothing, so the next
+    stream does not see it as new. An unfinished one is written anew.
+    """
+
+    def land(batch: DataFrame, batch_id: int) -> None:
+        name = f"{batch_id:012d}"
+        if not folders(batch.sparkSession, landing, name, below="_SUCCESS"):
+            batch.write.mode("overwrite").json(f"{landing.rstrip('/')}/{name}")
+
+    events = log_events(log, customer_id, resource)
+    return run_batches(wire_requests(events.drop("seq")), land, checkpoint, every)
+
+
 def ingest_stream(
     requests: DataFrame,
     ingest_ts: Callable[[], object],
@@ -168,8 +178,8 @@ def metadata_stream(
     writer: str = "metadata",
 ) -> StreamingQuery:
     """Insert-if-absent over the earlier batches (see ``write_metadata``)."""
-    sink = Sink("metadata", lambda df, b, n: write_metadata(df, stores, b, n))
-    return run_batches(events, into_stores(stores, [sink], writer), checkpoint, every)
+    sink = Sink("metadata", lambda df, b: write_metadata(df, stores.of(writer), b))
+    return run_batches(events, into_sinks([sink]), checkpoint, every)
 
 
 def recent_unique(events: DataFrame, keep: str = "7 days") -> DataFrame:
