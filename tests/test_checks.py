@@ -115,9 +115,10 @@ def test_first_last_and_absent(spark):
     last = keyed.last_per_key(rows, ["tenant", "id"], F.col("seq"))
     assert {(r.id, r.tenant, r.seq) for r in last.collect()} == {("a", "t1", 3), ("a", "t2", 1), ("b", "t1", 5)}
     stored = spark.createDataFrame([("a",), ("z",)], "id string")
-    for size in (None, 4):
-        new = keyed.insert_if_absent(rows, stored, "id", F.col("seq"), size)
-        assert [(r.id, r.seq) for r in new.collect()] == [("b", 2)]
+    new = keyed.insert_if_absent(rows, stored, "id", F.col("seq"))
+    assert [(r.id, r.seq) for r in new.collect()] == [("b", 2)]
+    new = keyed.insert_if_absent(rows, None, "id", F.col("seq"))
+    assert sorted((r.id, r.seq) for r in new.collect()) == [("a", 1), ("b", 2)]
 
 
 def test_keys_and_limits_of_the_other_tables(spark):
