@@ -33,14 +33,14 @@ LOG_BATCH = 500
 
 _RULES = [
     # id, tenant, name, type, threshold, condition, enabled, channels
-    ("r01", "cust-0", "Locked out", "AUTH_EVENT", None, "action == 'LOGIN_FAILURE'", True, ["slack"]),
+    ("r01", "cust-0", "Badge refused", "AUTH_EVENT", None, "action == 'BADGE_REFUSED'", True, ["slack"]),
     ("r02", "cust-1", "Rated file touched", "FILE_ACCESS", "MEDIUM", None, True, ["slack", "email"]),
-    ("r03", "cust-2", "Strange table read", None, None, "resource == 'customers_table' and anomalous", True, ["email"]),
+    ("r03", "cust-2", "Strange table read", None, None, "resource == 'client_register' and anomalous", True, ["email"]),
     ("r04", "cust-2", None, "DATA_EXPORT", "CRITICAL", None, True, ["slack"]),
     ("r05", "cust-3", None, None, "LOW", None, True, ["pager", "slack"]),
     ("r06", "cust-3", "Switched off", None, None, None, False, ["slack"]),
-    ("r07", "cust-4", "Customer table or strange", None, None, "resource.contains('customers') || anomalous", True, ["email"]),
-    ("r08", "cust-4", "Outside address", None, None, "ipAddress != null && !ipAddress.startsWith('10.')", True, ["slack"]),
+    ("r07", "cust-4", "Client register or strange", None, None, "resource.contains('client') || anomalous", True, ["email"]),
+    ("r08", "cust-4", "Inside address", None, None, "ipAddress != null && !ipAddress.startsWith('203.0.')", True, ["slack"]),
     ("r09", "cust-4", None, None, None, "T(java.io.File).listRoots() != null", True, ["slack"]),
     ("r10", "cust-4", None, None, None, "resource", True, ["slack"]),
     ("r11", "cust-0", 'High "risk"', None, "HIGH", "  ", True, ["email", "email"]),
@@ -136,11 +136,11 @@ def audit_events(spark: SparkSession, sf_dir: str, streaming: bool = False) -> D
         .when(k < 50, F.lit("DATABASE_QUERY"))
         .otherwise(F.lit("API_CALL")),
         "resource": F.when(k % 10 == 0, none)
-        .when(k % 3 == 0, F.lit("customers_table"))
-        .when(k % 3 == 1, F.lit("orders_table"))
+        .when(k % 3 == 0, F.lit("client_register"))
+        .when(k % 3 == 1, F.lit("stock_register"))
         .otherwise(F.concat(F.lit("profile:"), user)),
         "action": F.when(kind == "view", F.lit("PROFILE_VIEW"))
-        .when(kind == "signup", F.when(k < 30, F.lit("LOGIN_FAILURE")).otherwise(F.lit("LOGIN_SUCCESS")))
+        .when(kind == "signup", F.when(k < 30, F.lit("BADGE_REFUSED")).otherwise(F.lit("BADGE_ACCEPTED")))
         .when(kind == "error", F.lit("GRANT"))
         .when(kind == "purchase", F.lit("EXPORT"))
         .when(k < 50, F.lit("SELECT"))
@@ -246,7 +246,7 @@ def requests(spark: SparkSession, sf_dir: str, streaming: bool = False) -> DataF
         F.when(which == 3, F.lit("BOGUS"))
         .when(which != 4, F.when(F.col("event_type") == "purchase", F.lit("DATA_EXPORT")).otherwise(F.lit("API_CALL")))
         .alias("type"),
-        F.when(which == 5, F.repeat(F.lit("r"), 600)).otherwise(F.lit("orders_table")).alias("resource"),
+        F.when(which == 5, F.repeat(F.lit("r"), 600)).otherwise(F.lit("stock_register")).alias("resource"),
     )
 
 

@@ -26,10 +26,10 @@ audit_raw AS (
     CASE event_type WHEN 'view' THEN 'FILE_ACCESS' WHEN 'signup' THEN 'AUTH_EVENT'
       WHEN 'error' THEN 'PERMISSION_CHANGE' WHEN 'purchase' THEN 'DATA_EXPORT'
       ELSE CASE WHEN k < 50 THEN 'DATABASE_QUERY' ELSE 'API_CALL' END END AS type,
-    CASE WHEN k % 10 = 0 THEN NULL WHEN k % 3 = 0 THEN 'customers_table' WHEN k % 3 = 1 THEN 'orders_table'
+    CASE WHEN k % 10 = 0 THEN NULL WHEN k % 3 = 0 THEN 'client_register' WHEN k % 3 = 1 THEN 'stock_register'
       ELSE concat('profile:', CAST(user_id AS VARCHAR)) END AS resource,
     CASE event_type WHEN 'view' THEN 'PROFILE_VIEW'
-      WHEN 'signup' THEN CASE WHEN k < 30 THEN 'LOGIN_FAILURE' ELSE 'LOGIN_SUCCESS' END
+      WHEN 'signup' THEN CASE WHEN k < 30 THEN 'BADGE_REFUSED' ELSE 'BADGE_ACCEPTED' END
       WHEN 'error' THEN 'GRANT' WHEN 'purchase' THEN 'EXPORT'
       ELSE CASE WHEN k < 50 THEN 'SELECT' ELSE 'GET' END END AS action,
     CASE WHEN event_type = 'click' AND k < 50
@@ -93,7 +93,7 @@ requests AS (
     CASE WHEN event_id % 50 = 2 THEN NULL ELSE concat('cust-', CAST(user_id % 5 AS VARCHAR)) END AS customer_id,
     CASE WHEN event_id % 50 = 3 THEN 'BOGUS' WHEN event_id % 50 = 4 THEN NULL
       WHEN event_type = 'purchase' THEN 'DATA_EXPORT' ELSE 'API_CALL' END AS type,
-    CASE WHEN event_id % 50 = 5 THEN repeat('r', 600) ELSE 'orders_table' END AS resource
+    CASE WHEN event_id % 50 = 5 THEN repeat('r', 600) ELSE 'stock_register' END AS resource
   FROM events),
 checked AS (
   SELECT *, CASE WHEN coalesce(trim(event_id), '') = '' THEN 'eventId is required'
@@ -169,13 +169,13 @@ _ENRICHED_JSON = _json_event(controls="controls_json", anomalous="CAST(anomalous
 
 _RULES = """
 rules(rule_id, tenant, name, event_type, min_rank, channels) AS (VALUES
-  ('r01', 'cust-0', 'Locked out', 'AUTH_EVENT', -1, ['slack']),
+  ('r01', 'cust-0', 'Badge refused', 'AUTH_EVENT', -1, ['slack']),
   ('r02', 'cust-1', 'Rated file touched', 'FILE_ACCESS', 1, ['slack', 'email']),
   ('r03', 'cust-2', 'Strange table read', NULL, -1, ['email']),
   ('r04', 'cust-2', NULL, 'DATA_EXPORT', 3, ['slack']),
   ('r05', 'cust-3', NULL, NULL, 0, ['pager', 'slack']),
-  ('r07', 'cust-4', 'Customer table or strange', NULL, -1, ['email']),
-  ('r08', 'cust-4', 'Outside address', NULL, -1, ['slack']),
+  ('r07', 'cust-4', 'Client register or strange', NULL, -1, ['email']),
+  ('r08', 'cust-4', 'Inside address', NULL, -1, ['slack']),
   ('r11', 'cust-0', 'High "risk"', NULL, 2, ['email', 'email']),
   ('r12', 'cust-9', NULL, NULL, -1, ['slack'])),
 matches AS (
@@ -184,10 +184,10 @@ matches AS (
   WHERE (r.event_type IS NULL OR r.event_type = e.type)
     AND coalesce(list_position(['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'], e.risk_level), 0) - 1 >= r.min_rank
     AND CASE r.rule_id
-      WHEN 'r01' THEN coalesce(action = 'LOGIN_FAILURE', false)
-      WHEN 'r03' THEN anomalous AND coalesce(resource = 'customers_table', false)
-      WHEN 'r07' THEN resource IS NOT NULL AND (contains(resource, 'customers') OR anomalous)
-      WHEN 'r08' THEN ip_address IS NOT NULL AND NOT starts_with(ip_address, '10.')
+      WHEN 'r01' THEN coalesce(action = 'BADGE_REFUSED', false)
+      WHEN 'r03' THEN anomalous AND coalesce(resource = 'client_register', false)
+      WHEN 'r07' THEN resource IS NOT NULL AND (contains(resource, 'client') OR anomalous)
+      WHEN 'r08' THEN ip_address IS NOT NULL AND NOT starts_with(ip_address, '203.0.')
       ELSE true END)"""
 
 _ALERTS = f"""
@@ -317,11 +317,11 @@ FROM customer GROUP BY c_nationkey"""
     sql["rule_matches"] = _with(*_MATCHED) + "SELECT rule_id, event_id, risk_level FROM matches"
     sql["rule_conditions"] = (
         _with(*_ENRICHED)
-        + """SELECT 'r01' AS rule_id, event_id FROM enriched WHERE customer_id = 'cust-0' AND action = 'LOGIN_FAILURE'
-UNION ALL SELECT 'r03', event_id FROM enriched WHERE customer_id = 'cust-2' AND anomalous AND resource = 'customers_table'
+        + """SELECT 'r01' AS rule_id, event_id FROM enriched WHERE customer_id = 'cust-0' AND action = 'BADGE_REFUSED'
+UNION ALL SELECT 'r03', event_id FROM enriched WHERE customer_id = 'cust-2' AND anomalous AND resource = 'client_register'
 UNION ALL SELECT 'r07', event_id FROM enriched WHERE customer_id = 'cust-4' AND resource IS NOT NULL
-  AND (resource LIKE '%customers%' OR anomalous)
-UNION ALL SELECT 'r08', event_id FROM enriched WHERE customer_id = 'cust-4' AND ip_address NOT LIKE '10.%'"""
+  AND (resource LIKE '%client%' OR anomalous)
+UNION ALL SELECT 'r08', event_id FROM enriched WHERE customer_id = 'cust-4' AND ip_address NOT LIKE '203.0.%'"""
     )
     sql["alert_dispatch"] = (
         _with(*_MATCHED)
