@@ -67,8 +67,10 @@ def by_text(rows):
 
 @pytest.mark.parametrize("batches", [1, 7])
 def test_line_dedup(docs, batches):
-    got = line_dedup.dedup_lines(docs.drop("_doc"), batches)
-    assert got.columns == [*docs.drop("_doc").columns, "n_lines", "n_dropped"]
+    clashing = docs.withColumns({c: F.lit(c) for c in ("_drop", "_lines", "n_lines")})
+    got = line_dedup.dedup_lines(clashing, batches)
+    assert got.columns == [*clashing.drop("n_lines").columns, "n_lines", "n_dropped"]
+    assert {r._doc for r in got.collect()} == {"_doc"} and {r._drop for r in got.collect()} == {"_drop"}
     rows = [(r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got.collect()]
     assert by_text(rows) == by_text(brute_lines([(i, t) for i, t, _, _ in TEXTS]))
     assert {r.n_chars == len(r.text) for r in got.collect()} == {True}
@@ -115,6 +117,10 @@ def test_mixing(docs):
     for r in got:
         want[r.doc_id] += r.copies
     assert times == +want
+    clashing = docs.withColumns({c: F.lit(c) for c in ("_source", "_total", "_target", "_copies", "_copy")})
+    again = mixing.mix(clashing)
+    assert again.columns == clashing.columns
+    assert collections.Counter(r.doc_id for r in again.collect()) == +want
 
 
 def test_mixing_comes_near_its_targets(spark):
@@ -159,6 +165,15 @@ def test_near_duplicates(docs, width):
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in got if r.kept}
 
 
+def test_one_of_repeated_rows_stays(spark):
+    rows = [(1, SAME, 1), (1, SAME.upper(), 1), (1, "other words", 1), (2, NEAR, 1), (2, NEAR, 1), (None, SAME, 1), (None, SAME, 1), (None, "", 1), (None, None, 1), (3, "", 1), (3, "", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _of int")
+    got = near_dup.one_of_each(docs)
+    assert got.columns == docs.columns
+    fold = lambda rows: collections.Counter((i, None if t is None else t.lower()) for i, t, _ in rows)
+    assert fold(got.collect()) == fold([rows[0], rows[2], rows[5], *rows[7:]])
+
+
 def test_chains_of_near_copies(spark):
     """Neighbours are similar enough, the ends are not; the smallest id is no good centre."""
     base = [f"t{i}" for i in range(60)]
@@ -244,6 +259,32 @@ def test_quality_distance(spark):
     assert not got[100].kept and not got[101].kept and got[102].kept
 
 
+def test_quality_is_alike_at_every_size(spark):
+    """A junk document is rejected alone and among many, and good ones get the same verdict however many there are."""
+    good = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1").select("doc_id")
+    prose = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en'").join(good, "doc_id").orderBy("doc_id")
+    prose = [(-i, t, "en") for i, t in enumerate((r.text for r in prose.limit(150).collect() if len(words(r.text)) >= 20), 1)]
+    junk = (1000, " | ".join(f"rare{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(120)), "en")
+    foreign = [(2000 + k, " ".join(f"x{chr(97 + k)}{chr(97 + j % 26)} y{chr(97 + j // 26)}" for j in range(60)), lang) for k, lang in enumerate(("xx", None))]
+    whole = {}
+    for n in (len(prose), 15, 1, 0):
+        frame = spark.createDataFrame([*prose[:n], junk, *foreign], "doc_id long, text string, lang string")
+        got = {r.doc_id: r.kept for r in quality.judge_documents(frame).collect()}
+        assert not got[1000] and got[2000] and got[2001] and len(got) == n + 3
+        whole = whole or got
+        assert got.items() <= whole.items()
+    assert sum(whole.values()) >= 0.95 * len(whole)
+
+
+def test_quality_with_clashing_columns(docs):
+    names = ("n_words", "n_all", "common", "classes", "kept", "_t", "_w", "_lang", "_of", "ref_words", "Ref_Classes")
+    plain = quality.judge_documents(docs)
+    got = quality.judge_documents(docs.withColumns({c: F.lit(c) for c in names}))
+    assert set(got.columns) == {*plain.columns, *(c for c in names if c[0] in "_rR")}
+    assert by_text(got.select(*plain.columns).collect()) == by_text(plain.collect())
+    assert {(r._t, r._lang, r.Ref_Classes) for r in got.collect()} == {("_t", "_lang", "Ref_Classes")}
+
+
 def test_secrets_base(docs, spark):
     more = [
         (60, 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" and PassWord:secret1 api-key api_key=abc12 apikey:"abcdef"'),
@@ -352,6 +393,21 @@ NAMED = [
         (f'<div class="section" id="cookies"><h2>Cookies</h2><p>{STORY}</p></div>', f"Cookies\n{STORY}"),
     )),
     ('<article class="post has-comments"><p>One</p></article>', "One"),
+    # paragraphs and sections that are about what their name says, and names that mark no part of the page
+    *((f"<article><p>{STORY}</p>{inner}</article>", f"{STORY}\n{kept}") for inner, kept in (
+        (f'<p class="teaser">{STORY}</p>', STORY), ('<p class="byline">By A. Writer</p>', "By A. Writer"),
+        (f'<p class="alert">{STORY}</p>', STORY), (f'<p class="related">{STORY}</p>', STORY),
+        (f'<div id="disclaimer"><p>{STORY}</p></div>', STORY),
+        (f'<section class="social"><h2>Social</h2><p>{STORY}</p></section>', f"Social\n{STORY}"),
+    )),
+    *((f"<article><p>{STORY}</p>{inner}</article>", STORY) for inner in (
+        '<p class="related"><a href=x>A linked story of the same kind as this one here</a></p>', f'<p class="ad">{STORY}</p>',
+        f'<p class="share ad">{STORY}</p>', '<p class="share">Share this</p>', f'<section class="notice"><p>{STORY}</p></section>')),
+    # several articles
+    (f"<body><article><p>{STORY}</p><p>{STORY}</p></article><article><h2>Two</h2><p>{STORY}</p></article></body>", f"{STORY}\n{STORY}\nTwo\n{STORY}"),
+    (f"<body><article><p>{STORY}</p></article><article><a href=x>{STORY}</a></article></body>", STORY),
+    (f"<body><article><p>{STORY}</p></article><aside><article><p>{STORY}</p></article></aside></body>", STORY),
+    (f"<body><main><p>{STORY}</p><p>{STORY}</p></main><article><p>{STORY}</p></article></body>", f"{STORY}\n{STORY}"),
     # whole names and known compounds still mark
     *((f"<article><p>{STORY}</p><{tag}><p>{STORY}</p></{tag.split()[0]}></article>", STORY) for tag in (
         'div class="share-buttons"', 'div id="relatedPosts"', 'div class="box cookie_banner"', 'div class="ad-1"', 'div class="alert"',

@@ -4,10 +4,12 @@ The standard library's parser streams a page; block elements end a line. Each
 line has the ratio of its text to the tags inside it. The ratios are smoothed
 with a Gaussian, and the lines above a threshold form clusters. The cluster
 with the most text shows which element holds the content: the article or main
-element around it, or else the smallest one that can hold blocks, has nearly
+element around it, with every article beside it that has a cluster, or else the smallest one that can hold blocks, has nearly
 all of the cluster and leaves no running text, title or other cluster outside.
 From that element every line is taken, however short, that does not stand in a
-menu, header, footer, sidebar, notice, advert, form or comment.
+menu, header, footer, sidebar, notice, advert, form or comment. Paragraphs and
+sections that are named like these by their subject stay if they hold running
+text.
 """
 
 from __future__ import annotations
@@ -44,15 +46,15 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 #: Classes and ids that mark, as a whole, what is not content.
 MARKS = frozenset(
-    "ad ads adbox adsense advert advertisement advertising adverts alert banner breadcrumb breadcrumbs byline comment comments consent "
-    "cookie cookies disclaimer disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices "
-    "popup promo promotion recommended related share sharing sidebar signup social sponsor sponsored subscribe teaser teasers toolbar widget".split())
+    "ad ads adbox adsense advert advertisement advertising adverts alert banner breadcrumb breadcrumbs comment comments consent "
+    "cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices "
+    "popup promo promotion recommended related share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
 #: Compounds that do so, too: each word of the first list with each of the second, however they are joined.
 COMPOUNDS = frozenset(
     a + b for first, second in (
         ("ad ads advert advertisement adsense google googlead sponsored", "ad ads area banner box container label placeholder slot space unit wrap wrapper"),
         ("blog bottom footer global header left main mobile page primary right secondary side site top", "breadcrumb breadcrumbs footer menu nav navbar navigation sidebar toolbar"),
-        ("page site top", "banner header masthead"), ("article blog entry page post user", "byline comment comments footer share sharing teaser"),
+        ("page site top", "banner header masthead"), ("article blog entry page post user", "comment comments footer share sharing"),
         ("breadcrumb breadcrumbs menu nav navbar navigation sidebar", "bar container inner links list menu nav wrap wrapper"),
         ("comment comments", "area author body container content form list meta reply respond section text thread wrap wrapper"),
         ("consent cookie cookies gdpr privacy", "alert banner bar box consent message modal notice overlay popup"),
@@ -64,6 +66,11 @@ COMPOUNDS = frozenset(
     ) for a in first.split() for b in second.split())
 #: Ids that mark a section even if it holds running text; others are as often made from its heading.
 SECTION_MARKS = frozenset("ad ads adbox adsense advert advertisement adverts breadcrumb breadcrumbs comment comments disqus nav navbar sidebar".split())
+#: Marks that are as often the subject of a paragraph or section: these are content if they hold running text.
+SUBJECTS = frozenset("alert related recommended share sharing social".split())
+PARAGRAPHS = frozenset("blockquote p pre".split())
+#: Classes of a section that say what it is for, not what it is about.
+LISTINGS = frozenset("related recommended".split())
 #: What an article or main element is called that is not the page's content.
 CONTENT_MARKS = frozenset("comment comments related teaser".split())
 #: Characters outside of links in a line of running text.
@@ -98,6 +105,7 @@ class Line:
     unlinked: int  # characters outside of links
     doubtful: tuple[int, ...]
     title: bool  # within a heading of the first level
+    article: int = -1  # number of the outermost article around it, or -1 if there is none or it lies in a main element or an aside
 
 
 @lru_cache(4096)
@@ -117,6 +125,14 @@ def _named(tag: str, attr: str, value: str) -> bool:
     return any(known or name in MARKS and not (tag in HEADINGS and name == "header") for name, known in names)
 
 
+def _subject(tag: str, attr: str, value: str, section: bool) -> bool:
+    """A mark that may as well say what the element is about."""
+    if attr == "id" and section:
+        return _name(value.strip())[0] not in SECTION_MARKS
+    marks = {name for name, known in map(_name, value.split()) if known or name in MARKS}
+    return (tag in PARAGRAPHS and marks <= SUBJECTS) or (section and marks <= SUBJECTS - LISTINGS)
+
+
 def _marked(tag: str, attrs: list[tuple[str, str | None]]) -> tuple[bool, bool]:
     """Whether an element is not content, and whether it is not unless it holds running text."""
     section = tag == "section" or (tag == "div" and any(n == "class" and "section" in (v or "").lower().split() for n, v in attrs))
@@ -130,7 +146,7 @@ def _marked(tag: str, attrs: list[tuple[str, str | None]]) -> tuple[bool, bool]:
         if name == "role" and value in ROLES:
             return True, False
         if name in ("class", "id") and tag not in ("html", "body") and _named(tag, name, value):
-            if name == "class" or not section or _name(value.strip())[0] in SECTION_MARKS:
+            if not _subject(tag, name, value, section):
                 return True, False
             doubtful = True
     return False, doubtful
@@ -147,6 +163,7 @@ class LineParser(HTMLParser):
         self.tags = 0
         self.linked = 0
         self.number = 0
+        self.beside: set[int] = set()  # articles that begin in a menu, sidebar or the like
 
     def _flush(self) -> None:
         text = " ".join("".join(self.parts).split())
@@ -155,7 +172,9 @@ class LineParser(HTMLParser):
             inside = next((e.number for e in reversed(self.open) if e.tag in CONTENT), -1)
             doubtful = self.open[-1].doubtful if self.open else ()
             title = any(e.tag == "h1" for e in self.open)
-            self.lines.append(Line(text, self.tags, path, inside, max(0, len(text) - self.linked), doubtful, title))
+            outer = [e for e in self.open if e.tag in CONTENT]
+            article = -1 if not outer or self.beside.intersection(e.number for e in outer) or any(e.tag == "main" for e in outer) else outer[0].number
+            self.lines.append(Line(text, self.tags, path, inside, max(0, len(text) - self.linked), doubtful, title, article))
         self.parts, self.tags, self.linked = [], 0, 0
 
     @property
@@ -190,6 +209,8 @@ class LineParser(HTMLParser):
         skipped = tag in HIDDEN or tag in ASIDE or marked
         if tag in CONTENT and not skipped:
             # content does not begin inside what was left open
+            if self.skipping:
+                self.beside.add(self.number + 1)
             while self.skipping and self.open[-1].tag not in HIDDEN and not any(e.tag in CONTENT for e in self.open):
                 self.open.pop()
         if tag in HEADINGS and self._article_header():
@@ -287,9 +308,11 @@ def main_lines(lines: list[Line]) -> list[str]:
     marked = {x.inside for x in lines if x.inside >= 0}
     inside = [n for n in held if n in marked]
     if inside:
-        # the outermost article or main element that the content lies in
+        # the outermost article or main element that the content lies in, and the articles beside it with a cluster of their own
         chosen = max(inside, key=lambda n: (held[n], -n))
-        return [x.text for x in lines if chosen in x.path]
+        articles = {lines[i].article for run in runs for i in run if own[i] >= limit and _running(lines[i])}
+        taken = articles - {-1} | {chosen} if any(x.article == chosen for x in lines) else {chosen}
+        return [x.text for x in lines if not taken.isdisjoint(x.path)]
     if marked:
         sizes = {n: sum(len(x.text) for x in lines if n in x.path) for n in marked}
         chosen = max(sizes, key=lambda n: (sizes[n], -n))
