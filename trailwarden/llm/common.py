@@ -41,6 +41,17 @@ def folded(text: Column) -> Column:
     return F.lower(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column has, in whatever case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
 def lacks(df: DataFrame) -> bool:
     """No row at all; reads one row at most."""
     return not df.take(1)

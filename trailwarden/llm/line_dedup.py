@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailwarden.llm.common import BLANKS, folded, saved, table
+from trailwarden.llm.common import BLANKS, folded, saved, table, unused
 from trailwarden.session import new_workdir
 
 MIN_LENGTH = 10
@@ -132,27 +132,30 @@ def dedup_lines(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """Documents without the lines that a document with a smaller id holds.
 
     Adds ``n_lines`` and ``n_dropped``; ``text`` holds the lines that stay and
-    ``n_chars``, if there is one, its length. All other columns stay.
+    ``n_chars``, if there is one, its length. All other columns stay, but for
+    columns named like the two counts, which give way to them.
 
     Null and empty texts are one empty line, which is never dropped. Rows that
     repeat a doc_id are one document: none of them loses a line to another.
     Rows without doc_id count together as the document behind all others. An
     empty table gives an empty table.
     """
-    drops = dropped_lines(docs, batches).select(F.col("doc").alias("_doc"), F.col("drop").alias("_drop"))
+    held = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    doc, drop, cut, stay = unused(docs, "_doc", "_drop", "_lines", "_kept")
+    drops = dropped_lines(docs, batches).select(F.col("doc").alias(doc), F.col("drop").alias(drop))
     lines = F.arrays_zip(_lines(docs).alias("line"), key_hashes(_lines(docs)).alias("k"))
-    keeps = F.filter("_lines", lambda x: x["k"].isNull() | ~F.array_contains("_drop", x["k"]))
-    joined = docs.withColumn("_doc", F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST_ID))).join(drops, "_doc", "left")
-    hit = F.col("_drop").isNotNull()
-    kept = joined.withColumn("_lines", F.when(hit, lines)).withColumn("_kept", F.when(hit, keeps))
-    text = F.when(hit, F.array_join(F.col("_kept.line"), "\n")).otherwise(F.coalesce(F.col("text"), F.lit("")))
+    keeps = F.filter(cut, lambda x: x["k"].isNull() | ~F.array_contains(drop, x["k"]))
+    joined = docs.select(*held, F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST_ID)).alias(doc)).join(drops, doc, "left")
+    hit = F.col(drop).isNotNull()
+    kept = joined.withColumn(cut, F.when(hit, lines)).withColumn(stay, F.when(hit, keeps))
+    text = F.when(hit, F.array_join(F.col(stay)["line"], "\n")).otherwise(F.coalesce(F.col("text"), F.lit("")))
     total = F.size(F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)).cast("long")
     out = kept.withColumn("n_lines", total).withColumn(
-        "n_dropped", F.when(hit, (F.size("_lines") - F.size("_kept")).cast("long")).otherwise(F.lit(0).cast("long"))
+        "n_dropped", F.when(hit, (F.size(cut) - F.size(stay)).cast("long")).otherwise(F.lit(0).cast("long"))
     ).withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns, "n_lines", "n_dropped")
+    return out.select(*held, "n_lines", "n_dropped")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailwarden.llm.common import WORD, saved, table
+from trailwarden.llm.common import WORD, saved, table, unused
 from trailwarden.operators.ranking import with_row_index
 
 WEIGHTS = (1, 2, 3)
@@ -82,12 +82,13 @@ def with_copies(docs: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame) -> DataFrame:
     """Every document as often as the mix takes it; the columns stay as they are."""
+    source, total, target, copies = unused(docs, "_source", "_total", "_target", "_copies")
     targets = saved(
         source_targets(docs.select("source", n_words(docs["text"]).alias("size"))), "mix-targets"
-    ).select(F.col("source").alias("_source"), F.col("source_size").alias("_total"), F.col("target").alias("_target"))
-    joined = docs.join(targets, docs["source"].eqNullSafe(F.col("_source")))
-    counted = joined.withColumn("_copies", _copies(F.col("_total"), F.col("_target"), docs["doc_id"])).where("_copies > 0")
-    return counted.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    ).select(F.col("source").alias(source), F.col("source_size").alias(total), F.col("target").alias(target))
+    joined = docs.join(targets, docs["source"].eqNullSafe(F.col(source)))
+    counted = joined.withColumn(copies, _copies(F.col(total), F.col(target), docs["doc_id"])).where(F.col(copies) > 0)
+    return counted.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(copies))).alias(copies)).select(*docs.columns)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

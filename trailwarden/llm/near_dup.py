@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailwarden.llm.common import lacks, saved, table
+from trailwarden.llm.common import folded, lacks, saved, table, unused
 from trailwarden.llm.components import components
 from trailwarden.llm.words import chunks, split_words
 
@@ -326,9 +326,25 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: int = SIMIL
 
 
 def one_of_each(docs: DataFrame, width: int = WIDTH, similarity: int = SIMILARITY) -> DataFrame:
-    """The documents that stand for their component, columns as they are."""
-    gone = near_duplicates(docs, width, similarity).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(saved(gone, "near-gone"), "doc_id", "left_anti").select(*docs.columns)
+    """The documents that stand for their component, columns as they are.
+
+    Of rows that share a doc_id and the words of their text one stays; so it
+    does of rows without doc_id that share their words, which are compared with
+    nothing else. Rows without words all stay, those of a document that goes
+    excepted.
+    """
+    found = saved(near_duplicates(docs, width, similarity).select("doc_id", "kept"), "near-found")
+    stays = docs.join(found.where(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    (of,) = unused(docs, "_of")
+    again = saved(found.where("kept").groupBy(F.col("doc_id").alias(of)).count().where("count > 1").select(of), "near-again")
+    if lacks(again):
+        return stays
+    words = F.filter(F.split(folded(F.coalesce(docs["text"], F.lit(""))), r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
+    same = F.col("doc_id").eqNullSafe(F.col(of))
+    repeated = stays.join(again, same, "left_semi").withColumn(of, F.sha2(F.array_join(words, " "), 256))
+    blank = F.col(of) == F.sha2(F.lit(""), 256)
+    once = repeated.where(~blank).dropDuplicates(["doc_id", of]).unionAll(repeated.where(blank))
+    return stays.join(again, same, "left_anti").unionAll(once.select(*docs.columns))
 
 
 def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,12 @@
 """Quality rules by distribution divergence, in DataFrame functions only.
 
 Every document gets two histograms: its characters by class, and the common
-words of its language. Both are compared with the reference of the language -
-the mean shares over all of its documents - by Jensen-Shannon distance. Short
-documents say too little about a distribution and are not judged by it.
+words of its language. Both are compared with the reference of the language by
+Jensen-Shannon distance. The reference is the mean of the shares of all its
+documents and of usual shares, which count as some documents more: a language
+with few documents is judged by what is usual, one with many by its own, and
+no number of documents switches the rule on. Short documents say too little
+about a distribution and are not judged by it.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailwarden.llm.common import BLANKS, saved, table
+from trailwarden.llm.common import BLANKS, saved, table, unused
 
 MIN_WORDS = 20
 WINDOW = 8
@@ -27,8 +30,8 @@ BOTH_CHARACTER_DISTANCE = 0.145
 BOTH_WORD_DISTANCE = 0.25
 MIN_CHARACTERS = 200
 MIN_HISTOGRAM_WORDS = 40
-#: A language needs so many documents for a reference.
-MIN_DOCUMENTS = 20
+#: The usual shares count as so many documents in a language's reference.
+PRIOR_DOCUMENTS = 20
 #: Shares are summed as whole millionths, so that sums do not depend on their order.
 UNIT = 1_000_000
 EDGES = ".,;:!?\"'()"
@@ -41,6 +44,17 @@ COMMON_WORDS = {
     "fr": "au avec dans de des du elle en est et il la le les par pas pour que qui un une",
 }
 CLASSES = ("upper", "digit", "symbol", "mark", "blank", "letter")
+#: Usual shares per thousand in prose of these languages, of the classes in their order and of the words above in theirs.
+USUAL_CLASSES = (30, 5, 2, 30, 160, 773)
+USUAL_WORDS = {
+    "de": (7, 10, 12, 12, 35, 8, 36, 7, 6, 7, 8, 18, 9, 9, 9, 8, 27, 10, 10, 3),
+    "en": (21, 28, 5, 7, 5, 6, 5, 9, 4, 20, 10, 10, 33, 7, 11, 60, 5, 26, 9, 7),
+    "es": (7, 9, 62, 12, 32, 26, 9, 38, 12, 7, 17, 9, 8, 10, 32, 12, 8, 12, 9, 28),
+    "fr": (6, 5, 8, 50, 15, 12, 4, 13, 9, 24, 8, 29, 24, 18, 6, 5, 8, 9, 8, 12, 10),
+}
+#: The counts and verdicts a judged document has.
+MEASURES = ("n_all", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_digit", "common", "classes")
+VERDICTS = ("base_failed", "character_distance", "word_distance", "kept")
 
 
 def _sum(terms: list[Column]) -> Column:
@@ -93,16 +107,24 @@ def common_counts(words: Column, lang: Column) -> Column:
     return out
 
 
-def measures(docs: DataFrame) -> DataFrame:
-    """The columns of ``docs`` without its text, and all counts the rules use."""
+def measures(docs: DataFrame, language: str = "_lang") -> DataFrame:
+    """The columns of ``docs`` without its text, its language, and all counts the rules use.
+
+    Columns of ``docs`` that are named like a count or a verdict give way to it.
+    """
+    held = [c for c in docs.columns if c.lower() not in ("text", *MEASURES, *VERDICTS)]
+    text_column, word_column = unused(docs, "_t", "_w")
     text = F.coalesce(docs["text"], F.lit(""))
-    cut = docs.withColumn("_t", text).withColumn("_w", F.filter(F.split(text, r"[\x20\x09-\x0D]+", -1), lambda w: w != ""))
-    lines = F.filter(F.split("_t", "\n", -1), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
-    t, w = F.col("_t"), F.col("_w")
-    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
+    t, w = F.col(text_column), F.col(word_column)
+    lang = docs["lang"] if "lang" in docs.columns else F.lit(None).cast("string")
+    cut = docs.select(
+        *(docs[c] for c in held), lang.alias(language), text.alias(text_column),
+        F.filter(F.split(text, r"[\x20\x09-\x0D]+", -1), lambda w: w != "").alias(word_column))
+    lines = F.filter(F.split(t, "\n", -1), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
+    lang = F.col(language)
     counted = cut.select(
-        *(c for c in docs.columns if c != "text"),
-        lang.alias("_lang"),
+        *held,
+        language,
         F.char_length(t).cast("long").alias("n_all"),
         F.size(w).cast("long").alias("n_words"),
         F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"),
@@ -129,17 +151,28 @@ def _shares(counts: Column, total: Column) -> Column:
     return F.transform(F.concat(counts, F.array(rest)), lambda c: F.floor(c * UNIT / total))
 
 
-def references(measured: DataFrame) -> DataFrame:
-    """Per language the summed shares of all documents long enough to be judged by them: _of, docs, ref_classes, ref_words."""
+def _usual() -> dict[str, tuple[list[int], list[int]]]:
+    """Per listed language what the usual shares add to the sums, in the order of a document's histograms."""
+    out = {}
+    for lang, listed in COMMON_WORDS.items():
+        whole = [[*shares, 1000 - sum(shares)] for shares in (USUAL_CLASSES, USUAL_WORDS[lang])]
+        assert len(whole[1]) == len(listed.split()) + 1
+        out[lang] = tuple([x * UNIT // 1000 * PRIOR_DOCUMENTS for x in shares] for shares in whole)
+    return out
+
+
+def references(measured: DataFrame, language: str = "_lang") -> DataFrame:
+    """Per language the summed shares of the usual and of all documents long enough to be judged by them: language, ref_classes, ref_words."""
+    n_classes, widest = len(CLASSES) + 1, max(len(v.split()) for v in COMMON_WORDS.values()) + 1
     long_enough = (F.col("n_all") >= MIN_CHARACTERS) & (F.col("n_words") >= MIN_HISTOGRAM_WORDS)
-    shared = measured.where(long_enough).select("_lang", _shares(F.col("classes"), F.col("n_all")).alias("c"), _shares(F.col("common"), F.col("n_words")).alias("w"))
+    shared = measured.where(long_enough).select(language, _shares(F.col("classes"), F.col("n_all")).alias("c"), _shares(F.col("common"), F.col("n_words")).alias("w"))
+    counts = lambda shares: F.array(*(F.lit(x).cast("long") for x in shares))
+    usual = [F.struct(F.lit(lang).alias(language), counts(c).alias("c"), counts(w).alias("w")) for lang, (c, w) in _usual().items()]
+    usual = measured.sparkSession.range(0, 1, 1, 1).select(F.inline(F.array(*usual)))
     sums = lambda name, n: [F.sum(F.get(F.col(name), F.lit(i))).alias(f"{name}{i}") for i in range(n)]
-    widest = max(len(v.split()) for v in COMMON_WORDS.values()) + 1
-    n_classes = len(CLASSES) + 1
-    summed = shared.groupBy("_lang").agg(F.count("*").alias("docs"), *sums("c", n_classes), *sums("w", widest))
+    summed = shared.unionByName(usual).groupBy(language).agg(*sums("c", n_classes), *sums("w", widest))
     whole = lambda name, n: F.array(*(F.coalesce(F.col(f"{name}{i}"), F.lit(0)).cast("double") for i in range(n)))
-    return summed.where(F.col("docs") >= MIN_DOCUMENTS).select(
-        F.col("_lang").alias("_of"), "docs", whole("c", n_classes).alias("ref_classes"), whole("w", widest).alias("ref_words"))
+    return summed.select(language, whole("c", n_classes).alias("ref_classes"), whole("w", widest).alias("ref_words"))
 
 
 def distance(counts: Column, total: Column, reference: Column) -> Column:
@@ -165,23 +198,26 @@ def judge_documents(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have no words and fail the base rules. A document that
     is too short for a histogram, or whose language (null counts as one) has no
-    common words listed or too few documents, is not judged by it. Repeated
-    rows are judged each; an empty table gives an empty table.
+    common words listed, is not judged by it; the character classes of such a
+    language are compared with those of its own documents alone. Repeated rows
+    are judged each; an empty table gives an empty table. Columns named like a
+    count or a verdict give way to it.
     """
-    measured = saved(measures(docs), "quality-measures")
-    refs = saved(references(measured), "quality-references")
-    joined = measured.join(refs, F.col("_lang").eqNullSafe(F.col("_of")), "left")
+    language, of, classes, common = unused(docs, "_lang", "_of", "ref_classes", "ref_words")
+    measured = saved(measures(docs, language), "quality-measures")
+    refs = saved(references(measured, language), "quality-references").toDF(of, classes, common)
+    joined = measured.join(refs, F.col(language).eqNullSafe(F.col(of)), "left")
     words, total = F.col("n_words"), F.col("n_all")
     failed = (words < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * words)
-    by_class = F.when(total >= MIN_CHARACTERS, distance(F.col("classes"), total, F.col("ref_classes")))
-    by_word = F.when(words >= MIN_HISTOGRAM_WORDS, distance(F.col("common"), words, F.col("ref_words")))
+    by_class = F.when(total >= MIN_CHARACTERS, distance(F.col("classes"), total, F.col(classes)))
+    by_word = F.when(words >= MIN_HISTOGRAM_WORDS, distance(F.col("common"), words, F.col(common)))
     by = lambda name, limit: F.coalesce(F.col(name) > limit, F.lit(False))
     far = (
         by("character_distance", MAX_CHARACTER_DISTANCE) | by("word_distance", MAX_WORD_DISTANCE)
         | (by("character_distance", BOTH_CHARACTER_DISTANCE) & by("word_distance", BOTH_WORD_DISTANCE))
     )
     out = joined.withColumns({"base_failed": failed, "character_distance": by_class, "word_distance": by_word})
-    return out.withColumn("kept", ~F.col("base_failed") & ~far).drop("_lang", "_of", "docs", "ref_classes", "ref_words", "classes", "common")
+    return out.withColumn("kept", ~F.col("base_failed") & ~far).drop(language, of, classes, common, "classes", "common")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,6 +232,10 @@ def _sql() -> str:
     lists = ", ".join(
         f"('{lang}', [{', '.join(repr(w) for w in listed.split())}])" for lang, listed in COMMON_WORDS.items()
     )
+    usual = ", ".join(
+        f"('{lang}', '{kind}', {k}, {n})"
+        for lang, histograms in _usual().items() for kind, shares in zip("cw", histograms) for k, n in enumerate(shares, 1)
+    )
     edges = EDGES.replace("'", "''")
     js = "sqrt(greatest(list_sum(list_transform(list_zip({own}, {ref}), lambda x: ({p} + {q}) / 2)), 0))"
 
@@ -206,6 +246,7 @@ def _sql() -> str:
 
     return rf"""
 WITH lists(l, listed) AS (VALUES {lists}),
+usual(lang, kind, k, s) AS (VALUES {usual}),
 cut AS (
   SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), windows AS (
@@ -243,10 +284,12 @@ cut AS (
   SELECT lang, 'w', unnest(common), generate_subscripts(common, 1), n_words FROM whole
   WHERE n_all >= {MIN_CHARACTERS} AND n_words >= {MIN_HISTOGRAM_WORDS}
 ), sums AS (
-  SELECT lang, kind, k, sum(floor(n * {UNIT} / total)) AS s, count(*) AS docs FROM shares GROUP BY ALL
+  SELECT lang, kind, k, sum(s) AS s FROM (
+    SELECT lang, kind, k, floor(n * {UNIT} / total) AS s FROM shares UNION ALL SELECT * FROM usual
+  ) GROUP BY lang, kind, k
 ), refs AS (
   SELECT lang, list(s ORDER BY k) FILTER (WHERE kind = 'c') AS ref_c, list(s ORDER BY k) FILTER (WHERE kind = 'w') AS ref_w
-  FROM sums GROUP BY lang HAVING max(docs) >= {MIN_DOCUMENTS}
+  FROM sums GROUP BY lang
 ), far AS (
   SELECT x.*, x.n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * x.n_words AS base_failed,
     CASE WHEN n_all >= {MIN_CHARACTERS} THEN {distance_sql("classes", "n_all", "ref_c")} END AS cd,
