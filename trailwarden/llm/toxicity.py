@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -127,19 +128,29 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -
 def learn_lexicon(training: DataFrame) -> Lexicon:
     """Words found in many toxic and almost no clean documents; texts of the same words count once."""
 
-    def spread(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            sets = [sorted(words_of(t or "")) for t in frame["text"]]  # with beginnings
-            yield pd.DataFrame({"sketch": [_digest(s) for s in sets], "toxic": frame["toxic"].astype("int32"), "words": sets})
+    def digests(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: _digest(sorted(words_of(t or ""))), na_action=None)
 
-    once = training.mapInPandas(spread, "sketch long, toxic int, words array<string>")
-    once = saved(once.withColumn("word", F.explode("words")).select("sketch", "toxic", "word").distinct(), "toxic-words")
-    totals = dict(once.select("sketch", "toxic").distinct().groupBy("toxic").count().collect())
+    def tallies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high in chunks(batch.column("text"), CHUNK_BYTES):
+                part = batch.slice(low, high - low)
+                counts = (Counter(), Counter())
+                for text, toxic in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist()):
+                    counts[toxic > 0].update(words_of(text or ""))  # with beginnings
+                words = list(counts[0].keys() | counts[1].keys())
+                columns = [pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in reversed(counts))]
+                yield pa.RecordBatch.from_arrays(columns, ["word", "bad", "good"])
+
+    # rows of the same words are dropped before their words are spread, so that only counts are shuffled
+    sketched = training.withColumn("sketch", F.pandas_udf(digests, "long")("text"))
+    once = saved(sketched.select("sketch", "toxic", "text").dropDuplicates(["sketch", "toxic"]), "toxic-distinct")
+    totals = dict(once.groupBy("toxic").count().collect())
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
     if not toxic:
         return Lexicon([])
-    counts = once.groupBy("word").agg(
-        F.sum(F.col("toxic")).alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
+    counts = once.select("toxic", "text").mapInArrow(tallies, "word string, bad long, good long")
+    counts = counts.groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     ratio = (F.col("bad") / toxic) / ((F.col("good") + 0.5) / (clean + 1))
     best = counts.withColumn("ratio", ratio).where((F.col("bad") >= max(MIN_TOXIC, MIN_SHARE * toxic)) & (F.col("ratio") >= MIN_RATIO))
     chosen = best.orderBy(F.desc("bad"), F.desc("ratio"), "word").limit(LEXICON_WORDS)
