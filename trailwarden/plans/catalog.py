@@ -32,6 +32,7 @@ from trailwarden.sinks.tables import (
     write_evidence,
     write_metadata,
 )
+from trailwarden.sinks.compaction import compact_table
 from trailwarden.sinks.purge import purge_metadata, surviving
 from trailwarden.sources import collectors, events as event_source, querylog
 from trailwarden.sources.marks import Marks, log_collector
@@ -632,3 +633,31 @@ def stream_insert_many(spark, sf_dir):
             events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(stores.path("deliveries"))
             _finish(streams.metadata_stream(en.detect_anomalies(events), stores, _checkpoint(stores)))
     return _flat_metadata(read_table(spark, stores, "metadata"))
+
+
+@query
+def compacted_store(spark, sf_dir):
+    """Five batches, merged on the way and at the end, with replays of merged batches: stored rows per event."""
+    stores = Stores(new_workdir(spark, "compacted"), period="month", buckets=4)
+    tables = ("evidence", "versions", "metadata")
+
+    def deliver(*batches):
+        for k in batches:
+            fan_out(en.detect_anomalies(fx.delivery(spark, sf_dir, k)), default_sinks(stores)[:2], k)
+
+    deliver(0, 1, 2)
+    for table in tables:
+        compact_table(spark, stores, table, least=2)
+    deliver(1, 3, 4)  # the second batch again, after it was merged
+    for table in tables:
+        compact_table(spark, stores, table, least=2)
+    deliver(0)
+    event_id = F.col("eventId").alias("event_id")
+    rows = [
+        read_table(spark, stores, "evidence").select(event_id, F.lit("evidence_rows").alias("store")),
+        read_table(spark, stores, "versions").select(event_id, F.lit("version_rows").alias("store")),
+        read_table(spark, stores, "metadata").select("event_id", F.lit("metadata_rows").alias("store")),
+    ]
+    count = lambda name: F.count_if(F.col("store") == name).alias(name)
+    stored = rows[0].unionByName(rows[1]).unionByName(rows[2])
+    return stored.groupBy("event_id").agg(count("evidence_rows"), count("version_rows"), count("metadata_rows"))

@@ -484,6 +484,10 @@ UNION ALL SELECT 'mysql-general-log:acme-crm', count(*), count(*) FROM customer
     sql["stream_dedupe"] = _with(*_STORED) + _metadata_rows()
     sql["stream_insert_many"] = sql["stream_dedupe"]
     sql["purge_store"] = sql["retention_kept"]
+    sql["compacted_store"] = (
+        _with(_AUDIT_RAW, _REPLAYED)
+        + "SELECT event_id, count(*) AS evidence_rows, count(*) AS version_rows, 1 AS metadata_rows FROM replayed GROUP BY event_id"
+    )
     later = "SELECT * REPLACE (CASE WHEN seq % 7 = 0 THEN ts + INTERVAL 10 DAY ELSE ts END AS ts) FROM audit_raw"
     sql["evidence_store_window"] = sql["evidence_query"].replace("FROM (SELECT * FROM audit_raw) r", f"FROM ({later}) r")
     sql["agent_to_raw"] = sql["agent_forward"].replace("SELECT seq, event_id", "SELECT event_id")

@@ -15,6 +15,7 @@ from trailwarden.operators.retention import (
     purge_summary,
 )
 from trailwarden.sinks.folders import drop_folders
+from trailwarden.sinks.idindex import MERGED
 from trailwarden.sinks.tables import Stores, day_folders, read_table
 
 
@@ -41,6 +42,7 @@ def purge_metadata(
     # Folder names only: one per stored day, and at most one per batch of one day.
     names = [n for n in day_folders(spark, stores, "metadata", last=day) if n != f"event_date={day}"]
     names += [f"event_date={day}/writer={r.writer}/batch_id={r.batch_id}" for r in emptied.collect()]
+    names.append(f"event_date={day}/writer={MERGED}")  # what is left of merged batches gets folders of their own again
     (
         left.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

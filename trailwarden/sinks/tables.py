@@ -15,6 +15,11 @@ Layouts
   quarantine writer / batch_id                records that did not decode
   violations writer / batch_id                rows the metadata table refuses
 
+Small folders of many batches are merged (see ``compaction``) into folders of a
+writer of its own, whose rows name the writer and batch they are from. A batch
+that has a folder of its own counts by that folder alone, so a replay after a
+merge replaces what was merged, and a merge cut off half way changes nothing.
+
 Evidence has no folder per tenant: their number would grow with the tenants and
 with every batch. Its rows are sorted by tenant and time instead, so the Parquet
 statistics let a tenant's query skip the rest. ``rebalance`` gathers the rows of
@@ -28,6 +33,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 from datetime import date, timedelta
+from typing import NamedTuple
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
@@ -49,7 +55,7 @@ from trailwarden.operators.matching import PreparedRules, build_alerts
 from trailwarden.operators.validation import split_rows
 from trailwarden.schemas import ALERT, AUDIT_EVENT, EVENT_COLUMNS, METADATA
 from trailwarden.sinks.folders import folders
-from trailwarden.sinks.idindex import IdIndex
+from trailwarden.sinks.idindex import MERGED, IdIndex
 from trailwarden.sources.events import RECORD
 
 
@@ -128,9 +134,67 @@ _SCHEMAS = {
 }
 
 
-def table_schema(table: str) -> T.StructType:
+#: Tables whose folders are merged, and how their files are sorted.
+SORTED = {
+    "evidence": ("event_date", "customerId", "timestamp"),
+    "versions": ("tenants", "customerId", "timestamp"),
+    "metadata": ("event_date", "occurred_at"),
+}
+_ORIGIN = T.StructType([T.StructField("of_writer", T.StringType()), T.StructField("of_batch", T.LongType())])
+#: Folders listed to set replayed batches apart are broadcast up to this number, some 100 bytes each.
+BROADCAST_FOLDERS = 100_000
+#: Fixed value: what stands for null in a folder's name.
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+
+
+def table_schema(table: str, merged: bool = False) -> T.StructType:
     keys = [T.StructField(n, T._parse_datatype_string(t)) for n, t in _PARTITIONS[table]]
-    return T.StructType(_SCHEMAS[table].fields + keys)
+    return T.StructType(_SCHEMAS[table].fields + (_ORIGIN.fields if merged else []) + keys)
+
+
+class BatchFolder(NamedTuple):
+    """What a batch, or a merge, wrote to one day or tenant bucket."""
+
+    head: str
+    writer: str
+    batch: int
+
+    @property
+    def name(self) -> str:
+        return f"{self.head}/writer={self.writer}/batch_id={self.batch}"
+
+
+def batch_folders(spark: SparkSession, stores: Stores, table: str, writer: str = "*") -> list[BatchFolder]:
+    key = _PARTITIONS[table][0][0]
+    found = (n.split("/") for n in folders(spark, stores.path(table), f"{key}=", below=f"writer={writer}/batch_id=*"))
+    return [BatchFolder(h, w.removeprefix("writer="), int(b.removeprefix("batch_id="))) for h, w, b in found]
+
+
+def read_folders(spark: SparkSession, stores: Stores, table: str, names: list[str], merged: bool = False) -> DataFrame:
+    root, schema = stores.path(table), table_schema(table, merged)
+    reader = spark.read.schema(schema).option("basePath", root)
+    return reader.parquet(*[f"{root}/{n}" for n in names]) if names else spark.createDataFrame([], schema)
+
+
+def merged_rows(spark: SparkSession, stores: Stores, table: str, merges: list[BatchFolder], single: list[BatchFolder]) -> DataFrame:
+    """Merged rows under the writer and batch they are from.
+
+    Of the merges of a day or bucket the last counts; batches among ``single``
+    have a folder of their own there and are left out.
+    """
+    key = _PARTITIONS[table][0][0]
+    newest: dict[str, BatchFolder] = {}
+    for f in merges:
+        newest[f.head] = max(f, newest.get(f.head, f))
+    rows = read_folders(spark, stores, table, [f.name for f in newest.values()], merged=True)
+    rows = rows.withColumns({"writer": F.col("of_writer"), "batch_id": F.col("of_batch")}).drop("of_writer", "of_batch")
+    beside = [tuple(f) for f in single if f.head in newest]
+    if not beside:
+        return rows
+    listed = spark.createDataFrame(beside, "_head string, _writer string, _batch bigint")
+    head = F.concat(F.lit(f"{key}="), F.coalesce(F.col(key).cast("string"), F.lit(NO_VALUE)))
+    same = (head == F.col("_head")) & (F.col("writer") == F.col("_writer")) & (F.col("batch_id") == F.col("_batch"))
+    return rows.join(F.broadcast(listed) if len(beside) <= BROADCAST_FOLDERS else listed, same, "left_anti")
 
 
 def day_folders(
@@ -151,16 +215,22 @@ def read_table(
     """
     schema = table_schema(table)
     root = stores.path(table)
-    reader = spark.read.schema(schema)
-    if first or last:
-        paths = [f"{root}/{n}" for n in day_folders(spark, stores, table, first, last)]
-        return reader.option("basePath", root).parquet(*paths) if paths else spark.createDataFrame([], schema)
-    try:
-        return reader.parquet(root)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" in (e.getCondition() or ""):
-            return spark.createDataFrame([], schema)
-        raise
+    names = day_folders(spark, stores, table, first, last) if first or last else None
+    if names is not None:
+        rows = read_folders(spark, stores, table, names)
+    else:
+        try:
+            rows = spark.read.schema(schema).parquet(root)
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" in (e.getCondition() or ""):
+                return spark.createDataFrame([], schema)
+            raise
+    wanted = lambda found: [f for f in found if names is None or f.head in set(names)]
+    merges = wanted(batch_folders(spark, stores, table, MERGED)) if table in SORTED else []
+    if not merges:
+        return rows
+    single = [f for f in wanted(batch_folders(spark, stores, table)) if f.writer != MERGED]
+    return rows.where(F.col("writer") != MERGED).unionByName(merged_rows(spark, stores, table, merges, single))
 
 
 def _write(df: DataFrame, stores: Stores, table: str, batch_id: int) -> None:
@@ -196,10 +266,8 @@ def write_evidence(events: DataFrame, stores: Stores, batch_id: int) -> DataFram
 
 def _own_rows(spark: SparkSession, stores: Stores, table: str, batch_id: int) -> DataFrame:
     """What a batch wrote to a dated table, from its own folders alone."""
-    root, schema = stores.path(table), table_schema(table)
-    paths = [f"{root}/{n}" for n in folders(spark, root, "event_date=", below=f"writer={stores.writer}/batch_id={batch_id}")]
-    reader = spark.read.schema(schema).option("basePath", root)
-    return reader.parquet(*paths) if paths else spark.createDataFrame([], schema)
+    names = folders(spark, stores.path(table), "event_date=", below=f"writer={stores.writer}/batch_id={batch_id}")
+    return read_folders(spark, stores, table, names)
 
 
 def _any(seen: Observation, name: str) -> bool:
