@@ -399,6 +399,12 @@ def _inserted(rng: random.Random, cues: list[str], words: list[str]) -> tuple[li
     return [cue + sign, value], [0, 1]
 
 
+def _unsure(words: list[str], tags: list[int]) -> list[bool]:
+    """Tokens that may be secrets although no base pattern says so: letters with digits beside a cue."""
+    mixed = [not t and len(w) >= MIN_CUED and any(map(str.isdigit, w)) and any(map(str.isalpha, w)) for w, t in zip(words, tags)]
+    return [m and cue_beside(words, i) for i, m in enumerate(mixed)]
+
+
 def _training_windows(texts: Iterable[str], seed: int = 0) -> list[tuple[list[list[str]], list[int]]]:
     """Windows around base spans, odd-looking tokens and cues, and at the start.
 
@@ -406,12 +412,18 @@ def _training_windows(texts: Iterable[str], seed: int = 0) -> list[tuple[list[li
     usual passwords included, in its place and another cue before it, so that the field learns what a
     secret is like and not just the kinds that the sample happens to hold. Into
     every text a cue is put, half of the time with an invented value, so that
-    the field learns both from samples with few base spans.
+    the field learns both from samples with few base spans. Windows end at
+    tokens of the sample that may be secrets without a base span: they teach
+    neither label, however many texts hold such.
     """
     out, rng = [], random.Random(seed)
 
-    def add(words: list[str], tags: list[int], i: int, text: str) -> None:
+    def add(words: list[str], tags: list[int], i: int, text: str, unsure: list[bool]) -> None:
         low, high = max(0, i - WINDOW), min(len(words), i + WINDOW + 1)
+        if any(unsure[i : i + 1]):
+            return
+        low = max([low, *(k + 1 for k in range(low, min(i, high)) if unsure[k])])
+        high = min([high, *(k for k in range(i + 1, high) if unsure[k])])
         rows = features(words[max(0, low - 1) : high + 1], text)[low - max(0, low - 1) :][: high - low]
         if rows:
             out.append((rows, tags[low:high]))
@@ -422,11 +434,12 @@ def _training_windows(texts: Iterable[str], seed: int = 0) -> list[tuple[list[li
         if not places:
             continue
         words, tags = [text[a:b] for a, b in places], silver_tags(text, places)
+        unsure = _unsure(words, tags)
         hits = [i for i, t in enumerate(tags) if t == 1]
         odd = [i for i, w in enumerate(words) if not tags[i] and (len(w) > 14 or any(map(str.isdigit, w)))]
         cued = [i for i, w in enumerate(words) if not tags[i] and w.strip(PUNCTUATION).lower() in CUES]
         for i in [*hits[:WINDOWS], *odd[:WINDOWS], *cued[:WINDOWS], WINDOW]:
-            add(words, tags, i, text)
+            add(words, tags, i, text, unsure)
         for i in hits[:WINDOWS]:
             other = list(words)
             quote = rng.choice(("", '"', "'"))
@@ -434,10 +447,10 @@ def _training_windows(texts: Iterable[str], seed: int = 0) -> list[tuple[list[li
             for k in range(max(0, i - 2), i):
                 if KEYWORD.search(other[k]):
                     other[k] = rng.choice(cues) + rng.choice(("", "", ":", "="))
-            add(other, tags, i, text)
+            add(other, tags, i, text, unsure)
         at = rng.randrange(len(words) + 1)
         more, marks = _inserted(rng, cues, words)
-        add(words[:at] + more + words[at:], tags[:at] + marks + tags[at:], at, text)
+        add(words[:at] + more + words[at:], tags[:at] + marks + tags[at:], at, text, unsure[:at] + [False] * len(more) + unsure[at:])
     return out
 
 
