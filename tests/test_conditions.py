@@ -9,8 +9,11 @@ from trailwarden.operators.conditions import (
     ConditionError,
     compile_all,
     compile_condition,
+    lifted,
     rule_errors,
 )
+from trailwarden.operators import matching
+from trailwarden.operators.matching import match_rules, prepare_rules
 
 FULL = {
     "type": "DATA_EXPORT", "resource": "billing_ledgers", "ipAddress": "198.51.100.23", "riskLevel": "HIGH",
@@ -144,3 +147,63 @@ def test_malformed_patterns_disable_only_their_rule(spark, rules_of):
     listed = rule_errors(rules_of(*[{"conditionExpression": t} for t in texts]), conditions).collect()
     assert {r.ruleId for r in listed} == {"r0", "r1"}
     assert conditions.match(F.lit(3)) is not None
+
+
+MORE = [
+    ("action == 'y' 'es'", True, False),
+    ("action == 'it''s' or resource == \"billing_ledgers\"", True, False),
+    ("resource.length() > 14.5 and -1 < resource.length()", True, False),
+    ("tags[\"k\"] == 'v' and action matches 'y.s' and 007 == 7", True, False),
+    ("'\x01s' == '\x01s'", True, True),
+]
+
+
+def test_shapes_with_their_values_match_as_the_texts_do(spark, events_of):
+    events = events_of(FULL, BARE)
+    cases = CASES + MORE
+    texts = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(cases)], "n int, text string")
+    shaped = texts.withColumn("_", lifted(F.col("text"))).select("n", "text", "_.*")
+    shapes = {r.n: r.ruleShape for r in shaped.select("n", "ruleShape").collect()}
+    conditions = compile_all(spark, sorted(set(shapes.values())))
+    ids = spark.createDataFrame([(n, conditions.ids[s]) for n, s in shapes.items()], "n int, id int")
+    rows = events.crossJoin(shaped.join(ids, "n")).select("n", "eventId", conditions.match(F.col("id")).alias("holds")).collect()
+    got = {(r.n, r.eventId): r.holds for r in rows}
+    for n, (text, full, bare) in enumerate(cases):
+        assert (got[n, "evt-0"], got[n, "evt-1"]) == (full, bare), text
+
+
+def test_shapes_leave_out_texts_and_numbers_only(spark):
+    texts = ["a == 'x' and b > 12.5", 'a == "it""s" and b > 3.5', "user1 == 5", "a matches ('x') and b == 'y' and c == 1",
+             "a == 'x", "\x01s == 1", "a == 12345678901234567890", "'x' + 1"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "n int, t string").select("n", lifted(F.col("t")).alias("_")).select("n", "_.*")
+    rows = frame.orderBy("n").collect()
+    assert rows[0].ruleShape == rows[1].ruleShape == "\x01a == \x01s and b > \x01d"
+    assert (rows[1].ruleTexts, rows[1].ruleDecimals) == (['it"s'], [3.5])
+    assert (rows[2].ruleShape, rows[2].ruleIntegers) == ("\x01user1 == \x01i", [5])
+    assert rows[3].ruleShape == "\x01a matches ('x') and b == \x01s and c == 1"
+    assert rows[4].ruleShape == texts[4] and rows[6].ruleShape == texts[6]
+    for row in rows[4:]:
+        with pytest.raises(ConditionError):
+            compile_condition(row.ruleShape)
+    with pytest.raises(ConditionError):  # no text of a tenant's own is a parameter
+        compile_condition(rows[5].ruleShape)
+
+
+def test_a_condition_per_rule_is_one_shape_and_a_join_key(spark, events_of, rules_of):
+    rules = rules_of(*[
+        {"customerId": "cust-1", "conditionExpression": f"anomalous and userId == 'u{i}'", "eventType": "AUTH_EVENT" if i == 3 else None}
+        for i in range(matching.KEYED_RULES)
+    ], {"customerId": "cust-1", "conditionExpression": "resource == 'r'"})
+    prepared = prepare_rules(rules)
+    assert len(prepared.conditions.ids) == 2
+    events = events_of(
+        {"userId": "u1", "anomalous": True, "resource": "r"}, {"userId": "u2"}, {"userId": "u3", "anomalous": True},
+        {"userId": None, "anomalous": True}, {"userId": "u3", "type": "AUTH_EVENT", "anomalous": True})
+    want = {("evt-0", "r1"), ("evt-0", f"r{matching.KEYED_RULES}"), ("evt-4", "r3")}
+    none = {("evt-1", None), ("evt-2", None), ("evt-3", None)}
+    for small in (True, False):
+        for how, expected in (("inner", want), ("left", want | none)):
+            found = match_rules(events, prepared, how, small).select("eventId", "ruleId")
+            assert sorted(map(tuple, found.collect()), key=str) == sorted(expected, key=str)
+        plan = match_rules(events, prepared, "inner", small)._jdf.queryExecution().optimizedPlan().toString()
+        assert "userId=" in plan
