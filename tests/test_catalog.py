@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from trailwarden.plans import catalog
 from trailwarden.plans.catalog import all_queries
 from trailwarden.plans.oracles import all_oracles
 
@@ -44,3 +45,14 @@ def test_query(spark, sql, name):
 def test_flagship(spark):
     frame = entry.entry(spark)
     assert frame.count() > 0 and frame.columns[0] == "alert_id"
+
+
+def test_deliveries_are_written_by_all_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(catalog, "new_workdir", lambda spark, name: str(tmp_path / name))
+    base = spark.read.parquet(f"{SF_DIR}/events.parquet")
+    base.repartition(4).write.parquet(str(tmp_path / "sf" / "events.parquet"))
+    rows = all_queries()["stream_insert_many"](spark, str(tmp_path / "sf"))
+    assert rows.count() == base.count()
+    root = tmp_path / "insert-many"
+    assert len(list((root / "deliveries").glob("part-*"))) == 5 * 4
+    assert len(list((root / "_checkpoints" / "commits").glob("[0-9]*"))) == 5
