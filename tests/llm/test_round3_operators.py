@@ -260,3 +260,21 @@ def test_bounds_are_reached_by_binary_search(spark):
     for bounds in ([], [4], [0, 5, 10], [-5, 0, 3, 4, 9]):
         got = {r[0]: r[1] for r in frame.select("page_id", warc.shard_of(frame.page_id, bounds)).collect()}
         assert got == {i: sum(b <= (warc.LAST_ID if i is None else i) for b in bounds) for i in ids}
+
+
+def test_packing_tokenizes_a_bounded_part_of_a_batch_at_a_time(monkeypatch):
+    from trailwarden.llm import packing
+
+    seen, encode = [], packing.WordEncoder.encode
+
+    def watched(self, texts):
+        seen.append(sum(len(t) for t in texts.to_pylist()))
+        return encode(self, texts)
+
+    monkeypatch.setattr(packing.WordEncoder, "encode", watched)
+    text = "some plain words and more " * 4_000
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(60)), "text": [text] * 60})
+    cut = pa.Table.from_batches(packing._cut([batch], packing.VOCABULARY, 2048, False))
+    assert len(seen) > 1 and max(seen) <= 2 << 20
+    assert cut.column("doc_id").unique().to_pylist() == list(range(60))
+    assert len(set(zip(cut.column("piece").to_pylist(), cut.column("ids_crc32").to_pylist()))) == cut.num_rows // 60
