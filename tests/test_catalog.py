@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from trailwarden.plans import catalog
+from trailwarden.plans import catalog, fixtures
 from trailwarden.plans.catalog import all_queries
 from trailwarden.plans.oracles import all_oracles
 
@@ -56,3 +56,13 @@ def test_deliveries_are_written_by_all_tasks(spark, tmp_path, monkeypatch):
     root = tmp_path / "insert-many"
     assert len(list((root / "deliveries").glob("part-*"))) == 5 * 4
     assert len(list((root / "_checkpoints" / "commits").glob("[0-9]*"))) == 5
+
+
+def test_deliveries_make_only_their_own_events(spark):
+    whole = fixtures.replayed_events(spark, SF_DIR)
+    parts = [fixtures.delivery(spark, SF_DIR, k) for k in range(5)]
+    rows = lambda df: sorted((r.seq, r.customerId, r.riskLevel, r.eventId) for r in df.collect())
+    assert sorted(sum(map(rows, parts), [])) == rows(whole)
+    for part in parts:
+        plan = part._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        assert any("Filter" in line for line in plan[next(i for i, x in enumerate(plan) if "Generate" in x) + 1 :])
