@@ -88,6 +88,14 @@ def test_line_runs_are_compacted(spark):
     runs.forget()
 
 
+def test_buckets_of_line_runs_grow_with_the_keys(spark, monkeypatch):
+    pairs = spark.range(1000).select(F.col("id").alias("doc"), F.col("id").alias("h1"), F.col("id").alias("h2"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert line_dedup._buckets(pairs) <= min(2 * spark.sparkContext.defaultParallelism, parts)
+    monkeypatch.setattr(line_dedup, "BUCKET_KEYS", 9)
+    assert line_dedup._buckets(pairs) == 112 and line_dedup._buckets(pairs.limit(0)) >= 1
+
+
 def test_mixing(docs):
     got = mixing.with_copies(docs).collect()
     sizes = collections.Counter()

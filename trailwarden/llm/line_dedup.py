@@ -26,6 +26,8 @@ from trailwarden.session import new_workdir
 MIN_LENGTH = 10
 BATCHES = 4
 FANOUT = 3
+#: Keys of the corpus to a bucket of a run, some 4 MB: the buckets grow with the corpus, not with a setting.
+BUCKET_KEYS = 250_000
 #: Rows without an id count as one document behind all others.
 LAST_ID = (1 << 63) - 1
 
@@ -91,6 +93,13 @@ class LineRuns:
         self.levels = []
 
 
+def _buckets(pairs: DataFrame) -> int:
+    """Buckets of a run: one for ``BUCKET_KEYS`` pairs, two a core at least, unless the shuffle setting is less."""
+    session = pairs.sparkSession
+    least = min(2 * session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+    return max(least, -(-pairs.count() // BUCKET_KEYS))
+
+
 def _batch_edges(pairs: DataFrame, batches: int) -> list[int]:
     """Ids at which a batch ends; where they lie changes the work, never the result."""
     ids = pairs.where(F.col("doc") < LAST_ID)
@@ -108,7 +117,7 @@ def dropped_lines(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     )
     pairs = saved(pairs, "line-pairs")
     edges = _batch_edges(pairs, batches)
-    runs, lost = LineRuns(spark), []
+    runs, lost = LineRuns(spark, buckets=_buckets(pairs)), []
     bounds = list(zip([None, *edges], [*edges, None]))
     for low, high in bounds:
         batch = pairs
