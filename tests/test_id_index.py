@@ -54,6 +54,26 @@ def test_a_small_batch_reads_its_buckets_only(spark, tmp_path):
     assert [r.event_id for r in rows.collect()] == ["e7"]
 
 
+def test_a_first_batch_asks_nobody(spark, tmp_path, monkeypatch):
+    asked, stored = [], IdIndex.stored
+    monkeypatch.setattr(IdIndex, "stored", lambda *a: asked.append(a[-1]) or stored(*a))
+    index = IdIndex(str(tmp_path / "ids"), 4)
+    for _ in range(2):  # its replay neither
+        assert claimed(index.claim(ids_of(spark, "a", "b", "a"), "w", 0)) == ["a", "b"]
+    assert claimed(index.claim(ids_of(spark, "b", "c", "c"), "w", 1)) == ["c"]
+    assert asked == [1]
+
+
+def test_many_rows_of_few_ids_are_looked_up_by_value(spark, tmp_path, monkeypatch):
+    index = IdIndex(str(tmp_path / "ids"), 4)
+    index.claim(ids_of(spark, *[f"e{i}" for i in range(50)]), "w", 0)
+    copies = ids_of(spark, *["e7", "e8"] * 20)
+    wanted = lambda: sorted(r.event_id for r in index.stored(spark, copies, "w", 1).where("event_id IN ('e7', 'e8')").collect())
+    assert wanted() == ["e7", "e8"] and sorted(r.event_id for r in index.stored(spark, copies, "w", 1).collect()) == ["e7", "e8"]
+    monkeypatch.setattr("trailwarden.sinks.idindex.PUSHED_ROWS", 10)  # too many rows to ask: the buckets as they are
+    assert wanted() == ["e7", "e8"] and index.stored(spark, copies, "w", 1).count() > 2
+
+
 def test_full_buckets_are_merged(spark, tmp_path):
     index = IdIndex(str(tmp_path / "ids"), 2)
     for k in range(3):
