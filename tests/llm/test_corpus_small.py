@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -198,6 +199,30 @@ def test_chains_of_near_copies(spark):
     assert got == brute_components(rows, 4)
 
 
+def test_unlike_members_of_a_family_are_not_all_compared(spark, monkeypatch):
+    """Texts made of the same few changes, most of them too far from all others, meet those only that share many."""
+    draw = random.Random(5)
+    base, rows = [f"w{i}" for i in range(300)], []
+    for i in range(400):
+        words = list(base)
+        for place in draw.sample(range(4, 300, 5), draw.choice([1, 6, 12, 12, 12])):
+            words[place] = f"x{place}"
+        if i % 5 == 4:  # a copy of a copy
+            words = rows[-1][1].split()
+            words[draw.randrange(300)] = "y"
+        rows.append((1000 - i, " ".join(words)))
+    compared, links = [], near_dup._links
+
+    def counted(edges, *rest):
+        compared.append(edges.count())
+        return links(edges, *rest)
+
+    monkeypatch.setattr(near_dup, "_links", counted)
+    got = sorted(tuple(r) for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect())
+    assert got == brute_components(rows, 4) and 100 < len({r[2] for r in got}) < 300
+    assert sum(compared) < 20 * len(rows), compared
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(1, 60)] + [(100, k) for k in range(101, 150)] + [(7, 7), (7, 7)]
     got = dict(components.components(spark.createDataFrame(links, "a long, b long")).collect())

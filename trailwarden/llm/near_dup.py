@@ -5,17 +5,17 @@ is hashed once; the hash's leading bits are the bin and the least hash in each
 bin is kept. An empty bin copies the first filled one on a walk of its own over
 all bins. Bands of bins are buckets.
 
-Candidates are stars: the members of a bucket against its smallest document,
-then, in buckets that still hold several components, members against a random
-set of centres that grows from round to round until all members of a bucket
-are centres. Only pairs across components are formed, so a group of n near
-copies costs about n pairs, not n * n, and yet no pair that shares a bucket
-and could join two components stays untested. What keeps the rest small in a
-group whose members differ too much is a bound: shingles that no other document
-of the open buckets has cannot be shared, and of the others a pair shares at
-most the smaller count in each class of hashes. A pair that could not be similar
-enough even so is never formed. Links are confirmed on whole sets. With 32 bands of 4, a pair at the threshold shares no bucket with a
-probability of 5e-8.
+Candidates are the members of a bucket against its smallest document, then what
+that leaves apart: members of buckets that still hold several components. Those
+of all buckets with the same largest component are a group, and its smallest
+document the group's centre. A set is written as its difference to the centre's,
+a short list in a group of near copies, and how much of it two similar sets must
+share follows from the sizes. So only documents meet that share one of their
+rarest differences; who is close to the centre needs one link to the closest
+of all. No pair that shares a bucket and could join two components is passed
+over, and a group of n near copies costs about n pairs, even if many of them
+differ too much to be linked. Links are confirmed on whole sets. With 32 bands
+of 4, a pair at the threshold shares no bucket with a probability of 5e-8.
 """
 
 from __future__ import annotations
@@ -25,26 +25,24 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trailwarden.llm.common import folded, lacks, saved, table, unused
+from trailwarden.llm.common import BLANKS, folded, lacks, saved, table, unused
 from trailwarden.llm.components import components
-from trailwarden.llm.words import chunks, split_words
+from trailwarden.llm.words import chunks
 
 WIDTH = 5
 SIMILARITY = 80  # per cent
 BINS = 128
 ROWS = 4
 BANDS = BINS // ROWS
-#: Centres of a bucket in the second round, and how many times more in each that follows.
-CENTRES = 8
-GROWTH = 32
-#: Classes of shingles, by hash, in the bound on what a pair can share.
-CLASSES = 32
-#: Words whose hashes a task remembers.
-CACHE_WORDS = 500_000
+#: Classes of shingles, by hash, in the bound on how far two sets are apart.
+CLASSES = 1024
+#: Longer words are hashed one by one.
+LONG_WORD = 256
 
 _BIN_SHIFT = np.uint64(64 - (BINS - 1).bit_length())
 _ODD = (np.random.default_rng(7).integers(1, 1 << 63, 8, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -60,12 +58,49 @@ def _finish(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+#: For a word's last bytes: ones where they are.
+_LAST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_LOWER = np.array([k + 32 if 65 <= k <= 90 else k for k in range(256)], np.uint8)
+_BLANK = np.isin(np.arange(256), np.frombuffer(BLANKS.encode(), np.uint8))
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, words per text), A-Z in lower case; nulls have none. Words are what the six ASCII blanks separate."""
+    texts = pc.cast(pc.fill_null(texts, ""), pa.large_string())
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    size = int(ends[-1] - ends[0])
+    if not size:
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    # eight bytes more, since words are read by eights
+    letters = np.zeros(size + 8, np.uint8)
+    np.take(_LOWER, np.frombuffer(data, np.uint8)[ends[0] : ends[-1]], out=letters[:size])
+    ends = ends - ends[0]
+    inner = ~_BLANK[letters[: size + 1]]
+    inner[size] = False
+    cut = np.zeros(size + 1, bool)
+    cut[ends] = True
+    first = np.flatnonzero(inner & (cut | ~np.r_[False, inner[:-1]]))
+    past = np.flatnonzero(inner[:-1] & (cut[1:] | ~inner[1:])) + 1
+    left = past - first
+    eights = np.ndarray(size + 1, "<u8", letters, strides=(1,))
+    out = left.astype(np.uint64)
+    for i in np.flatnonzero(left > LONG_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(letters[first[i] : past[i]])
+    some = np.flatnonzero(left <= LONG_WORD)
+    at, left = first[some], left[some]
+    while len(some):
+        out[some] = _finish(out[some] * _ODD[0] + (eights[at] & _LAST[np.minimum(left, 8)]))
+        more = left > 8
+        some, at, left = some[more], at[more] + 8, left[more] - 8
+    return out, np.diff(np.searchsorted(first, ends))
+
+
 class ShingleHasher:
-    """Sets of shingle hashes of whole texts; words are hashed once and remembered."""
+    """Sets of shingle hashes of whole texts."""
 
     def __init__(self, width: int) -> None:
         self.width = width
-        self.known: dict[str, int] = {}
 
     def _fold(self, columns: list[np.ndarray]) -> np.ndarray:
         out = np.full(len(columns[0]), np.uint64(len(columns)))
@@ -75,14 +110,7 @@ class ShingleHasher:
 
     def sets(self, texts: pa.Array) -> list[np.ndarray]:
         """Sorted different shingle hashes per text; no words, empty set."""
-        index, words, counts = split_words(texts)
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        for word in words:
-            if word not in known:
-                known[word] = xxhash.xxh3_64_intdigest(word)
-        hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))[index]
+        hashes, counts = word_hashes(texts)
         n = len(hashes) - self.width + 1
         rolled = self._fold([hashes[k : k + n] for k in range(self.width)]) if n > 0 else hashes[:0]
         out, at = [], 0
@@ -98,27 +126,36 @@ class ShingleHasher:
         return out
 
 
-def sketch(values: np.ndarray) -> np.ndarray:
-    """One hash per bin of a sorted, not empty set."""
-    bins = (values >> _BIN_SHIFT).astype(np.int64)
-    first = np.flatnonzero(np.r_[True, bins[1:] != bins[:-1]])
-    filled = np.zeros(BINS, bool)
-    filled[bins[first]] = True
-    out = np.zeros(BINS, np.uint64)
-    out[bins[first]] = values[first]
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """One hash per bin of each of some sorted, not empty sets."""
+    values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    places = owner * BINS + (values >> _BIN_SHIFT).astype(np.int64)
+    first = np.flatnonzero(np.r_[True, places[1:] != places[:-1]])
+    out, filled = np.zeros(len(sets) * BINS, np.uint64), np.zeros(len(sets) * BINS, bool)
+    out[places[first]], filled[places[first]] = values[first], True
     empty = np.flatnonzero(~filled)
-    if len(empty):
-        walks = _WALKS[empty]
-        out[empty] = out[walks[np.arange(len(empty)), filled[walks].argmax(1)]]
-    return out
-
-
-def band_keys(values: np.ndarray) -> np.ndarray:
-    rows = sketch(values).reshape(BANDS, ROWS)
-    key = _BAND_SALT.copy()
-    for k in range(ROWS):
-        key = key * _ODD[k] + rows[:, k]
-    return _finish(key).view(np.int64)
+    for step in range(BINS):
+        if not len(empty):
+            break
+        asked = empty // BINS * BINS + _WALKS[empty % BINS, step]
+        found = filled[asked]
+        out[empty[found]] = out[asked[found]]
+        empty = empty[~found]
+    return out.reshape(len(sets), BINS)
+
+
+def band_keys(sets: list[np.ndarray]) -> pa.Array:
+    """The buckets of each set; an empty one has none."""
+    offsets = np.cumsum([0, *(BANDS if len(s) else 0 for s in sets)]).astype(np.int32)
+    full = [s for s in sets if len(s)]
+    key = np.zeros((0, BANDS), np.uint64)
+    if full:
+        rows = sketches(full).reshape(len(full), BANDS, ROWS)
+        key = np.tile(_BAND_SALT, (len(full), 1))
+        for k in range(ROWS):
+            key = key * _ODD[k] + rows[:, :, k]
+        key = _finish(key)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(key.ravel().view(np.int64)))
 
 
 def _digest(values: np.ndarray) -> tuple[int, int]:
@@ -139,7 +176,7 @@ def _sketched(width: int) -> Callable:
                     "n": pa.array([len(s) for s in sets], pa.int64()),
                     "d1": pa.array([d[0] for d in digests], pa.int64()),
                     "d2": pa.array([d[1] for d in digests], pa.int64()),
-                    "bands": pa.array([band_keys(s) if len(s) else s[:0].view(np.int64) for s in sets], pa.list_(pa.int64())),
+                    "bands": band_keys(sets),
                 })
     return run
 
@@ -186,45 +223,87 @@ def _links(edges: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     )
 
 
-def _each_shingle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _differences(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shingles that either a set or that of its group's centre has, not both, in place of the two; and ``odd``,
+    a bit for each class of hashes, set if an odd number of the set's shingles is in it."""
     for batch in batches:
-        sets = batch.column("set")
-        for low, high in chunks(sets):
-            values = [np.frombuffer(sets[i].as_buffer(), np.int64) for i in range(low, high)]
-            owner = pa.array(np.repeat(np.arange(low, high), [len(v) for v in values]))
+        own, centre = batch.column("set"), batch.column("centre")
+        for low, high in chunks(own):
+            values = [np.setxor1d(*(np.frombuffer(x[i].as_buffer(), np.int64) for x in (own, centre)), assume_unique=True) for i in range(low, high)]
+            offsets = np.cumsum([0, *(len(v) for v in values)]).astype(np.int32)
+            apart = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values)))
+            counts = [np.bincount(np.frombuffer(own[i].as_buffer(), np.int64) & (CLASSES - 1), minlength=CLASSES) for i in range(low, high)]
+            odd = [np.packbits(x & 1).view(np.int64) for x in counts]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc").take(owner), batch.column("c").take(owner), pa.array(np.concatenate(values))], ["doc", "c", "h"])
+                [*(batch.column(c).slice(low, high - low) for c in MEMBER), apart, pa.array(odd, pa.list_(pa.int64()))], [*MEMBER, "apart", "odd"])
 
 
-def _class_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        counts = [np.bincount(np.frombuffer(x.as_buffer(), np.int64) & (CLASSES - 1), minlength=CLASSES) for x in batch.column("set")]
-        yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("c"), pa.array(counts, pa.list_(pa.int64()))], ["doc", "c", "v"])
-
-
-def _with_shared(buckets: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """Add ``v0``, ``v1``, ... and their sum ``s``: how many of a document's shingles some other document of
-    these buckets has, by class of hash. Documents that this alone keeps from any link are dropped."""
-    there = saved(buckets.select("doc", "c").distinct(), "near-open-docs")
-    open_sets = saved(sets.join(there, ["doc", "c"], "left_semi"), "near-open-sets")
-    each = open_sets.mapInArrow(_each_shingle, "doc long, c long, h long")
-    once = each.groupBy("h").agg(F.count("*").alias("times"), F.min(F.struct("doc", "c")).alias("of")).where("times = 1")
-    in_class = F.col("h").bitwiseAND(CLASSES - 1)
-    own = once.groupBy("of.doc", "of.c").agg(*(F.count_if(in_class == k).alias(f"own{k}") for k in range(CLASSES)))
-    total = open_sets.mapInArrow(_class_counts, "doc long, c long, v array<bigint>").join(own, ["doc", "c"], "left")
-    shared = [(F.get("v", F.lit(k)) - F.coalesce(f"own{k}", F.lit(0))).cast("int").alias(f"v{k}") for k in range(CLASSES)]
-    counted = total.select("doc", "c", *shared)
-    counted = counted.withColumn("s", reduce(lambda x, y: x + y, (F.col(f"v{k}") for k in range(CLASSES))))
-    joined = buckets.join(saved(counted, "near-shared"), ["doc", "c"])
-    return joined.where(100 * F.col("s") >= similarity * F.col("n"))
-
-
-def _shares_allow(similarity: int):
-    """Whether a pair would be similar enough if it shared all that it can share at all: in each class of
-    shingles, as many as the one that has fewer of them."""
-    enough = lambda both: 100 * both >= similarity * (F.col("an") + F.col("n") - both)
-    by_class = reduce(lambda x, y: x + y, (F.least(f"av{k}", f"v{k}") for k in range(CLASSES)))
-    return enough(F.least("as", "s")) & enough(by_class)
+#: Columns of a member of a group.
+MEMBER = ["main", "doc", "c", "n", "component"]
+
+
+def _across(members: DataFrame, sets: DataFrame, similarity: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) and pairs (a, ac, b, bc) still to confirm: together they join, in each group, what similar documents
+    of different components can join.
+
+    Of two sets that have x and y elements other than the centre and z of these in common, x + y - 2z are in one set
+    only. Be ``w`` = (100 + similarity) * x - (100 - similarity) * n; the sets are similar enough exactly if the sum of
+    both w is at most 2 * (100 + similarity) * z. So whoever needs nothing in common with some document needs nothing
+    in common with the document of the least w, and is linked with that. Every other pair has a member that is not
+    linked so, which bounds z from below for either side; with each side's elements in order, the rarest first, the
+    first common one then is among the first x - z + 1. Classes that are odd in one of two sets only hold, each, a shingle
+    that is in one of them only.
+    """
+    group, one = ["main"], ["main", "doc", "c"]
+    mains = members.select(F.col("main").alias("doc")).distinct()
+    centres = sets.join(mains, "doc").groupBy(F.col("doc").alias("main")).agg(F.min_by("set", "c").alias("centre"))
+    apart = members.join(sets, ["doc", "c"]).join(saved(centres, "near-centres"), group, "left")
+    apart = apart.select(*MEMBER, "set", F.coalesce("centre", F.expr("X''")).alias("centre"))
+    apart = saved(apart.mapInArrow(_differences, "main long, doc long, c long, n long, component long, apart array<bigint>, odd array<bigint>"), "near-apart")
+
+    whole, rest = 100 + similarity, 100 - similarity
+    nodes = apart.select(*MEMBER, F.size("apart").alias("x")).withColumn("w", whole * F.col("x") - rest * F.col("n"))
+    least = nodes.groupBy("main").agg(F.min(F.struct("w", "doc", "c")).alias("least"))
+    nodes = saved(nodes.join(least, group).withColumn("outer", F.col("w") + F.col("least.w") > 0), "near-nodes")
+    links = nodes.where("NOT outer AND doc <> least.doc").select(F.col("least.doc").alias("a"), F.col("doc").alias("b"))
+
+    # what a document must have in common with any other, and with an outer one; sizes alone ask for as much as the last
+    needs = lambda other: F.ceil((F.col("w") + other) / (2 * whole))
+    by_size = F.ceil(F.col("x") - F.col("n") * rest / similarity)
+    first = lambda z: F.col("x") - F.greatest(F.lit(1), z, by_size) + 1
+    nodes = nodes.join(nodes.where("outer").groupBy("main").agg(F.min("w").alias("nearest")), group)
+    nodes = nodes.select(
+        *MEMBER, "x", "w", first(needs(F.col("nearest"))).alias("short"),
+        F.when(F.col("outer"), first(needs(F.col("least.w")))).otherwise(0).alias("long"),
+    ).where("short > 0 OR long > 0")
+    nodes = saved(nodes, "near-nodes")
+
+    each = apart.join(nodes.select(*one), one, "left_semi").select(*one, F.explode("apart").alias("e"))
+    often = each.groupBy("main", "e").agg(F.count("*").alias("often")).where("often > 1")
+    own = Window.partitionBy(*one)
+    met = each.join(often, ["main", "e"]).select(
+        *one, "e", F.row_number().over(own.orderBy("often", "e")).alias("rank"), F.count("*").over(own).alias("met"))
+    # nobody else has the x - met elements that come before these
+    met = met.join(nodes, one).withColumn("rank", F.col("rank") + F.col("x") - F.col("met"))
+    met = saved(met.where(F.col("rank") <= F.greatest("short", "long")), "near-met")
+    side = ["doc", "c", "n", "component", "x", "w", "met"]
+    outer = met.where(F.col("rank") <= F.col("long")).select("main", "e", *(F.col(c).alias(f"o_{c}") for c in [*side, "rank"]))
+    common = F.ceil((F.col("w") + F.col("o_w")) / (2 * whole))
+    pairs = met.where(F.col("rank") <= F.col("short")).join(outer, ["main", "e"]).where(
+        (F.col("component") != F.col("o_component")) & _sizes_allow("n", "o_n", similarity)
+        & (F.col("rank") <= F.col("x") - common + 1) & (F.col("o_rank") <= F.col("o_x") - common + 1)
+        & (common <= F.least("met", "o_met")))
+    both = [*side, *(f"o_{c}" for c in side)]
+    pairs = pairs.groupBy("main", *both).agg(F.count("*").alias("z"), F.max("rank").alias("last"), F.max("o_rank").alias("o_last"))
+    pairs = pairs.where(common <= F.col("z") + F.least(F.col("x") - F.col("last"), F.col("o_x") - F.col("o_last")))
+    odd = lambda other: apart.select(*(F.col(c).alias(f"{other}{c}" if c != "main" else c) for c in [*one, "odd"]))
+    pairs = pairs.join(odd(""), one).join(odd("o_"), ["main", "o_doc", "o_c"])
+    differ = reduce(lambda x, y: x + y, (F.bit_count(F.get("odd", F.lit(k)).bitwiseXOR(F.get("o_odd", F.lit(k)))) for k in range(CLASSES // 64)))
+    pairs = pairs.where(whole * differ <= rest * (F.col("n") + F.col("o_n")))
+    # the smaller document first, so that a pair is one row however it was met
+    ahead = (F.col("doc") < F.col("o_doc")) | ((F.col("doc") == F.col("o_doc")) & (F.col("c") < F.col("o_c")))
+    sides = (("doc", "o_doc", "a"), ("c", "o_c", "ac"), ("o_doc", "doc", "b"), ("o_c", "c", "bc"))
+    return links, pairs.select(*(F.when(ahead, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in sides)).distinct()
 
 
 def _sizes_allow(a: str, b: str, similarity: int):
@@ -253,42 +332,20 @@ def _near_links(docs: DataFrame, classes: DataFrame, sketched: DataFrame, width:
     edges = named.where(((F.col("a") != F.col("b")) | (F.col("ac") != F.col("bc"))) & _sizes_allow("an", "n", similarity))
     tested = saved(edges.select(*pair).distinct(), "near-pairs")
     links = saved(_links(tested, sets, similarity), "near-links")
-    centres, buckets, changed = CENTRES, shared.select("key", "size", "doc", "c", "n"), True
-    while True:
-        if changed:  # new links: buckets that are one component now are done
-            of = components(links).withColumnRenamed("node", "doc")
-            placed = saved(buckets.join(of, "doc", "left").withColumn("component", F.coalesce("component", "doc")), "near-placed")
-            if "main" in placed.columns:
-                placed = placed.drop("main")
-            parts = placed.groupBy("key", "component").agg(F.count("*").alias("members"))
-            mixed = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("members", "component")).alias("top"))
-            buckets = placed.join(mixed.where("parts > 1").select("key", F.col("top.component").alias("main")), "key")
-            if "s" not in buckets.columns:
-                buckets = _with_shared(saved(buckets, "near-open"), sets, similarity)
-            buckets = saved(buckets, "near-open")
-        if lacks(buckets):
-            return links
-        chance = F.pmod(F.xxhash64("key", "doc", "c", F.lit(centres)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        # where all members would be centres, those outside the largest component do: no pair lies within it
-        hubs = buckets.where((chance * F.col("size") < centres) & ((F.col("size") > centres) | (F.col("component") != F.col("main"))))
-        hubs = hubs.select("key", F.col("doc").alias("a"), F.col("c").alias("ac"), F.col("n").alias("an"), F.col("s").alias("as"), F.col("component").alias("of"), *(F.col(f"v{k}").alias(f"av{k}") for k in range(CLASSES)))
-        met = buckets.withColumnsRenamed({"doc": "b", "c": "bc"}).join(hubs, "key")
-        met = met.where((F.col("component") != F.col("of")) & _shares_allow(similarity))
-        # the smaller document first, so that a pair is one row however it was met
-        ahead = (F.col("a") < F.col("b")) | ((F.col("a") == F.col("b")) & (F.col("ac") < F.col("bc")))
-        met = met.select(*(F.when(ahead, F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("a", "b"), ("ac", "bc"), ("b", "a"), ("bc", "ac"))))
-        fresh = saved(met.distinct().join(tested, pair, "left_anti"), "near-pairs")
-        changed = False
-        if not lacks(fresh):
-            tested = tested.unionAll(fresh)
-            found = saved(_links(fresh, sets, similarity), "near-links")
-            if not lacks(found):
-                links, changed = links.unionAll(found), True
-        # smaller buckets have now had every pair across components tested
-        buckets = buckets.where(F.col("size") > centres)
-        if changed:
-            buckets = buckets.drop("component")
-        centres *= GROWTH
+    # in a bucket of two the only pair is tested
+    of = components(links).withColumnRenamed("node", "doc")
+    placed = shared.where("size > 2").select("key", "doc", "c", "n").join(of, "doc", "left")
+    placed = saved(placed.withColumn("component", F.coalesce("component", "doc")), "near-placed")
+    parts = placed.groupBy("key", "component").agg(F.count("*").alias("members"))
+    mixed = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("members", "component")).alias("top"))
+    members = placed.join(mixed.where("parts > 1").select("key", F.col("top.component").alias("main")), "key")
+    members = saved(members.select(*MEMBER).distinct(), "near-members")
+    if lacks(members):
+        return links
+    close, fresh = _across(members, sets, similarity)
+    fresh = saved(fresh.join(tested, pair, "left_anti"), "near-pairs")
+    links = links.unionAll(close)
+    return links if lacks(fresh) else links.unionAll(saved(_links(fresh, sets, similarity), "near-links"))
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: int = SIMILARITY) -> DataFrame:
