@@ -109,6 +109,25 @@ def test_skipping_finds_all_common_ends(flags):
     assert all(len(range(i, p)) + len(range(j, q)) > 2 for i, p, j, q in groups)
 
 
+def test_a_block_is_small():
+    """What a task holds at once is one row of some 2 MB of text, whatever the size of a batch."""
+    texts = [" ".join(f"w{(7 * i + k) % 997}" for k in range(20_000)) for i in range(60)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(60), "text": texts})
+    docs = []
+    for row in token_align._blocks([batch], token_align.BYTE_VOCABULARY, token_align.PIECE_VOCABULARY, False):
+        docs += (ids := row.column("doc_ids")[0].as_py())
+        size = sum(len(texts[i]) for i in ids)
+        assert size <= 2 << 20 and row.nbytes < 0.6 * size
+    assert docs == list(range(60))
+
+
+@pytest.mark.parametrize("most", [0, 1, 255, 256, 65_535, 65_536, 1 << 33])
+def test_packed_numbers(most):
+    values = np.array([0, most // 2, most])
+    assert token_align._unpacked(token_align._packed(values)).tolist() == values.tolist()
+    assert token_align._unpacked(token_align._packed(values[:0])).tolist() == []
+
+
 def test_alignment_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert token_align.align_documents(docs).collect() == []

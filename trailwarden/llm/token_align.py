@@ -35,8 +35,8 @@ from trailwarden.llm.words import chunks
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
 PIECE_VOCABULARY = "piece_bpe_32k.model"
-#: Bytes of text in a block, and units tokenized in one go.
-BLOCK_BYTES = 8 << 20
+#: Bytes of text in a block, and units tokenized in one go. A block is one row, so its size is what tasks hold at once.
+BLOCK_BYTES = 2 << 20
 UNITS_AT_ONCE = 4096
 #: A link as one number: A id times this plus B id.
 RADIX = 1 << 24
@@ -236,47 +236,62 @@ BLOCK = (
 )
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers from 0 on, in as few bytes each as the largest needs; the first byte says how many."""
+    kind = np.min_scalar_type(int(values.max(initial=0)))
+    return bytes([kind.itemsize]) + values.astype(kind.newbyteorder("<")).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+
+
+def _block(aligner: Aligner, doc_ids: pa.Array, texts: pa.Array, with_groups: bool) -> pa.RecordBatch:
+    place, plain, whole, sizes = _texts_to_units(texts)
+    parts = [aligner.align(plain), aligner.align(whole, 1)]
+    count = lambda name: np.array([x for p in parts for x in getattr(p, name)], np.int64)
+    n_a, unit_sizes = count("n_a"), count("n_links")
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    lost = np.bincount(owner, n_a[place] == 0, minlength=len(sizes)) > 0  # bytes differ: no tokens
+    stays = ~lost[owner]
+    place, sizes = place[stays], np.where(lost, 0, sizes)
+    owner = owner[stays]
+    total = lambda name: pa.array([np.bincount(owner, count(name)[place], minlength=len(sizes)).astype(np.int64)], pa.list_(pa.int64()))
+    wording = [w for p in parts for w in p.groups]
+    ends = np.cumsum(sizes)
+    spelt, hashes = [], []
+    for size, end in zip(sizes.tolist(), ends.tolist()):
+        groups = ";".join([wording[u] for u in place[end - size : end].tolist()])
+        hashes.append(hashlib.sha256(groups.encode()).hexdigest() if groups else "")
+        if with_groups:  # several times as long as the text
+            spelt.append(groups)
+    links, slots = np.unique(np.concatenate([np.zeros(0, np.int64), *(x for p in parts for x in p.links)]), return_inverse=True)
+    seen = np.bincount(place, minlength=len(n_a))
+    times = np.bincount(slots, np.repeat(seen, unit_sizes), minlength=len(links)).astype(np.int64)
+    found = times > 0  # a unit may stand in lost texts alone
+    slots = np.maximum(np.cumsum(found) - 1, 0)[slots]
+    return pa.RecordBatch.from_pydict({
+        "block": [uuid.uuid4().hex],
+        "doc_ids": pa.array([doc_ids], pa.list_(pa.int64())),
+        **{name: total(name) for name in ("n_a", "n_b", "n_groups", "n_links")},
+        "sha256": [hashes],
+        "groups": pa.array([spelt], pa.list_(pa.string())),
+        "places": [_packed(place)],
+        "sizes": pa.array([sizes], pa.list_(pa.int64())),
+        "unit_links": [_packed(slots)],
+        "unit_sizes": [_packed(unit_sizes)],
+        "links": pa.array([links[found]], pa.list_(pa.int64())),
+        "times": pa.array([times[found]], pa.list_(pa.int64())),
+    })
+
+
 def _blocks(batches: Iterable[pa.RecordBatch], byte_name: str, piece_name: str, with_groups: bool) -> Iterator[pa.RecordBatch]:
     aligner = _aligner(vocabulary_path(byte_name), vocabulary_path(piece_name))
     for batch in batches:
         for low, high in chunks(batch.column("text"), BLOCK_BYTES):
-            doc_ids, texts = (batch.column(c).slice(low, high - low) for c in ("doc_id", "text"))
-            place, plain, whole, sizes = _texts_to_units(texts)
-            parts = [aligner.align(plain), aligner.align(whole, 1)]
-            count = lambda name: np.array([x for p in parts for x in getattr(p, name)], np.int64)
-            n_a, unit_sizes = count("n_a"), count("n_links")
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            lost = np.bincount(owner, n_a[place] == 0, minlength=len(sizes)) > 0  # bytes differ: no tokens
-            stays = ~lost[owner]
-            place, sizes = place[stays], np.where(lost, 0, sizes)
-            owner = owner[stays]
-            total = lambda name: pa.array([np.bincount(owner, count(name)[place], minlength=len(sizes)).astype(np.int64)], pa.list_(pa.int64()))
-            wording = [w for p in parts for w in p.groups]
-            ends = np.cumsum(sizes)
-            spelt, hashes = [], []
-            for size, end in zip(sizes.tolist(), ends.tolist()):
-                groups = ";".join([wording[u] for u in place[end - size : end].tolist()])
-                hashes.append(hashlib.sha256(groups.encode()).hexdigest() if groups else "")
-                if with_groups:  # several times as long as the text
-                    spelt.append(groups)
-            links, slots = np.unique(np.concatenate([np.zeros(0, np.int64), *(x for p in parts for x in p.links)]), return_inverse=True)
-            seen = np.bincount(place, minlength=len(n_a))
-            times = np.bincount(slots, np.repeat(seen, unit_sizes), minlength=len(links)).astype(np.int64)
-            found = times > 0  # a unit may stand in lost texts alone
-            slots = (np.cumsum(found) - 1)[slots]
-            yield pa.RecordBatch.from_pydict({
-                "block": [uuid.uuid4().hex],
-                "doc_ids": pa.array([doc_ids], pa.list_(pa.int64())),
-                **{name: total(name) for name in ("n_a", "n_b", "n_groups", "n_links")},
-                "sha256": [hashes],
-                "groups": pa.array([spelt], pa.list_(pa.string())),
-                "places": [place.astype("<i4").tobytes()],
-                "sizes": pa.array([sizes], pa.list_(pa.int64())),
-                "unit_links": [slots.astype("<i4").tobytes()],
-                "unit_sizes": [unit_sizes.astype("<i4").tobytes()],
-                "links": pa.array([links[found]], pa.list_(pa.int64())),
-                "times": pa.array([times[found]], pa.list_(pa.int64())),
-            })
+            # a call of its own, so that nothing of a block stays while the next one is made
+            yield _block(aligner, *(batch.column(c).slice(low, high - low) for c in ("doc_id", "text")), with_groups)
+        batch = None
 
 
 def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -289,13 +304,13 @@ def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def _documents(key, block: pa.Table, counted: pa.Table) -> pa.Table:
     row = {c: block.column(c)[0] for c in block.column_names}
     column = lambda name: row[name].values
-    numbers = lambda name: np.frombuffer(row[name].as_py(), "<i4")
+    numbers = lambda name: _unpacked(row[name].as_py())
     slot = counted.column("slot").to_numpy()
     n, best = np.zeros(len(slot), np.int64), np.zeros(len(slot), np.int64)
     n[slot], best[slot] = counted.column("n").to_numpy(), counted.column("best").to_numpy()
-    unit_links, unit_sizes, places = numbers("unit_links"), numbers("unit_sizes").astype(np.int64), numbers("places")
+    unit_links, unit_sizes, places = numbers("unit_links"), numbers("unit_sizes"), numbers("places")
     sizes = column("sizes").to_numpy()
-    per_text = lambda values: pa.array(_sums(_sums(np.where(unit_links < 0, 0, values[unit_links]) if len(values) else np.zeros(len(unit_links), np.int64), unit_sizes)[places], sizes))
+    per_text = lambda values: pa.array(_sums(_sums(values[unit_links] if len(values) else np.zeros(len(unit_links), np.int64), unit_sizes)[places], sizes))
     groups = column("groups")
     return pa.table({
         "doc_id": column("doc_ids"), **{c: column(c) for c in ("n_a", "n_b", "n_groups", "n_links")},
